@@ -63,6 +63,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII bytes other than letters and digits.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def column(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +96,13 @@ def blocks(array: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a block: byte ranges, 64-bit hashes, and word offsets by row.
 
-    ``lower`` folds A-Z only, as the operators' contracts ask.
+    ``lower`` folds A-Z only, as the operators' contracts ask; ``blank`` says which bytes part words.
     """
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray, lower: bool = True):
+    def __init__(self, raw: np.ndarray, at: np.ndarray, lower: bool = True, blank: np.ndarray = SPACE):
         n = len(raw)
         text = LOWER[raw] if lower else raw
-        inside = ~SPACE[raw]
+        inside = ~blank[raw]
         edge = np.zeros(n + 1, bool)
         edge[at] = True
         first, last = inside.copy(), inside.copy()

@@ -18,8 +18,8 @@ from memlake.llm import textkernels as K
 FEATURE_BITS = 20
 TRAIN_POSITIVE = 3000
 TRAIN_NEGATIVE = 5000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.6, 0.1
+EPOCHS = 8
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,7 @@ class Weights:
 def _features(words: K.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(word place, feature) of unigrams, bigrams and one-word skip-grams that stay within a row.
 
-    Edge punctuation stays part of a word; case is folded for A-Z.
+    Words are runs of letters and digits (all but ASCII signs); case is folded for A-Z.
     """
     h, row = words.hashes, words.rows()
     shift = K.U64(64 - FEATURE_BITS)
@@ -49,7 +49,7 @@ def _examples(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column("label")
         for lo, hi, raw, at in K.blocks(batch.column("text")):
-            words = K.Words(raw, at)
+            words = K.Words(raw, at, blank=K.SIGNS)
             row = words.rows()
             pairs = np.concatenate([row[p] << FEATURE_BITS | f for p, f in _features(words)])
             pairs = np.unique(pairs)
@@ -124,7 +124,7 @@ def _score(batches, weights) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc_id")
         for lo, hi, raw, at in K.blocks(batch.column("text")):
-            words = K.Words(raw, at)
+            words = K.Words(raw, at, blank=K.SIGNS)
             row = words.rows()
             hit = []
             for place, feature in _features(words):
