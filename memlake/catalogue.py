@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from memlake.queries import ORACLES, REGISTRY, graph_queries, search_queries
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ORACLE_SQL", "QUERIES", "graph_queries", "search_queries"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = REGISTRY
+ORACLE_SQL = ORACLES
