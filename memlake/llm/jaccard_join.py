@@ -29,6 +29,8 @@ PERCENT = 80
 BUCKET_BITS = 18
 ORDER_SEEDS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 STAR_ROUNDS = 3
+FILTER_BITS = 20
+_ORDERS = [f"order{i}" for i in range(len(ORDER_SEEDS))]
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -96,7 +98,8 @@ def _prefixes(batches, counts, size: int, percent: int) -> Iterator[pa.RecordBat
             )
 
 
-def _sets(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _facts(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """What the filters need of a text: set size, parity bitmap, and its prefix under further orders."""
     for batch in batches:
         ids = batch.column("doc_id")
         for lo, hi, raw, at in K.blocks(batch.column("text")):
@@ -105,19 +108,50 @@ def _sets(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
             odd = np.array([np.bincount((s & K.U64(255)).view(np.int64), minlength=256) & 1 for s in sets], np.uint8)
             bits = np.packbits(odd.reshape(len(sets), 256), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
-                 K.lists(list(bits), pa.int64()),
-                 *(K.lists([_by_hash(s, seed, k) for s, k in zip(sets, keep)], pa.int32()) for seed in ORDER_SEEDS),
-                 K.lists([K.signed(s) for s in sets], pa.int64())],
-                ["node", "n", "parity", *(f"order{i}" for i in range(len(ORDER_SEEDS))), "tokens"],
+                [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), K.lists(list(bits), pa.int64()),
+                 *(K.lists([_by_hash(s, seed, k) for s, k in zip(sets, keep)], pa.int32()) for seed in ORDER_SEEDS)],
+                ["node", "n", "parity", *_ORDERS],
             )
 
 
-_SETS_SCHEMA = (
-    "node bigint, n bigint, parity array<bigint>, "
-    + ", ".join(f"order{i} array<int>" for i in range(len(ORDER_SEEDS)))
-    + ", tokens array<bigint>"
-)
+def _sets(batches, size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("doc_id")
+        for lo, hi, raw, at in K.blocks(batch.column("text")):
+            sets = [K.signed(s) for s in K.shingle_rows(K.Words(raw, at), size)]
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), K.lists(sets, pa.int64())], ["node", "tokens"])
+
+
+def _possibly_shared(batches, bits) -> Iterator[pa.RecordBatch]:
+    """(token, node) of the prefix tokens whose bit is set."""
+    table = bits.value
+    for batch in batches:
+        prefix = batch.column("prefix")
+        tokens = prefix.flatten().to_numpy(zero_copy_only=False)
+        node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), prefix.value_lengths().to_numpy(zero_copy_only=False))
+        word, bit = _bit_place(tokens.view(K.U64))
+        some = (table[word] >> bit) & K.U64(1) == 1
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[some]), pa.array(node[some])], ["token", "node"])
+
+
+def _bit_place(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (tokens >> K.U64(64 - FILTER_BITS)).view(np.int64), (tokens >> K.U64(58 - FILTER_BITS)) & K.U64(63)
+
+
+def shared_token_bits(shared: DataFrame) -> np.ndarray:
+    """A bit for each token of ``shared``, by its hash; 8 MB whatever the number of tokens.
+
+    It keeps tokens that one text alone has out of the shuffle; the join after it is exact.
+    """
+    place = F.shiftrightunsigned("token", 64 - FILTER_BITS)
+    bit = F.shiftrightunsigned("token", 58 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int")
+    rows = shared.groupBy(place.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits")).toPandas()
+    table = np.zeros(1 << FILTER_BITS, K.U64)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(K.U64)
+    return table
+
+
+_FACTS_SCHEMA = "node bigint, n bigint, parity array<bigint>, " + ", ".join(f"{o} array<int>" for o in _ORDERS)
 
 
 def _may_match(percent: int) -> Column:
@@ -132,29 +166,28 @@ def _may_match(percent: int) -> Column:
     return sized & near
 
 
-def _orders_agree() -> Column:
+def _passing(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) that meet the bounds and share prefix tokens under every further order."""
     agree = F.lit(True)
-    for i in range(len(ORDER_SEEDS)):
-        agree = agree & F.arrays_overlap(f"a.order{i}", f"b.order{i}")
-    return agree
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b): those that pass every filter and whose whole sets link."""
-    narrow = sets.select("node", "n", "parity", *(f"order{i}" for i in range(len(ORDER_SEEDS))))
-    passed = (
+    for order in _ORDERS:
+        agree = agree & F.arrays_overlap(f"a.{order}", f"b.{order}")
+    return (
         pairs.alias("p")
-        .join(narrow.alias("a"), F.col("p.a") == F.col("a.node"))
-        .join(narrow.alias("b"), F.col("p.b") == F.col("b.node"))
-        .where(_may_match(percent) & _orders_agree())
+        .join(facts.alias("a"), F.col("p.a") == F.col("a.node"))
+        .join(facts.alias("b"), F.col("p.b") == F.col("b.node"))
+        .where(_may_match(percent) & agree)
         .select("p.a", "p.b").distinct()
     )
-    whole = sets.select("node", "n", "tokens")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b): those whose whole sets link."""
     both = F.size(F.array_intersect("x.tokens", "y.tokens")).cast("bigint")
+    either = F.size("x.tokens") + F.size("y.tokens") - both
     return (
-        passed.join(whole.alias("x"), F.col("a") == F.col("x.node"))
-        .join(whole.alias("y"), F.col("b") == F.col("y.node"))
-        .where(both * 100 >= (F.col("x.n") + F.col("y.n") - both) * percent)
+        pairs.join(sets.alias("x"), F.col("a") == F.col("x.node"))
+        .join(sets.alias("y"), F.col("b") == F.col("y.node"))
+        .where(both * 100 >= either * percent)
         .select("a", "b").distinct()
     )
 
@@ -196,22 +229,26 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         some.join(broadcast_if_small(copies), ["h1", "h2"], "left")
         .where("doc_id is not null and (rep is null or rep = doc_id)")
     )
-    tokens = firsts.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"))
-    shared = (
-        tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-        .where("lo < hi").select("token")
+    heads = firsts.select(F.col("doc_id").alias("node"), "prefix")
+    shared = cut(
+        heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        .where("n > 1").select("token"),
+        "shared",
     )
-    members = cut(tokens.join(shared, "token"), "members")
+    bits = spark.sparkContext.broadcast(shared_token_bits(shared))
+    met = heads.mapInArrow(lambda it: _possibly_shared(it, bits), "token bigint, node bigint")
+    members = cut(met.join(shared, "token"), "members")
     nodes = cut(members.groupBy("node").agg(F.count(F.lit(1)).alias("met")), "nodes")
-    wanted = nodes.select(F.col("node").alias("doc_id"))
-    sets = cut(
-        docs.join(broadcast_if_small(wanted), "doc_id", "left_semi")
-        .mapInArrow(lambda it: _sets(it, size, percent), _SETS_SCHEMA),
-        "sets",
-    )
-    if not sets.groupBy("node").count().where("count > 1").isEmpty():
-        sets = cut(sets.dropDuplicates(["node", "tokens"]), "sets")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return docs.join(broadcast_if_small(wanted.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+
+    facts = cut(texts_of(nodes).mapInArrow(lambda it: _facts(it, size, percent), _FACTS_SCHEMA), "facts")
+    repeated = not facts.groupBy("node").count().where("count > 1").isEmpty()
+    if repeated:
+        facts = cut(facts.dropDuplicates(), "facts")
     members = cut(members.join(nodes, "node"), "members")
+    sets = None
 
     links, tried, labels = None, None, None
     for turn in range(STAR_ROUNDS + 1):
@@ -230,7 +267,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
             )
             met = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
         else:
-            met = _all_across(placed.join(leaders.select("token"), "token", "left_semi"), sets, percent)
+            met = _all_across(placed.join(leaders.select("token"), "token", "left_semi"), facts, percent)
         met = met.distinct()
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
@@ -239,9 +276,20 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
             if turn < STAR_ROUNDS and leaders.isEmpty():
                 break
             continue
-        found = cut(_verify(met, sets, percent), "links")
-        links = found if links is None else links.union(found)
         tried = met if tried is None else tried.union(met)
+        passed = cut(_passing(met, facts, percent), "passed")
+        if passed.isEmpty():
+            continue
+        wanted = passed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("node"), "node", "left_anti")
+        fresh = texts_of(cut(wanted, "wanted")).mapInArrow(lambda it: _sets(it, size), "node bigint, tokens array<bigint>")
+        fresh = cut(fresh.dropDuplicates() if repeated else fresh, "sets")
+        sets = fresh if sets is None else sets.union(fresh)
+        found = cut(_linked(passed, sets, percent), "links")
+        if found.isEmpty():
+            continue
+        links = found if links is None else links.union(found)
         labels = connected_components(links)
 
     classes = some.select("h1", "h2", "doc_id").join(broadcast_if_small(copies), ["h1", "h2"], "left")
@@ -266,13 +314,13 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     )
 
 
-def _all_across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _all_across(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Every pair that shares a token and still lies in two components, within the bounds."""
-    facts = members.join(sets.select("node", "n", "parity"), "node")
+    rows = members.join(facts.select("node", "n", "parity"), "node")
     near = F.col("a.token") == F.col("b.token")
     return (
-        facts.alias("a")
-        .join(facts.alias("b"), near & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _may_match(percent))
+        rows.alias("a")
+        .join(rows.alias("b"), near & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _may_match(percent))
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     )
 
