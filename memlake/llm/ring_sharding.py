@@ -11,6 +11,8 @@ Placing works on counts by arc, whose number is fixed by the ring: each arc's ro
 
 from __future__ import annotations
 
+import json
+
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +62,8 @@ def shard_rows(rows: DataFrame, key: str, shards: int, virtual: int = VIRTUAL) -
     )
     loads = placed.groupBy("cell", "salt").agg(F.count(F.lit(1)).alias("n"))
     loads = cut(loads, "loads")  # at most CELLS * SALTS rows
-    walks = spark.createDataFrame(ring(shards, virtual), "cell int, walk array<int>")
+    table = json.dumps([{"cell": cell, "walk": walk} for cell, walk in ring(shards, virtual)])
+    walks = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<cell:int,walk:array<int>>>")))
     arcs = (
         walks.join(F.broadcast(loads.groupBy("cell").agg(F.sum("n").alias("n"))), "cell", "left")
         .select("cell", "walk", F.coalesce("n", F.lit(0)).alias("n"), F.element_at("walk", 1).alias("home"))
