@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.scratch import cut
+from memlake.plans.scratch import cut, discard
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     labels = cut(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "cc-0")
     while True:
         heard = (
-            both.join(labels.withColumnRenamed("node", "near"), "near")
+            both.join(labels.select(F.col("node").alias("near"), "label"), "near")
             .groupBy("node").agg(F.min("label").alias("heard"))
         )
         met = labels.join(heard, "node").select(
@@ -39,6 +39,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
             ),
             "cc",
         )
-        labels = after.select("node", "label")
+        discard(labels)
+        labels = after
         if after.where("label <> old").isEmpty():
-            return labels
+            discard(both)
+            return labels.select("node", "label")

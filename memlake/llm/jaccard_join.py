@@ -1,7 +1,7 @@
 """N-gram Jaccard join by multiple-global-order prefix filtering.
 
-Two shingle sets with Jaccard >= t share a token among the first ``n - ceil(t n) + 1`` of each set
-under *any* global token order.  The first order puts tokens rarest first, by counts over the whole
+Two shingle sets with Jaccard >= t share at least k tokens among the first ``n - ceil(t n) + k`` of each
+set under *any* global token order (k = 1 is the usual prefix; sets of fewer tokens share what they have).  The first order puts tokens rarest first, by counts over the whole
 corpus folded into a fixed number of hash buckets, and generates candidates; further orders, by
 independent hashes, each have to confirm a candidate before the two whole sets are compared.
 
@@ -22,20 +22,21 @@ from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
 from memlake.llm.components import connected_components
-from memlake.plans.scratch import broadcast_if_small, cut
+from memlake.plans.scratch import broadcast_if_small, cut, discard
 
 SHINGLE = 5
 PERCENT = 80
 BUCKET_BITS = 18
 ORDER_SEEDS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
-STAR_ROUNDS = 3
+SHARED = 4
+STAR_ROUNDS = 2
 FILTER_BITS = 20
 _ORDERS = [f"order{i}" for i in range(len(ORDER_SEEDS))]
 
 
-def prefix_size(n: int, percent: int) -> int:
-    """How many first tokens of a set of ``n`` must meet those of a partner."""
-    return n + (-n * percent // 100) + 1
+def prefix_size(n: int, percent: int, shared: int = 1) -> int:
+    """How many first tokens of a set of ``n`` hold ``shared`` tokens of any partner's first tokens."""
+    return min(n, n + (-n * percent // 100) + shared)
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -90,7 +91,7 @@ def _prefixes(batches, counts, size: int, percent: int) -> Iterator[pa.RecordBat
             words = K.Words(raw, at)
             h1, h2 = K.sequence_keys(words)
             sets = list(K.shingle_rows(words, size))
-            heads = [K.signed(_rarest(s, table, prefix_size(len(s), percent) if len(s) else 0)) for s in sets]
+            heads = [K.signed(_rarest(s, table, prefix_size(len(s), percent, SHARED) if len(s) else 0)) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array(K.signed(h1)), pa.array(K.signed(h2)), K.lists(heads, pa.int64())],
@@ -123,7 +124,7 @@ def _sets(batches, size: int) -> Iterator[pa.RecordBatch]:
 
 
 def _possibly_shared(batches, bits) -> Iterator[pa.RecordBatch]:
-    """(token, node) of the prefix tokens whose bit is set."""
+    """(token, node, need) of the prefix tokens whose bit is set."""
     table = bits.value
     for batch in batches:
         prefix = batch.column("prefix")
@@ -131,7 +132,8 @@ def _possibly_shared(batches, bits) -> Iterator[pa.RecordBatch]:
         node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), prefix.value_lengths().to_numpy(zero_copy_only=False))
         word, bit = _bit_place(tokens.view(K.U64))
         some = (table[word] >> bit) & K.U64(1) == 1
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[some]), pa.array(node[some])], ["token", "node"])
+        need = np.repeat(batch.column("need").to_numpy(zero_copy_only=False), prefix.value_lengths().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[some]), pa.array(node[some]), pa.array(need[some])], ["token", "node", "need"])
 
 
 def _bit_place(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +173,15 @@ def _passing(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     agree = F.lit(True)
     for order in _ORDERS:
         agree = agree & F.arrays_overlap(f"a.{order}", f"b.{order}")
-    return (
-        pairs.alias("p")
-        .join(facts.alias("a"), F.col("p.a") == F.col("a.node"))
-        .join(facts.alias("b"), F.col("p.b") == F.col("b.node"))
-        .where(_may_match(percent) & agree)
-        .select("p.a", "p.b").distinct()
-    )
+
+    def facing(some: DataFrame, *columns: str) -> DataFrame:
+        one = facts.select("node", *columns)
+        return (
+            some.alias("p").join(one.alias("a"), F.col("p.a") == F.col("a.node")).join(one.alias("b"), F.col("p.b") == F.col("b.node"))
+        )
+
+    near = cut(facing(pairs, "n", "parity").where(_may_match(percent)).select("p.a", "p.b").distinct(), "near")
+    return facing(near, *_ORDERS).where(agree).select("p.a", "p.b").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,16 +233,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         some.join(broadcast_if_small(copies), ["h1", "h2"], "left")
         .where("doc_id is not null and (rep is null or rep = doc_id)")
     )
-    heads = firsts.select(F.col("doc_id").alias("node"), "prefix")
+    # a partner shares SHARED prefix tokens, or all that a small set must have in common with it
+    need = F.least(F.lit(SHARED), F.ceil(F.col("n_shingles") * percent / 100.0)).cast("int").alias("need")
+    heads = firsts.select(F.col("doc_id").alias("node"), "prefix", need)
     shared = cut(
         heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1").select("token"),
         "shared",
     )
     bits = spark.sparkContext.broadcast(shared_token_bits(shared))
-    met = heads.mapInArrow(lambda it: _possibly_shared(it, bits), "token bigint, node bigint")
-    members = cut(met.join(shared, "token"), "members")
-    nodes = cut(members.groupBy("node").agg(F.count(F.lit(1)).alias("met")), "nodes")
+    met = heads.mapInArrow(lambda it: _possibly_shared(it, bits), "token bigint, node bigint, need int")
+    every = cut(met.join(shared, "token"), "members")
+    nodes = cut(
+        every.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).where("met >= need").select("node", "met"),
+        "nodes",
+    )
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         return docs.join(broadcast_if_small(wanted.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
@@ -247,10 +256,11 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     repeated = not facts.groupBy("node").count().where("count > 1").isEmpty()
     if repeated:
         facts = cut(facts.dropDuplicates(), "facts")
-    members = cut(members.join(nodes, "node"), "members")
+    members = cut(every.select("token", "node").join(broadcast_if_small(nodes), "node"), "members")
+    discard(every, shared)
     sets = None
 
-    links, tried, labels = None, None, None
+    links, tried, labels, scrap = None, None, None, []
     for turn in range(STAR_ROUNDS + 1):
         placed = _labelled(members, labels)
         # first the texts that meet others in most of their prefix, then any, by a fresh hash
@@ -276,6 +286,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
             if turn < STAR_ROUNDS and leaders.isEmpty():
                 break
             continue
+        scrap.append(met)
         tried = met if tried is None else tried.union(met)
         passed = cut(_passing(met, facts, percent), "passed")
         if passed.isEmpty():
@@ -285,6 +296,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
             wanted = wanted.join(sets.select("node"), "node", "left_anti")
         fresh = texts_of(cut(wanted, "wanted")).mapInArrow(lambda it: _sets(it, size), "node bigint, tokens array<bigint>")
         fresh = cut(fresh.dropDuplicates() if repeated else fresh, "sets")
+        scrap.append(fresh)
         sets = fresh if sets is None else sets.union(fresh)
         found = cut(_linked(passed, sets, percent), "links")
         if found.isEmpty():
@@ -306,6 +318,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     named = cut(
         named.groupBy("h1", "h2").agg(F.min("label").alias("component_id"), F.lit(True).alias("named")), "classes"
     )
+    discard(facts, members, nodes, *scrap)
     narrow = rows.select("doc_id", "n_shingles", "h1", "h2")
     return narrow.join(broadcast_if_small(named), ["h1", "h2"], "left").select(
         "doc_id", "n_shingles",
