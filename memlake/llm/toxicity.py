@@ -109,11 +109,13 @@ def train_toxicity(
         .dropDuplicates(["doc_id", "label"])
         .select("doc_id", "label", "text")
     )
-    found = rows.select("label", "text", "doc_id").select(
-        F.col("label").cast("int").alias("label"), "text"
-    ).mapInArrow(_examples, "label int, features array<int>").collect()
-    examples = [(row["label"], np.array(row["features"], np.int64)) for row in found]
-    examples.sort(key=lambda e: int(K.mix(e[1].view(K.U64)).sum()) if len(e[1]) else 0)
+    found = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(_examples, "label int, features array<int>").toArrow()
+    flat = found.column("features").combine_chunks()
+    ends = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    every = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    examples = [(y, every[a:b]) for y, a, b in zip(found.column("label").to_pylist(), ends[:-1], ends[1:])]
+    # rows arrive in any order; this one depends on their contents alone
+    examples.sort(key=lambda e: (int(K.mix(e[1].astype(K.U64)).sum()), e[0]))
     return ftrl(examples)
 
 
