@@ -20,8 +20,11 @@ from memlake.llm import (
     toxicity,
     url_filter,
 )
+from memlake.llm.oracles import ORACLE_SQL
 from memlake.plans.scratch import cut, scratch_root
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -131,5 +134,3 @@ QUERIES = {
         op7_line_frequency, op8_latent_decontamination, op9_byte_bpe, op10_token_rollup, pipeline,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -8,6 +8,7 @@ pytest.importorskip("memlake.llm.queries")
 
 import corpus_pipeline  # noqa: E402
 from memlake.llm import queries  # noqa: E402
+from oracle import connect, difference  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +25,11 @@ def test_query_returns_each_row_once(spark, name):
         assert rows.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_oracle(spark, name):
+    assert difference(queries.QUERIES[name](spark, SF), connect(SF), queries.ORACLE_SQL[name]) == ""
+
+
 def test_stages_keep_their_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, last = docs.columns, docs.count()
