@@ -9,6 +9,7 @@ Hot groups: exact copies are one class from the start.  Within a bucket of texts
 token, pairs are not enumerated: each text is compared with a leader, components are formed, and
 only pairs that still lie in different components are looked at again, so a group of thousands of
 near copies costs about one comparison each while no link between different components is lost.
+Of buckets with the same texts one is kept, and buckets within one component are left out for good.
 """
 
 from __future__ import annotations
@@ -196,6 +197,22 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _distinct_buckets(members: DataFrame) -> DataFrame:
+    """``members`` (token, node, met) with one token for each distinct set of two or more nodes.
+
+    Near copies share many tokens, whose buckets hold the same nodes and so offer the same pairs.
+    Buckets are told apart by their size and two 40-bit sums over hashes of their nodes; a bucket too
+    large for the sums stays on its own.
+    """
+    h = F.xxhash64("node")
+    sums = [F.coalesce(F.try_sum(part), "token") for part in (F.shiftrightunsigned(h, 24), h.bitwiseAND(F.lit((1 << 40) - 1)))]
+    buckets = members.groupBy("token").agg(F.count(F.lit(1)).alias("n"), sums[0].alias("s1"), sums[1].alias("s2"))
+    kept = cut(buckets.where("n > 1").groupBy("n", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "buckets")
+    out = cut(members.join(broadcast_if_small(kept), "token"), "members")
+    discard(members, kept)
+    return out
+
+
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return members.withColumn("label", F.col("node"))
@@ -256,7 +273,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     repeated = not facts.groupBy("node").count().where("count > 1").isEmpty()
     if repeated:
         facts = cut(facts.dropDuplicates(), "facts")
-    members = cut(every.select("token", "node").join(broadcast_if_small(nodes), "node"), "members")
+    members = _distinct_buckets(cut(every.select("token", "node").join(broadcast_if_small(nodes), "node"), "members"))
     discard(every, shared)
     sets = None
 
