@@ -23,6 +23,7 @@ SIZES = (3, 4)
 POSITIONS_BITS = 20
 HASHES = 2
 TRAIN_DOCS = 3000
+SALTS = 64
 MIN_COUNT = 3
 SHARE = 3
 UNKNOWN = "und"
@@ -92,11 +93,13 @@ def train_filter(docs: DataFrame, train: Column, per_language: int = TRAIN_DOCS)
     ``MIN_COUNT`` times there and at no less than 1/``SHARE`` of its highest rate in any language.
     """
     usable = train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        docs.where(usable).select("doc_id", "lang").withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
-    )
+    # a language may hold most rows: the least of each salt first, then the least of those
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = docs.where(usable).select("doc_id", "lang").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= per_language)
+    chosen = chosen.select("doc_id", "lang").distinct()
     picked = (
         docs.where(usable).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
         .select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"])
