@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
 from memlake.llm.components import connected_components
-from memlake.plans.scratch import broadcast_if_small, cut, discard
+from memlake.plans.scratch import BROADCAST_ROWS, broadcast_if_small, cut, discard
 
 SHINGLE = 5
 PERCENT = 80
@@ -32,6 +32,7 @@ ORDER_SEEDS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 SHARED = 4
 STAR_ROUNDS = 2
 FILTER_BITS = 20
+COARSE, FINE = 256, 4096
 _ORDERS = [f"order{i}" for i in range(len(ORDER_SEEDS))]
 
 
@@ -101,18 +102,21 @@ def _prefixes(batches, counts, size: int, percent: int) -> Iterator[pa.RecordBat
 
 
 def _facts(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """What the filters need of a text: set size, parity bitmap, and its prefix under further orders."""
+    """What the filters need of a text: set size, parity bitmaps, and its prefix under further orders."""
     for batch in batches:
         ids = batch.column("doc_id")
         for lo, hi, raw, at in K.blocks(batch.column("text")):
             sets = list(K.shingle_rows(K.Words(raw, at), size))
             keep = [prefix_size(len(s), percent) if len(s) else 0 for s in sets]
-            odd = np.array([np.bincount((s & K.U64(255)).view(np.int64), minlength=256) & 1 for s in sets], np.uint8)
-            bits = np.packbits(odd.reshape(len(sets), 256), axis=1).view(np.int64)
+            odd = np.zeros((len(sets), FINE), np.uint8)
+            for i, s in enumerate(sets):
+                odd[i] = np.bincount((s & K.U64(FINE - 1)).view(np.int64), minlength=FINE) & 1
+            fine = np.packbits(odd, axis=1).view(np.int64)
+            bits = np.packbits(np.bitwise_xor.reduce(odd.reshape(len(sets), FINE // COARSE, COARSE), axis=1), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), K.lists(list(bits), pa.int64()),
+                [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), K.lists(list(bits), pa.int64()), K.lists(list(fine), pa.int64()),
                  *(K.lists([_by_hash(s, seed, k) for s, k in zip(sets, keep)], pa.int32()) for seed in ORDER_SEEDS)],
-                ["node", "n", "parity", *_ORDERS],
+                ["node", "n", "parity", "fine", *_ORDERS],
             )
 
 
@@ -154,19 +158,27 @@ def shared_token_bits(shared: DataFrame) -> np.ndarray:
     return table
 
 
-_FACTS_SCHEMA = "node bigint, n bigint, parity array<bigint>, " + ", ".join(f"{o} array<int>" for o in _ORDERS)
+_FACTS_SCHEMA = "node bigint, n bigint, parity array<bigint>, fine array<bigint>, " + ", ".join(f"{o} array<int>" for o in _ORDERS)
 
 
-def _may_match(percent: int) -> Column:
-    """Bounds that every linked pair meets: sizes, parity bitmaps, and the further token orders.
+def _near(apart: Column, percent: int) -> Column:
+    """Tokens in one set only number at least the bits in which the parity bitmaps differ, and at
+    Jaccard t at most (1-t)/(1+t) of both sizes together."""
+    return apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
 
-    Tokens in one set only number at least the bits in which the parity bitmaps differ, and at
-    Jaccard t at most (1-t)/(1+t) of both sizes together.
-    """
-    apart = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(4)), F.lit(0))
+
+def _may_match(percent: int) -> Column:
+    """Bounds that every linked pair meets: sizes and coarse parity bitmaps."""
+    apart = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(COARSE // 64)), F.lit(0))
     sized = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
-    near = apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
-    return sized & near
+    return sized & _near(apart, percent)
+
+
+def _only(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """``rows`` of nodes on one side of ``pairs``, picked before the shuffle while the pairs are few."""
+    if pairs.count() > BROADCAST_ROWS:
+        return rows
+    return rows.join(F.broadcast(pairs.select(F.col(side).alias("node"))), "node", "left_semi")
 
 
 def _passing(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
@@ -176,13 +188,18 @@ def _passing(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
         agree = agree & F.arrays_overlap(f"a.{order}", f"b.{order}")
 
     def facing(some: DataFrame, *columns: str) -> DataFrame:
-        one = facts.select("node", *columns)
+        one, two = (_only(facts.select("node", *columns), some, side) for side in ("a", "b"))
         return (
-            some.alias("p").join(one.alias("a"), F.col("p.a") == F.col("a.node")).join(one.alias("b"), F.col("p.b") == F.col("b.node"))
+            some.alias("p").join(one.alias("a"), F.col("p.a") == F.col("a.node")).join(two.alias("b"), F.col("p.b") == F.col("b.node"))
         )
 
+    # each step carries more bytes of a text than the one before, for fewer pairs
     near = cut(facing(pairs, "n", "parity").where(_may_match(percent)).select("p.a", "p.b").distinct(), "near")
-    return facing(near, *_ORDERS).where(agree).select("p.a", "p.b").distinct()
+    bits = F.zip_with("a.fine", "b.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+    nearer = cut(facing(near, "n", "fine").where(_near(apart, percent)).select("p.a", "p.b").distinct(), "nearer")
+    discard(near)
+    return facing(nearer, *_ORDERS).where(agree).select("p.a", "p.b").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,8 +207,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = F.size(F.array_intersect("x.tokens", "y.tokens")).cast("bigint")
     either = F.size("x.tokens") + F.size("y.tokens") - both
     return (
-        pairs.join(sets.alias("x"), F.col("a") == F.col("x.node"))
-        .join(sets.alias("y"), F.col("b") == F.col("y.node"))
+        pairs.join(_only(sets, pairs, "a").alias("x"), F.col("a") == F.col("x.node"))
+        .join(_only(sets, pairs, "b").alias("y"), F.col("b") == F.col("y.node"))
         .where(both * 100 >= either * percent)
         .select("a", "b").distinct()
     )
