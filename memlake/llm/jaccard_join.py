@@ -9,7 +9,7 @@ Hot groups: exact copies are one class from the start.  Within a bucket of texts
 token, pairs are not enumerated: each text is compared with a leader, components are formed, and
 only pairs that still lie in different components are looked at again, so a group of thousands of
 near copies costs about one comparison each while no link between different components is lost.
-Of buckets with the same texts one is kept, and buckets within one component are left out for good.
+Of buckets with the same texts one is kept.
 """
 
 from __future__ import annotations
