@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages become TF-IDF rows (inverse document frequencies over the whole corpus); a
-distributed randomised SVD of them gives a latent space.  Every window of every text is folded in and
-compared by cosine with the items; candidates are settled by the longest common subsequence of words
-and by whether the item's answer is there, so reworded copies are caught as well.
+Benchmark passages become TF-IDF rows (inverse document frequencies over the whole corpus); randomised
+SVDs, one task each, give a latent space for each ``RANK`` of them.  Every window of every text is folded
+in and compared by cosine with the items; candidates are settled by the longest common subsequence of
+words and by whether the item's answer is there, so reworded copies are caught as well.
 """
 
 from __future__ import annotations
@@ -26,21 +26,27 @@ COSINE = 0.3
 EXACT, REWORDED, ANSWER = 0.8, 0.5, 0.6
 COMMON = 0.2
 ITEMS_AT_ONCE = 20_000
+SPACES_AT_ONCE = 8
 
 
 @dataclass(frozen=True)
-class Latent:
-    """Inverse document frequencies, latent rows of the benchmark's features, and the items.
+class Space:
+    """A latent space: the rows of its ``features`` (sorted), the items' vectors, and whose they are."""
 
-    ``place``: feature to its row in ``basis``, -1 for features that no item has.
-    """
+    features: np.ndarray
+    basis: np.ndarray
+    vectors: np.ndarray
+    owners: np.ndarray
+
+
+@dataclass(frozen=True)
+class Latent:
+    """Inverse document frequencies, the items, and the spaces that hold them."""
 
     idf: np.ndarray
-    place: np.ndarray
-    basis: np.ndarray
     ids: np.ndarray
-    items: np.ndarray
     words: list[np.ndarray]
+    spaces: list[Space]
 
 
 def _features(hashes: np.ndarray) -> np.ndarray:
@@ -73,66 +79,51 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def _passages(batches) -> Iterator[np.ndarray]:
-    """Feature arrays of the windows of two steps of each benchmark text."""
-    for batch in batches:
-        for _, _, raw, at in K.blocks(batch.column("text")):
-            words = K.Words(raw, at)
-            features = _features(words.hashes)
-            for a, b in zip(words.at, words.at[1:]):
-                for start in range(a, max(a + 1, b - STEP), STEP):
-                    if b > start:
-                        yield features[start : min(b, start + 2 * STEP)]
-
-
-def _project(batches, idf, weights, place) -> Iterator[pa.RecordBatch]:
-    """This task's share of A'(A W): rows of features, for the passages A it holds."""
-    w, at, matrix = idf.value, place.value, weights.value
-    total = np.zeros(matrix.shape)
-    for features in _passages(batches):
-        rows = at[features]
-        scale = w[features]
-        norm = np.sqrt((scale * scale).sum()) or 1.0
-        latent = (scale / norm) @ matrix[rows]
-        np.add.at(total, rows, np.outer(scale / norm, latent))
-    used = np.flatnonzero(np.abs(total).sum(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), K.lists(list(total[used]), pa.float64())], ["row", "v"])
-
-
-def _gram_product(items: DataFrame, idf, place, matrix: np.ndarray) -> np.ndarray:
-    """A'(A W), summed over all tasks; as many rows as the benchmark has features, RANK columns."""
-    weights = items.sparkSession.sparkContext.broadcast(matrix)
-    width = matrix.shape[1]
-    summed = (
-        items.select("text").mapInArrow(lambda it: _project(it, idf, weights, place), "row int, v array<double>")
-        .select("row", F.posexplode("v").alias("k", "x")).groupBy("row", "k").agg(F.sum("x").alias("x"))
-        .groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
-        .toPandas()
-    )
-    out = np.zeros((len(matrix), width))
-    if len(summed):
-        out[summed["row"].to_numpy(np.int64)] = np.stack(summed["v"].to_numpy())
-    weights.destroy()
-    return out
-
+def _passages(words: np.ndarray) -> list[np.ndarray]:
+    """The windows of two steps of an item's words."""
+    return [words[at : at + 2 * STEP] for at in range(0, max(1, len(words) - STEP), STEP)]
 
-def randomised_svd(items: DataFrame, idf: np.ndarray, place: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors (features x rank) of the items' TF-IDF passages.
 
-    Range finder with power rounds: each product with A'A is one Spark job over the passages, and the
-    driver orthogonalises a matrix of the benchmark's features by ``rank``.
-    """
-    sc = items.sparkSession.sparkContext
-    shared, at = sc.broadcast(idf), sc.broadcast(place)
-    features = int(place.max(initial=-1)) + 1
-    rank = max(1, min(rank, features))
-    basis = np.random.default_rng(7).standard_normal((features, rank))
+def randomised_svd(matrix: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors (columns x rank): a range finder with power rounds."""
+    basis = np.random.default_rng(7).standard_normal((matrix.shape[1], min(rank, *matrix.shape)))
     for _ in range(1 + POWER_ROUNDS):
-        basis, _ = np.linalg.qr(_gram_product(items, shared, at, basis))
-    small = basis.T @ _gram_product(items, shared, at, basis)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    keep = values > 1e-9 * max(values.max(initial=0), 1e-30)
-    return basis @ vectors[:, keep]
+        basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
+    small = matrix @ basis
+    values, vectors = np.linalg.eigh(small.T @ small)
+    return basis @ vectors[:, values > 1e-9 * max(values.max(initial=0), 1e-30)]
+
+
+def _rows(passages: list[np.ndarray], features: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF rows of unit length over ``features``."""
+    out = np.zeros((len(passages), len(features)))
+    for row, words in zip(out, passages):
+        own = _features(words)
+        np.add.at(row, np.searchsorted(features, own), idf[own])
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def _space(owners: list[int], words: list[np.ndarray], idf: np.ndarray) -> Space:
+    """The space of some items' passages; of at most ``RANK`` passages none loses any length in it."""
+    passages = [p for w in words for p in _passages(w)]
+    features = np.unique(_features(np.concatenate(words)))
+    basis = randomised_svd(_rows(passages, features, idf), RANK)
+    vectors = _rows(words, features, idf) @ basis
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    return Space(features, basis.astype(np.float32), vectors.astype(np.float32), np.array(owners))
+
+
+def _shares(words: list[np.ndarray]) -> list[list[int]]:
+    """Runs of items that together have at most ``RANK`` passages (or are one item)."""
+    out: list[list[int]] = []
+    left = 0
+    for i, w in enumerate(words):
+        left -= len(_passages(w))
+        if left < 0:
+            out.append([])
+            left = RANK - len(_passages(w))
+        out[-1].append(i)
+    return out
 
 
 def _benchmark_words(items: list) -> list[np.ndarray]:
@@ -144,11 +135,17 @@ def _benchmark_words(items: list) -> list[np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[Latent]:
-    """One latent space for each ``ITEMS_AT_ONCE`` benchmark items (a stated query set, in blocks)."""
+def fit(docs: DataFrame, benchmark: DataFrame) -> Iterator[Latent]:
+    """The latent spaces of all items, ``SPACES_AT_ONCE`` at a time.
+
+    A space holds as many passages as it has dimensions, so their number grows with the benchmark; each
+    is decomposed by a Spark task of its own.  The items are a stated query set, read in blocks.
+    """
+    sc = docs.sparkSession.sparkContext
     counts, texts = document_frequencies(docs)
     idf = np.log((texts + 1) / (counts + 1))
     idf[counts > COMMON * texts] = 0.0
+    weights = sc.broadcast(idf)
     items = benchmark.selectExpr("cast(item_id as bigint) as item_id", "text").where("item_id is not null and text is not null")
     blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
     for block in range(blocks):
@@ -156,16 +153,14 @@ def fit(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> Iterator[Lat
         rows = sorted(some.distinct().collect(), key=lambda r: (r["item_id"], r["text"]))
         words = _benchmark_words(rows)
         kept = [i for i, w in enumerate(words) if len(w)]
-        if not kept:
-            continue
-        words = [words[i] for i in kept]
-        used = np.unique(_features(np.concatenate(words)))
-        place = np.full(1 << FEATURE_BITS, -1, np.int32)
-        place[used] = np.arange(len(used))
-        basis = randomised_svd(some, idf, place, rank).astype(np.float32)
-        latent = np.stack([idf[_features(w)] @ basis[place[_features(w)]] for w in words]).astype(np.float32)
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-        yield Latent(idf, place, basis, np.array([rows[i]["item_id"] for i in kept]), latent, words)
+        ids, words = np.array([rows[i]["item_id"] for i in kept]), [words[i] for i in kept]
+        shares = _shares(words)
+        for a in range(0, len(shares), SPACES_AT_ONCE):
+            few = shares[a : a + SPACES_AT_ONCE]
+            lo, hi = few[0][0], few[-1][-1] + 1
+            own = [([i - lo for i in share], [words[i] for i in share]) for share in few]
+            spaces = sc.parallelize(own, len(own)).map(lambda x: _space(*x, weights.value)).collect()
+            yield Latent(idf, ids[lo:hi], words[lo:hi], spaces)
 
 
 def common_subsequence(places: dict[int, int], size: int, words: list[int]) -> int:
@@ -194,68 +189,79 @@ class _Item:
         self.answer = set(tail[np.argsort(-rare, kind="stable")[: -(-len(tail) // 2)]].tolist())
 
 
+class _Steps:
+    """The steps of a block of texts: runs of STEP words within a row; a window is a step and the next of its row."""
+
+    def __init__(self, words: K.Words, scale: np.ndarray):
+        row = words.rows()
+        opens = (np.arange(len(row)) - words.at[row]) % STEP == 0
+        self.begins = np.flatnonzero(opens)
+        self.of = np.cumsum(opens) - 1
+        self.row = row[self.begins]
+        self.follows = np.append(self.row[1:] == self.row[:-1], False)
+        self.full = self.windows(np.add.reduceat(scale * scale, self.begins))
+
+    def windows(self, steps: np.ndarray) -> np.ndarray:
+        out = steps.copy()
+        out[self.follows] += steps[1:][self.follows[:-1]]
+        return out
+
+
+def _near(space: Space, place: np.ndarray, features: np.ndarray, scale: np.ndarray, steps: _Steps) -> Iterator[tuple]:
+    """(windows, vectors, cosines) of every window and vector of ``space`` with a cosine of ``COSINE`` or more."""
+    at = place[features]
+    held = np.flatnonzero((at >= 0) & (scale > 0))
+    own = steps.of[held]
+    # folding in cannot lengthen a window: those too far from the items' features are passed over
+    joint = steps.windows(np.bincount(own, scale[held] ** 2, len(steps.begins)))
+    window = np.flatnonzero((joint >= COSINE * COSINE * steps.full) & (steps.full > 0))
+    for a in range(0, len(window), 1024):
+        some = window[a : a + 1024]
+        nxt = steps.follows[some]
+        need = np.unique(np.append(some, some[nxt] + 1))
+        lo, hi = np.searchsorted(own, [need[0], need[-1] + 1])
+        slot = np.searchsorted(need, own[lo:hi])
+        use = need[slot] == own[lo:hi]
+        slot, token = slot[use], held[lo:hi][use]
+        cuts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        folded = np.zeros((len(need), space.basis.shape[1]), np.float32)
+        folded[slot[cuts]] = np.add.reduceat(space.basis[at[token]] * scale[token, None].astype(np.float32), cuts, axis=0)
+        vector = folded[np.searchsorted(need, some)]
+        vector[nxt] += folded[np.searchsorted(need, some[nxt] + 1)]
+        cosine = (vector @ space.vectors.T) / np.sqrt(steps.full[some])[:, None]
+        w, k = np.nonzero(cosine >= COSINE)
+        yield some[w], k, cosine[w, k]
+
+
 def _search(batches, latent) -> Iterator[pa.RecordBatch]:
     model: Latent = latent.value
     checks = [_Item(w, model.idf) for w in model.words]
-    weighted = model.basis
+    places = []
+    for space in model.spaces:
+        places.append(np.full(1 << FEATURE_BITS, -1, np.int32))
+        places[-1][space.features] = np.arange(len(space.features))
     for batch in batches:
         ids = batch.column("doc_id")
         for lo, _, raw, at in K.blocks(batch.column("text")):
             words = K.Words(raw, at)
-            n = len(words.hashes)
-            if not n:
+            if not len(words.hashes):
                 continue
             features = _features(words.hashes)
             scale = model.idf[features]
-            # steps: runs of STEP words within a row; a window is a step and the next of its row
-            row = words.rows()
-            opens = (np.arange(n) - words.at[row]) % STEP == 0
-            begins = np.flatnonzero(opens)
-            step_of = np.cumsum(opens) - 1
-            square = np.add.reduceat(scale * scale, begins)
-            held = np.flatnonzero((model.place[features] >= 0) & (scale > 0))
-            folded = np.zeros((len(begins), weighted.shape[1]), np.float32)
-            if len(held):
-                own = step_of[held]
-                cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                share = np.add.reduceat(scale[held] ** 2, cuts)
-                # folding in cannot lengthen a window: those too far from the items' features stay zero
-                near = np.zeros(len(begins))
-                near[own[cuts]] = share
-                joint, full = near.copy(), square.copy()
-                follows = np.append(row[begins[1:]] == row[begins[:-1]], False)
-                joint[follows] += near[1:][follows[:-1]]
-                full[follows] += square[1:][follows[:-1]]
-                could = joint >= COSINE * COSINE * full
-                needed = could.copy()
-                needed[1:] |= could[:-1]
-                use = held[needed[own]]
-                if len(use):
-                    own = step_of[use]
-                    cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    for a in range(0, len(cuts), 2048):
-                        b = min(len(cuts), a + 2048)
-                        lo_w, hi_w = cuts[a], cuts[b] if b < len(cuts) else len(use)
-                        some = use[lo_w:hi_w]
-                        vectors = weighted[model.place[features[some]]] * scale[some, None].astype(np.float32)
-                        folded[own[cuts[a:b]]] = np.add.reduceat(vectors, cuts[a:b] - lo_w, axis=0)
-                window = np.flatnonzero(could & (full > 0))
-                found = {}
-                for a in range(0, len(window), 4096):
-                    some = window[a : a + 4096]
-                    vector = folded[some]
-                    nxt = follows[some]
-                    vector[nxt] += folded[some[nxt] + 1]
-                    cosine = (vector @ model.items.T) / np.sqrt(full[some])[:, None]
-                    for w, item in zip(*np.nonzero(cosine >= COSINE)):
-                        found.setdefault((int(row[begins[some[w]]]), int(item)), []).append((float(cosine[w, item]), int(begins[some[w]])))
-                out = _settle(found, words, checks)
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(lo, len(at) - 1).take(pa.array([o[0] for o in out])), pa.array(model.ids[[o[1] for o in out]]),
-                         *(pa.array([o[k] for o in out], pa.float64()) for k in (2, 3, 4))],
-                        ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"],
-                    )
+            steps = _Steps(words, scale)
+            found: dict = {}
+            for space, place in zip(model.spaces, places):
+                for windows, vectors, cosines in _near(space, place, features, scale, steps):
+                    hits = zip(steps.row[windows].tolist(), space.owners[vectors].tolist(), cosines.tolist(), steps.begins[windows].tolist())
+                    for row, item, cosine, start in hits:
+                        found.setdefault((row, item), []).append((cosine, start))
+            out = _settle(found, words, checks)
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, len(at) - 1).take(pa.array([o[0] for o in out])), pa.array(model.ids[[o[1] for o in out]]),
+                     *(pa.array([o[k] for o in out], pa.float64()) for k in (2, 3, 4))],
+                    ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"],
+                )
 
 
 def _settle(found: dict, words: K.Words, checks: list[_Item]) -> list[tuple]:

@@ -349,6 +349,20 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark, nothing):
     assert decontaminate.find_leaks(nothing, bench.limit(0)).collect() == []
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    rnd = random.Random(22)
+    items = [(k, sentence(rnd, rnd.randint(32, 59), 3000)) for k in range(4000)]
+    rows = []
+    for i in range(400):
+        passage = items[i][1].split()
+        if i % 2:  # reworded
+            passage = [w if j % 6 else f"v{rnd.randrange(3000)}" for j, w in enumerate(passage)]
+        rows.append((i, " ".join([sentence(rnd, i % 16, 3000), *passage, sentence(rnd, 20, 3000)]), "en", "s", 1))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, DOC), bench).collect()}
+    assert found == {(i, i) for i in range(400)}
+
+
 def test_longest_common_subsequence():
     def brute(a, b):
         row = [0] * (len(b) + 1)
