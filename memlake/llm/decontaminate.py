@@ -24,7 +24,6 @@ RANK = 256
 POWER_ROUNDS = 2
 COSINE = 0.3
 EXACT, REWORDED, ANSWER = 0.8, 0.5, 0.6
-COMMON = 0.2
 ITEMS_AT_ONCE = 20_000
 SPACES_AT_ONCE = 8
 
@@ -69,9 +68,9 @@ def _doc_counts(batches) -> Iterator[pa.RecordBatch]:
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Texts per hashed word over every row of ``docs``, and the number of texts (2 MB, fixed)."""
+    """Distinct texts of ``docs`` per hashed word, and the number of them (2 MB, fixed)."""
     rows = (
-        docs.select("text").mapInArrow(_doc_counts, "feature int, n bigint")
+        docs.select("text").where("text is not null").distinct().mapInArrow(_doc_counts, "feature int, n bigint")
         .groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     )
     out = np.zeros((1 << FEATURE_BITS) + 1, np.int64)
@@ -143,8 +142,8 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> Iterator[Latent]:
     """
     sc = docs.sparkSession.sparkContext
     counts, texts = document_frequencies(docs)
-    idf = np.log((texts + 1) / (counts + 1))
-    idf[counts > COMMON * texts] = 0.0
+    # no word is without weight, however common: an item may consist of such words
+    idf = 1 + np.log((texts + 1) / (counts + 1))
     weights = sc.broadcast(idf)
     items = benchmark.selectExpr("cast(item_id as bigint) as item_id", "text").where("item_id is not null and text is not null")
     blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
@@ -210,11 +209,11 @@ class _Steps:
 def _near(space: Space, place: np.ndarray, features: np.ndarray, scale: np.ndarray, steps: _Steps) -> Iterator[tuple]:
     """(windows, vectors, cosines) of every window and vector of ``space`` with a cosine of ``COSINE`` or more."""
     at = place[features]
-    held = np.flatnonzero((at >= 0) & (scale > 0))
+    held = np.flatnonzero(at >= 0)
     own = steps.of[held]
     # folding in cannot lengthen a window: those too far from the items' features are passed over
     joint = steps.windows(np.bincount(own, scale[held] ** 2, len(steps.begins)))
-    window = np.flatnonzero((joint >= COSINE * COSINE * steps.full) & (steps.full > 0))
+    window = np.flatnonzero(joint >= COSINE * COSINE * steps.full)
     for a in range(0, len(window), 1024):
         some = window[a : a + 1024]
         nxt = steps.follows[some]

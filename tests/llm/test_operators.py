@@ -363,6 +363,26 @@ def test_leaks_of_a_large_benchmark(spark):
     assert found == {(i, i) for i in range(400)}
 
 
+def test_leaks_of_common_words(spark):
+    rnd = random.Random(23)
+    items = [(k, sentence(rnd, rnd.randint(15, 59), 3000)) for k in range(20)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+
+    def around(text):
+        return " ".join([sentence(rnd, rnd.randrange(40), 3000), text, sentence(rnd, rnd.randrange(40), 3000)])
+
+    def found(rows):
+        return {tuple(r) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).select("doc_id", "item_id").collect()}
+
+    for copies in (lambda k: around(items[k][1]), lambda k, same=[around(text) for _, text in items]: same[k]):  # near and exact
+        for k in (0, 7, 13):  # a third of the rows hold item k, others hold further ones
+            rows = [(i, copies(k) if i % 3 == 0 else sentence(rnd, 80, 3000)) for i in range(300)]
+            rows += [(1000 + j, around(text)) for j, (_, text) in enumerate(items)]
+            assert found(rows) == {(i, k) for i in range(0, 300, 3)} | {(1000 + j, j) for j in range(20)}
+    for n in (1, 2, 3, 4):
+        assert found([(i, around(items[i][1])) for i in range(n)]) == {(i, i) for i in range(n)}
+
+
 def test_longest_common_subsequence():
     def brute(a, b):
         row = [0] * (len(b) + 1)
