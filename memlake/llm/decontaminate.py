@@ -2,7 +2,7 @@
 
 Benchmark passages become TF-IDF rows (inverse document frequencies over the whole corpus); randomised
 SVDs, one task each, give a latent space for each ``RANK`` of them.  Every window of every text is folded
-in and compared by cosine with the items; candidates are settled by the longest common subsequence of
+in and compared by cosine with the passages of the items; candidates are settled by the longest common subsequence of
 words and by whether the item's answer is there, so reworded copies are caught as well.
 """
 
@@ -30,9 +30,14 @@ SPACES_AT_ONCE = 8
 
 @dataclass(frozen=True)
 class Space:
-    """A latent space: the rows of its ``features`` (sorted), the items' vectors, and whose they are."""
+    """A latent space of passages of two ``step``s: rows of ``features`` (sorted), passages and their items.
 
+    ``most``: the largest weight that any of the passages gives to each feature.
+    """
+
+    step: int
     features: np.ndarray
+    most: np.ndarray
     basis: np.ndarray
     vectors: np.ndarray
     owners: np.ndarray
@@ -78,9 +83,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def _passages(words: np.ndarray) -> list[np.ndarray]:
+def _step(size: int) -> int:
+    """The step for an item of so many words: a window is not much longer than the item, so it is not drowned."""
+    step = STEP
+    while step > 1 and 3 * step > 2 * size:
+        step //= 2
+    return step
+
+
+def _passages(words: np.ndarray, step: int) -> list[np.ndarray]:
     """The windows of two steps of an item's words."""
-    return [words[at : at + 2 * STEP] for at in range(0, max(1, len(words) - STEP), STEP)]
+    return [words[at : at + 2 * step] for at in range(0, max(1, len(words) - step), step)]
 
 
 def randomised_svd(matrix: np.ndarray, rank: int) -> np.ndarray:
@@ -102,27 +115,24 @@ def _rows(passages: list[np.ndarray], features: np.ndarray, idf: np.ndarray) ->
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def _space(owners: list[int], words: list[np.ndarray], idf: np.ndarray) -> Space:
-    """The space of some items' passages; of at most ``RANK`` passages none loses any length in it."""
-    passages = [p for w in words for p in _passages(w)]
-    features = np.unique(_features(np.concatenate(words)))
-    basis = randomised_svd(_rows(passages, features, idf), RANK)
-    vectors = _rows(words, features, idf) @ basis
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return Space(features, basis.astype(np.float32), vectors.astype(np.float32), np.array(owners))
+def _space(step: int, owners: list[int], passages: list[np.ndarray], idf: np.ndarray) -> Space:
+    """The space of some passages; of at most ``RANK`` of them none loses any length in it."""
+    features = np.unique(_features(np.concatenate(passages)))
+    rows = _rows(passages, features, idf)
+    basis = randomised_svd(rows, RANK)
+    return Space(step, features, rows.max(axis=0), basis.astype(np.float32), (rows @ basis).astype(np.float32), np.array(owners))
 
 
-def _shares(words: list[np.ndarray]) -> list[list[int]]:
-    """Runs of items that together have at most ``RANK`` passages (or are one item)."""
-    out: list[list[int]] = []
-    left = 0
+def _shares(words: list[np.ndarray]) -> list[tuple[int, list[int], list[np.ndarray]]]:
+    """(step, items, passages) of runs of at most ``RANK`` passages of one step."""
+    by_step: dict[int, list] = {}
     for i, w in enumerate(words):
-        left -= len(_passages(w))
-        if left < 0:
-            out.append([])
-            left = RANK - len(_passages(w))
-        out[-1].append(i)
-    return out
+        step = _step(len(w))
+        by_step.setdefault(step, []).extend((i, p) for p in _passages(w, step))
+    return [
+        (step, [i for i, _ in own[a : a + RANK]], [p for _, p in own[a : a + RANK]])
+        for step, own in sorted(by_step.items()) for a in range(0, len(own), RANK)
+    ]
 
 
 def _benchmark_words(items: list) -> list[np.ndarray]:
@@ -156,10 +166,11 @@ def fit(docs: DataFrame, benchmark: DataFrame) -> Iterator[Latent]:
         shares = _shares(words)
         for a in range(0, len(shares), SPACES_AT_ONCE):
             few = shares[a : a + SPACES_AT_ONCE]
-            lo, hi = few[0][0], few[-1][-1] + 1
-            own = [([i - lo for i in share], [words[i] for i in share]) for share in few]
+            held = sorted({i for _, owners, _ in few for i in owners})
+            place = {i: k for k, i in enumerate(held)}
+            own = [(step, [place[i] for i in owners], passages) for step, owners, passages in few]
             spaces = sc.parallelize(own, len(own)).map(lambda x: _space(*x, weights.value)).collect()
-            yield Latent(idf, ids[lo:hi], words[lo:hi], spaces)
+            yield Latent(idf, ids[held], [words[i] for i in held], spaces)
 
 
 def common_subsequence(places: dict[int, int], size: int, words: list[int]) -> int:
@@ -183,17 +194,18 @@ class _Item:
         self.places: dict[int, int] = {}
         for i, w in enumerate(words.tolist()):
             self.places[w] = self.places.get(w, 0) | 1 << i
+        self.counts = {w: bits.bit_count() for w, bits in self.places.items()}
         tail = np.unique(words[-max(1, len(words) // 3) :])
         rare = idf[_features(tail)]
         self.answer = set(tail[np.argsort(-rare, kind="stable")[: -(-len(tail) // 2)]].tolist())
 
 
 class _Steps:
-    """The steps of a block of texts: runs of STEP words within a row; a window is a step and the next of its row."""
+    """The steps of a block of texts: runs of words within a row; a window is a step and the next of its row."""
 
-    def __init__(self, words: K.Words, scale: np.ndarray):
+    def __init__(self, words: K.Words, scale: np.ndarray, step: int):
         row = words.rows()
-        opens = (np.arange(len(row)) - words.at[row]) % STEP == 0
+        opens = (np.arange(len(row)) - words.at[row]) % step == 0
         self.begins = np.flatnonzero(opens)
         self.of = np.cumsum(opens) - 1
         self.row = row[self.begins]
@@ -207,13 +219,15 @@ class _Steps:
 
 
 def _near(space: Space, place: np.ndarray, features: np.ndarray, scale: np.ndarray, steps: _Steps) -> Iterator[tuple]:
-    """(windows, vectors, cosines) of every window and vector of ``space`` with a cosine of ``COSINE`` or more."""
+    """(windows, passages, cosines) of every window and passage of ``space`` with a cosine of ``COSINE`` or more."""
     at = place[features]
     held = np.flatnonzero(at >= 0)
     own = steps.of[held]
     # folding in cannot lengthen a window: those too far from the items' features are passed over
     joint = steps.windows(np.bincount(own, scale[held] ** 2, len(steps.begins)))
-    window = np.flatnonzero(joint >= COSINE * COSINE * steps.full)
+    # nor can a product be more than each word at the largest weight it has in any passage
+    product = steps.windows(np.bincount(own, scale[held] * space.most[at[held]], len(steps.begins)))
+    window = np.flatnonzero((joint >= COSINE * COSINE * steps.full) & (product >= 0.999 * COSINE * np.sqrt(steps.full)))
     for a in range(0, len(window), 1024):
         some = window[a : a + 1024]
         nxt = steps.follows[some]
@@ -247,13 +261,14 @@ def _search(batches, latent) -> Iterator[pa.RecordBatch]:
                 continue
             features = _features(words.hashes)
             scale = model.idf[features]
-            steps = _Steps(words, scale)
+            by_step = {step: _Steps(words, scale, step) for step in {space.step for space in model.spaces}}
             found: dict = {}
             for space, place in zip(model.spaces, places):
-                for windows, vectors, cosines in _near(space, place, features, scale, steps):
-                    hits = zip(steps.row[windows].tolist(), space.owners[vectors].tolist(), cosines.tolist(), steps.begins[windows].tolist())
+                steps = by_step[space.step]
+                for windows, passages, cosines in _near(space, place, features, scale, steps):
+                    hits = zip(steps.row[windows].tolist(), space.owners[passages].tolist(), cosines.tolist(), steps.begins[windows].tolist())
                     for row, item, cosine, start in hits:
-                        found.setdefault((row, item), []).append((cosine, start))
+                        found.setdefault((row, item), []).append((cosine, start, start + 2 * space.step))
             out = _settle(found, words, checks)
             if out:
                 yield pa.RecordBatch.from_arrays(
@@ -272,15 +287,24 @@ def _settle(found: dict, words: K.Words, checks: list[_Item]) -> list[tuple]:
     for (row, item), windows in found.items():
         check = checks[item]
         best = None
-        for cosine, start in windows:
+        seen = set()
+        for cosine, start, end in sorted(windows, reverse=True):
             a = max(int(words.at[row]), start - check.size)
-            b = min(int(words.at[row + 1]), start + 2 * STEP + check.size)
+            b = min(int(words.at[row + 1]), end + check.size)
+            if (a, b) in seen:
+                continue
+            seen.add((a, b))
             region = words.hashes[a:b].tolist()
+            # a common subsequence is no longer than the item's words that the region has
+            if sum(map(check.counts.__getitem__, check.counts.keys() & region)) < REWORDED * check.size:
+                continue
             lcs = common_subsequence(check.places, check.size, region) / check.size
             answer = len(check.answer.intersection(region)) / len(check.answer)
             if lcs >= EXACT or lcs >= REWORDED and answer >= ANSWER:
                 mine = (lcs, answer, cosine)
                 best = mine if best is None else max(best, mine)
+                if lcs == answer == 1:
+                    break
         if best:
             out.append((row, item, best[2], best[0], best[1]))
     return out

@@ -383,6 +383,25 @@ def test_leaks_of_common_words(spark):
         assert found([(i, around(items[i][1])) for i in range(n)]) == {(i, i) for i in range(n)}
 
 
+def test_leaks_of_long_and_short_items(spark):
+    rnd = random.Random(24)
+    sizes = [1, 2, 3, 5, 6, 8, 9, 11, 12, 13, 16, 20, 23, 24, 31, 47, 90, 120, 200, 400, 600, 1000] * 4
+    items = [(k, " ".join(f"q{rnd.randrange(10**9)}" for _ in range(n))) for k, n in enumerate(sizes)]
+    rows, planted = [], set()
+    for k, text in items:
+        words = text.split()
+        half = list(words)
+        for j in rnd.sample(range(len(words) * 2 // 3), len(words) // 2):  # the answer stays
+            half[j] = f"w{rnd.randrange(3000)}"
+        for c, copy in enumerate((words, half)):
+            rows.append((2 * k + c, " ".join([sentence(rnd, 40 + k % 32, 3000), *copy, sentence(rnd, 60, 3000)])))
+            planted.add((2 * k + c, k))
+    rows += [(10_000 + i, sentence(rnd, 300, 3000)) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert found == planted
+
+
 def test_longest_common_subsequence():
     def brute(a, b):
         row = [0] * (len(b) + 1)
