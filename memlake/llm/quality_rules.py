@@ -30,7 +30,7 @@ def line_stats(docs: DataFrame, host: str) -> DataFrame:
         F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit("[^\\x20\\x09-\\x0D]"))).alias("lines"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
     )
-    normal = lambda line: F.lower(F.regexp_replace(F.regexp_replace(F.trim(line), f"{BLANK}+", " "), "[0-9]+", "0"))
+    normal = lambda line: F.lower(F.regexp_replace(F.trim(F.regexp_replace(line, f"{BLANK}+", " ")), "[0-9]+", "0"))
     windows = F.transform(
         F.sequence(F.lit(0), F.size("words") - WINDOW),
         lambda i: F.struct(

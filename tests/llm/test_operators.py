@@ -237,6 +237,16 @@ def test_lines_above_the_limit_deplete(spark):
     assert out[100].removed_words == 40 and out[200].removed_words == 0
 
 
+def test_line_ends_and_leading_tabs_do_not_part_a_line(spark):
+    rnd = random.Random(31)
+    line = "Share this page with your friends"
+    forms = [f"{line}\n", f"{line}\r\n", f"\t{line}\n", f" \t {line} \t\n"]
+    other = lambda: " ".join("".join(rnd.choices("abcdefgh", k=9)) for _ in range(80))
+    rows = [(i, forms[i % 4] + other(), "en", "s", 1) for i in range(80)]
+    out = quality_rules.judge_quality(spark.createDataFrame(rows, DOC)).collect()
+    assert collections.Counter(r.removed_words for r in out) == {6: 80}
+
+
 def test_shards_are_even_gapless_and_mostly_at_home(spark, docs, nothing):
     many = spark.createDataFrame([(7, f"t{i}", "en", "s", 2) for i in range(500)] + [(i, f"t{i % 3}", "en", "s", 2) for i in range(1000)], DOC)
     for rows in (docs, many, docs.limit(5), nothing):
