@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -25,7 +25,8 @@ NONE = np.int64(1) << 62
 PLACE = (1 << 32) - 1
 WIDE = 1 << 11
 ROWS_WIDTH = 1 << 16
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
+BLOCK_BYTES = 1 << 20  # larger than the other kernels' blocks: pieces that are new merge side by side
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -52,6 +53,11 @@ class Vocabulary:
         grid = np.arange(256)
         self.bytes_pair = self.pair(self.bytes_rank[grid[:, None]], self.bytes_rank[grid]).ravel()
 
+    @cached_property
+    def known(self) -> dict[int, int]:
+        """The pairs' ranks by key, for single lookups."""
+        return dict(zip(self.pair_keys[:-1].tolist(), self.pair_ranks[:-1].tolist()))
+
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``NONE`` where its joined bytes are no token."""
         key = left << 32 | right
@@ -206,7 +212,7 @@ def _merge_long(piece: bytes, vocab: Vocabulary) -> np.ndarray:
     tree = [none, *np.concatenate(levels[::-1]).tolist()]
     token = token.tolist()
     after, back = list(range(1, n + 1)), list(range(-1, n - 1))
-    known = dict(zip(vocab.pair_keys.tolist(), vocab.pair_ranks.tolist()))
+    known = vocab.known
 
     def put(leaf: int, value: int) -> None:
         node = width + leaf
@@ -310,18 +316,17 @@ class Encoder:
         return spread(self.begin[index], size, self.ids), ends[rows]
 
 
-def _encode(batches, tokens) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(Vocabulary(tokens.value))
+def _encode(batches, vocab) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder(vocab.value)
     for batch in batches:
         ids = batch.column("doc_id")
-        for lo, hi, raw, at in K.blocks(batch.column("text")):
+        for lo, hi, raw, at in K.blocks(batch.column("text"), BLOCK_BYTES):
             flat, ends = encoder.block(raw, at)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists], ["doc_id", "ids"])
 
 
-def _decode(batches, tokens) -> Iterator[pa.RecordBatch]:
-    table = tokens.value
+def _decode(batches, table: list[bytes]) -> Iterator[pa.RecordBatch]:
     sizes = np.array([len(t) for t in table], np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     data = np.frombuffer(b"".join(table), np.uint8)
@@ -345,18 +350,27 @@ def _decode(batches, tokens) -> Iterator[pa.RecordBatch]:
 def bpe_encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids): the token ids of each whole text, special tokens being ordinary text.
 
-    The vocabulary file is read once on the driver (its size is fixed) and broadcast.  A null text
+    The vocabulary is built once on the driver (its size is fixed) and broadcast.  A null text
     is empty and has no ids; doc_id is passed through, null or repeated; other columns are ignored.
     """
-    tokens = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
-        lambda it: _encode(it, tokens), "doc_id bigint, ids array<int>"
+    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(ranks_path)))
+    return K.bounded(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")).mapInArrow(
+        lambda it: _encode(it, vocab), "doc_id bigint, ids array<int>"
+    )
+
+
+def bpe_round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, ids, decoded): :func:`bpe_encode` and :func:`bpe_decode` in one pass, so that a task
+    needs one Python worker and the ids cross to it and back once."""
+    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(ranks_path)))
+    return K.bounded(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")).mapInArrow(
+        lambda it: _decode(_encode(it, vocab), vocab.value.tokens), "doc_id bigint, ids array<int>, decoded binary"
     )
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that the ids stand for; null ids decode to no bytes."""
     tokens = encoded.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    return encoded.select("doc_id", "ids").mapInArrow(
-        lambda it: _decode(it, tokens), "doc_id bigint, ids array<int>, decoded binary"
+    return K.bounded(encoded.select("doc_id", "ids")).mapInArrow(
+        lambda it: _decode(it, tokens.value), "doc_id bigint, ids array<int>, decoded binary"
     )

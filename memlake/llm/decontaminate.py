@@ -75,7 +75,7 @@ def _doc_counts(batches) -> Iterator[pa.RecordBatch]:
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Distinct texts of ``docs`` per hashed word, and the number of them (2 MB, fixed)."""
     rows = (
-        docs.select("text").where("text is not null").distinct().mapInArrow(_doc_counts, "feature int, n bigint")
+        K.bounded(docs.select("text").where("text is not null").distinct()).mapInArrow(_doc_counts, "feature int, n bigint")
         .groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     )
     out = np.zeros((1 << FEATURE_BITS) + 1, np.int64)
@@ -323,7 +323,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for latent in fit(docs, benchmark):
         shared = spark.sparkContext.broadcast(latent)
-        part = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
+        part = K.bounded(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")).mapInArrow(
             lambda it, shared=shared: _search(it, shared), schema
         )
         found = part if found is None else found.union(part)

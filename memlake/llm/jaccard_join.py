@@ -108,13 +108,13 @@ def _facts(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
         for lo, hi, raw, at in K.blocks(batch.column("text")):
             sets = list(K.shingle_rows(K.Words(raw, at), size))
             keep = [prefix_size(len(s), percent) if len(s) else 0 for s in sets]
-            odd = np.zeros((len(sets), FINE), np.uint8)
-            for i, s in enumerate(sets):
-                odd[i] = np.bincount((s & K.U64(FINE - 1)).view(np.int64), minlength=FINE) & 1
-            fine = np.packbits(odd, axis=1).view(np.int64)
-            bits = np.packbits(np.bitwise_xor.reduce(odd.reshape(len(sets), FINE // COARSE, COARSE), axis=1), axis=1).view(np.int64)
+            bits, fine = [], []
+            for s in sets:
+                odd = (np.bincount((s & K.U64(FINE - 1)).view(np.int64), minlength=FINE) & 1).astype(np.uint8)
+                fine.append(np.packbits(odd).view(np.int64))
+                bits.append(np.packbits(np.bitwise_xor.reduce(odd.reshape(FINE // COARSE, COARSE), axis=0)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), K.lists(list(bits), pa.int64()), K.lists(list(fine), pa.int64()),
+                [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), K.lists(bits, pa.int64()), K.lists(fine, pa.int64()),
                  *(K.lists([_by_hash(s, seed, k) for s, k in zip(sets, keep)], pa.int32()) for seed in ORDER_SEEDS)],
                 ["node", "n", "parity", "fine", *_ORDERS],
             )
@@ -248,7 +248,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     of its class, null if no such row has an id.  Columns beyond doc_id and text are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = K.bounded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     counts = spark.sparkContext.broadcast(token_counts(docs, size))
     rows = cut(
         docs.mapInArrow(

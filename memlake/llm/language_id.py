@@ -105,7 +105,7 @@ def train_filter(docs: DataFrame, train: Column, per_language: int = TRAIN_DOCS)
         .select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"])
     )
     counts = cut(
-        picked.select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint")
+        K.bounded(picked.select("lang", "text")).mapInArrow(_count, "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")),
         "grams",
     )
@@ -174,6 +174,6 @@ def predict_language(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     repeated ids pass through; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
+    return K.bounded(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")).mapInArrow(
         lambda it: _predict(it, shared), "doc_id bigint, lang_pred string, score double"
     )

@@ -163,7 +163,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     commas; ``spans`` adds the checksummed kinds.  A null text is empty and has none; null and
     repeated ids pass through; other columns are ignored.
     """
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
+    return K.bounded(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")).mapInArrow(
         _scan,
         "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_spans string, spans string",
     )
@@ -206,4 +206,4 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     columns[at_chars] = pa.array(sizes, columns[at_chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(change, schema)
+    return K.bounded(docs).mapInArrow(change, schema)

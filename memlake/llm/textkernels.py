@@ -1,8 +1,9 @@
 """Vectorised kernels over Arrow text columns, used inside ``mapInArrow`` tasks.
 
 A column of strings is one UTF-8 buffer plus row offsets; words, shingles and n-grams of a whole
-block of rows are then a handful of numpy passes.  Blocks are cut at ``BLOCK_BYTES`` so that memory
-follows the block (or the single longest text), not the Arrow batch.
+block of rows are then a handful of numpy passes.  Blocks are cut at ``BLOCK_BYTES`` and ``BLOCK_ROWS``
+so that memory follows the block (or the single longest text), not the Arrow batch: a kernel holds about
+a dozen 8-byte arrays of a block's length at a time.
 """
 
 from __future__ import annotations
@@ -11,14 +12,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
+BLOCK_ROWS = 1 << 12
+KEPT_POWERS = 1 << 19
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+_DEFAULT_BATCH = "67108864b"
 
 U64 = np.uint64
 _GOLDEN = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` as they are, once Arrow batches are bounded by bytes.
+
+    A batch of 10,000 long texts would fill a worker; where the session has Spark's default (64 MB),
+    it is set to ``BATCH_BYTES``, and a setting of the user's own stays.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_SETTING) == _DEFAULT_BATCH:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return rows
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A full-avalanche finaliser over uint64 (returns a new array)."""
     x = x ^ (x >> U64(30))
@@ -42,15 +60,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd base and of its inverse modulo 2**64, grown on demand.
+
+    At most ``KEPT_POWERS`` are kept; a longer text gets a table of its own, gone with the text.
+    """
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.empty(0, U64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > KEPT_POWERS:
+            return _powers(self.base, n), _powers(self.inverse, n)
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = min(KEPT_POWERS, max(n, 2 * len(self.up), 1 << 16))
             self.up, self.down = _powers(self.base, size), _powers(self.inverse, size)
         return self.up[:n], self.down[:n]
 
@@ -83,12 +106,12 @@ def column(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(array: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of consecutive blocks of about ``limit`` bytes."""
+    """(first row, end row, bytes, offsets) of consecutive blocks of about ``limit`` bytes and ``BLOCK_ROWS``."""
     raw, at = column(array)
     lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + BLOCK_ROWS)
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 

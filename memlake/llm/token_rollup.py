@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
-from memlake.llm.byte_bpe import Encoder, Vocabulary, load_ranks
+from memlake.llm.byte_bpe import BLOCK_BYTES, Encoder, Vocabulary, load_ranks
 
 KEYS = ("source", "lang", "tokenizer")
 _DELTA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
@@ -72,10 +72,10 @@ class Ledger:
         return summed.where("n_docs <> 0 or n_tokens <> 0")
 
 
-def _count(batches, tokens) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(Vocabulary(tokens.value))
+def _count(batches, vocab) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder(vocab.value)
     for batch in batches:
-        for lo, hi, raw, at in K.blocks(batch.column("text")):
+        for lo, hi, raw, at in K.blocks(batch.column("text"), BLOCK_BYTES):
             words = K.Words(raw, at)
             h1, h2 = K.sequence_keys(K.Words(raw, at, lower=False))
             _, ends = encoder.block(raw, at)
@@ -89,11 +89,12 @@ def _count(batches, tokens) -> Iterator[pa.RecordBatch]:
 
 def count_tokens(docs: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, source, lang, h1, h2, words, bpe) of each whole text: two counts and a content key."""
-    tokens = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    return docs.select(
+    vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(load_ranks(ranks_path)))
+    rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.col("lang").cast("string").alias("lang"), "text",
-    ).mapInArrow(
-        lambda it: _count(it, tokens),
+    )
+    return K.bounded(rows).mapInArrow(
+        lambda it: _count(it, vocab),
         "doc_id bigint, source string, lang string, h1 bigint, h2 bigint, words bigint, bpe bigint",
     )

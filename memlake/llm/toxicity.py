@@ -109,7 +109,7 @@ def train_toxicity(
         .dropDuplicates(["doc_id", "label"])
         .select("doc_id", "label", "text")
     )
-    found = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(_examples, "label int, features array<int>").toArrow()
+    found = K.bounded(rows.select(F.col("label").cast("int").alias("label"), "text")).mapInArrow(_examples, "label int, features array<int>").toArrow()
     flat = found.column("features").combine_chunks()
     ends = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
     every = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -147,7 +147,7 @@ def score_toxicity(docs: DataFrame, weights: Weights) -> DataFrame:
     A null or empty text has no features and gets the bias alone.  Null and repeated ids pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    return docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").mapInArrow(
+    return K.bounded(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")).mapInArrow(
         lambda it: _score(it, shared), "doc_id bigint, score double, predicted int"
     )
 
@@ -164,4 +164,4 @@ def drop_toxic(docs: DataFrame, weights: Weights) -> DataFrame:
             bad = np.concatenate([s.column("predicted").to_numpy(zero_copy_only=False) for s in scored]) if scored else np.empty(0)
             yield batch.filter(pa.array(bad == 0))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return K.bounded(docs).mapInArrow(keep, docs.schema)
