@@ -2,7 +2,7 @@
 
 Lineage is cut by writing Parquet into the folder that ``spark.checkpoint.dir`` names, which the
 driver and all executors share, so a lost executor only costs a re-read.  A folder of our own is
-used only where the setting is absent (local tests).
+used only where the setting is absent and Spark runs in one process (local tests).
 """
 
 from __future__ import annotations
@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
 BROADCAST_ROWS = 1_000_000
+SALTS = 16
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The scratch folder of this application."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = LOCAL_DEFAULT
     return f"{base.rstrip('/')}/memlake-{spark.sparkContext.applicationId}"
 
 
@@ -54,3 +60,25 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     is returned as it is and joins by shuffle.
     """
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``left`` joined with a written table that has each key once, however often ``left`` has one key.
+
+    A small ``right`` is broadcast.  A larger one is repeated ``SALTS`` times, so that the rows of a
+    hot key are dealt to as many tasks; ``how`` may be inner, left, left_semi or left_anti.
+    """
+    if right.count() <= max_rows:
+        return left.join(F.broadcast(right), keys, how)
+    salt = "__salt"
+    dealt = left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written down with a bigint key of its own for each row, and the key's column name."""
+    name = "row_key"
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return cut(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
