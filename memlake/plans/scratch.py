@@ -66,12 +66,13 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     """``left`` joined with a written table that has each key once, however often ``left`` has one key.
 
     A small ``right`` is broadcast.  A larger one is repeated ``SALTS`` times, so that the rows of a
-    hot key are dealt to as many tasks; ``how`` may be inner, left, left_semi or left_anti.
+    hot key are dealt, by a hash of the whole row, to as many tasks; ``how`` may be inner, left,
+    left_semi or left_anti.
     """
     if right.count() <= max_rows:
         return left.join(F.broadcast(right), keys, how)
     salt = "__salt"
-    dealt = left.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    dealt = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
     copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     return dealt.join(copies, [*keys, salt], how).drop(salt)
 
