@@ -20,6 +20,7 @@ TRAIN_POSITIVE = 3000
 TRAIN_NEGATIVE = 5000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
+UNTAUGHT = -35.0
 
 
 @dataclass(frozen=True)
@@ -62,7 +63,12 @@ def _examples(batches) -> Iterator[pa.RecordBatch]:
 
 
 def ftrl(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> Weights:
-    """FTRL-proximal over (label, distinct feature indices), in the given order."""
+    """FTRL-proximal over (label, distinct feature indices), in the given order.
+
+    Of no examples nothing is learned: the bias then says that no text is toxic.
+    """
+    if not examples:
+        return Weights(UNTAUGHT, np.empty(0, np.int64), np.empty(0, np.float32))
     size = 1 << FEATURE_BITS
     z, n = np.zeros(size), np.zeros(size)
     bias_z = bias_n = 0.0
@@ -95,8 +101,8 @@ def train_toxicity(
     """Learn ``labels.toxic`` from at most ``positives`` + ``negatives`` labelled rows where ``train`` holds.
 
     The bound is a parameter; the rows are those least in a hash of doc_id, so the choice is stable.
-    Null labels and ids are not used; a doc_id with both labels teaches both.  Without any label all
-    weights are zero.
+    Null labels and ids are not used; a doc_id with both labels teaches both; of rows with one doc_id
+    the least text teaches.  Without any label no text is predicted toxic (score about 0).
     """
     known = labels.where(train & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -106,8 +112,7 @@ def train_toxicity(
     rows = (
         docs.select("doc_id", "text").where("text is not null")
         .join(F.broadcast(chosen.selectExpr("doc_id", "toxic as label")), "doc_id")
-        .dropDuplicates(["doc_id", "label"])
-        .select("doc_id", "label", "text")
+        .groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     )
     found = K.bounded(rows.select(F.col("label").cast("int").alias("label"), "text")).mapInArrow(_examples, "label int, features array<int>").toArrow()
     flat = found.column("features").combine_chunks()
