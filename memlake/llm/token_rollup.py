@@ -2,12 +2,14 @@
 
 A batch of signed events (insert, delete, revise) becomes additive deltas by source, language and
 tokenizer version.  A batch is one directory under the ledger, replaced as a whole, and counts once:
-committing a batch id again changes nothing, so a job that died may be run again as it is.
+committing a batch id again changes nothing, so a job that died may be run again as it is.  Every
+``FOLD_AFTER`` batches the totals so far are written down, and later reads start from them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from memlake.llm.byte_bpe import BLOCK_BYTES, Encoder, Vocabulary, load_ranks
 
 KEYS = ("source", "lang", "tokenizer")
 _DELTA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
+FOLD_AFTER = 16
 _EVENTS = ("op", *KEYS, "n_tokens", "old_tokens")
 
 
@@ -46,25 +49,66 @@ class Ledger:
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    def _written(self, prefix: str) -> list[str]:
+        """What follows ``prefix`` in the names of the ledger's finished folders."""
+        if not self._fs.exists(self._at("")):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))]
+        return sorted(n[len(prefix):] for n in names if n.startswith(prefix) and self._fs.exists(self._at(f"{n}/_SUCCESS")))
+
+    @staticmethod
+    def _folder(batch: str) -> str:
+        """A batch id as one path element: all but letters, digits and ``_.-~`` is percent-encoded."""
+        name = quote(batch, safe="")
+        if not 0 < len(name) <= 200:
+            raise ValueError(f"a batch id must have 1 to 200 characters once encoded: {batch!r}")
+        return f"batch={name}"
+
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._at(f"batch={batch}/_SUCCESS"))
+        return self._fs.exists(self._at(f"{self._folder(batch)}/_SUCCESS"))
 
     def commit(self, batch: str, events: DataFrame) -> bool:
-        """Apply a batch once; False if it was applied before.  A half-written batch is replaced."""
+        """Apply a batch once; False if a batch of that id was applied before, whatever it held.
+
+        A half-written batch is replaced.  Changed content needs an id of its own (deletes and
+        revisions); any non-empty string is an id, unless it is too long for a folder's name.
+        One writer at a time.
+        """
         if self.committed(batch):
             return False
-        deltas(events.select(*_EVENTS)).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        deltas(events.select(*_EVENTS)).write.mode("overwrite").parquet(f"{self.path}/{self._folder(batch)}")
+        if len(self._state()[1]) >= FOLD_AFTER:
+            self.fold()
         return True
 
     def batches(self) -> list[str]:
-        if not self._fs.exists(self._at("")):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))]
-        return sorted(n for n in names if n.startswith("batch=") and self._fs.exists(self._at(f"{n}/_SUCCESS")))
+        """The ids of all committed batches."""
+        return [unquote(n) for n in self._written("batch=")]
+
+    def _state(self) -> tuple[str | None, list[str]]:
+        """The last written totals, if any, and the batches that they do not hold yet."""
+        held: set[str] = set()
+        folds = [n for n in self._written("totals=") if self._fs.exists(self._at(f"folded={n}/_SUCCESS"))]
+        if folds:
+            held = {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/folded={folds[-1]}").collect()}
+        return (folds[-1] if folds else None), [n for n in self._written("batch=") if n not in held]
+
+    def fold(self) -> None:
+        """Write the totals and the batches they hold; both count only once both are whole.
+
+        A batch keeps its folder, which is what makes it count once.
+        """
+        last, _ = self._state()
+        name = f"{int(last or 0) + 1:09d}"
+        held = [(n,) for n in self._written("batch=")]
+        totals = self.totals()
+        self.spark.createDataFrame(held, "batch string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/folded={name}")
+        totals.write.mode("overwrite").parquet(f"{self.path}/totals={name}")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches; emptied groups go."""
-        paths = [f"{self.path}/{name}" for name in self.batches()]
+        last, rest = self._state()
+        paths = [f"{self.path}/totals={last}"] * (last is not None) + [f"{self.path}/batch={n}" for n in rest]
         if not paths:
             return self.spark.createDataFrame([], _DELTA)
         every = self.spark.read.schema(_DELTA).parquet(*paths)
