@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.scratch import cut, discard
+from memlake.plans.scratch import cut, discard, join_hot
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
 
     Nodes without an edge do not appear.  Each round every node takes the least label among itself
     and its neighbours, then the label of its label; a component of diameter d needs about log d
-    rounds.  Labels are pre-aggregated before each shuffle, so a node with very many neighbours
-    costs no single task more than its combined rows.  Null ends are ignored.
+    rounds.  Labels are pre-aggregated before each shuffle and the edges of a node with very many
+    neighbours are dealt out, so a hub costs no single task more than its share.  Null ends are ignored.
     """
     both = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
     both = cut(
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     labels = cut(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "cc-0")
     while True:
         heard = (
-            both.join(labels.select(F.col("node").alias("near"), "label"), "near")
+            join_hot(both, labels.select(F.col("node").alias("near"), "label"), ["near"])
             .groupBy("node").agg(F.min("label").alias("heard"))
         )
         met = labels.join(heard, "node").select(
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         )
         jump = labels.select(F.col("node").alias("met"), F.col("label").alias("further"))
         after = cut(
-            met.join(jump, "met", "left").select(
+            join_hot(met, jump, ["met"], "left").select(
                 "node", "old", F.least("met", F.coalesce("further", "met")).alias("label")
             ),
             "cc",

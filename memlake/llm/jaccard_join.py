@@ -9,7 +9,8 @@ Hot groups: exact copies are one class from the start.  Within a bucket of texts
 token, pairs are not enumerated: each text is compared with a leader, components are formed, and
 only pairs that still lie in different components are looked at again, so a group of thousands of
 near copies costs about one comparison each while no link between different components is lost.
-Of buckets with the same texts one is kept.
+Of buckets with the same texts one is kept.  What is looked at again is dealt out by pairs of runs of
+at most about ``RUN`` texts, so no task holds a whole bucket.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
 from memlake.llm.components import connected_components
-from memlake.plans.scratch import BROADCAST_ROWS, broadcast_if_small, cut, discard
+from memlake.plans.scratch import BROADCAST_ROWS, broadcast_if_small, cut, discard, join_hot, numbered
 
 SHINGLE = 5
 PERCENT = 80
@@ -31,6 +32,7 @@ BUCKET_BITS = 18
 ORDER_SEEDS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 SHARED = 4
 STAR_ROUNDS = 2
+RUN = 1000
 FILTER_BITS = 20
 COARSE, FINE = 256, 4096
 _ORDERS = [f"order{i}" for i in range(len(ORDER_SEEDS))]
@@ -299,19 +301,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         placed = _labelled(members, labels)
         # first the texts that meet others in most of their prefix, then any, by a fresh hash
         rank = F.struct("met", "node", "label") if not turn else F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
-        leaders = (
+        leaders = cut(
             placed.groupBy("token")
-            .agg(F.max(rank).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .where("lo < hi").select("token", "top.node", "top.label")
+            .agg(F.max(rank).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
+            .where("lo < hi").select("token", "top.node", "top.label", "size"),
+            "leaders",
         )
+        scrap.append(leaders)
         if turn < STAR_ROUNDS:
             met = (
-                placed.alias("m").join(leaders.alias("l"), "token")
-                .where("m.label <> l.label").select("m.node", F.col("l.node").alias("lead"))
+                join_hot(placed, leaders.selectExpr("token", "node as lead", "label as lead_label"), ["token"])
+                .where("label <> lead_label").select("node", "lead")
             )
             met = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
         else:
-            met = _all_across(placed.join(leaders.select("token"), "token", "left_semi"), facts, percent)
+            met = _all_across(join_hot(placed, leaders.select("token", "size"), ["token"]), facts, percent)
         met = met.distinct()
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
@@ -362,28 +366,43 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
 
 def _all_across(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Every pair that shares a token and still lies in two components, within the bounds."""
-    rows = members.join(facts.select("node", "n", "parity"), "node")
-    near = F.col("a.token") == F.col("b.token")
+    """Every pair that shares a token and still lies in two components, within the bounds.
+
+    ``members``: token, node, label and the bucket's size.  A bucket is cut into runs of about ``RUN``
+    texts by a hash, and each pair of runs (lo, hi) is a join key of its own.
+    """
+    runs = F.ceil(F.col("size") / RUN)
+    rows = (
+        members.join(facts.select("node", "n", "parity"), "node")
+        .withColumn("run", F.pmod(F.xxhash64("node", F.lit(RUN)), runs))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), runs - 1)))
+        .select("token", "node", "label", "n", "parity", "run", F.least("run", "other").alias("lo"), F.greatest("run", "other").alias("hi"))
+    )
+    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
+    # two texts of one run meet under that run alone
+    once = (F.col("a.run") != F.col("b.run")) | (F.col("a.lo") == F.col("a.hi"))
     return (
         rows.alias("a")
-        .join(rows.alias("b"), near & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _may_match(percent))
+        .join(rows.alias("b"), near & once & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _may_match(percent))
         .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
     )
 
 
 def near_duplicate_keepers(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row for each group: the row whose doc_id is the component's smallest.
+    """``docs`` with one row of each group of linked rows; all columns are kept.
 
-    Wordless texts stay.  Of repeated rows of that doc_id one stays; rows without doc_id stay unless
-    their class has another row.  All columns of ``docs`` are kept.
+    Groups are of rows, not of ids: rows of one doc_id with unlike texts are apart, and rows without
+    doc_id are rows like any other.  Of a group the row with the least doc_id stays (rows without
+    one come last), of several such the first written.  A null or wordless text links with nothing and stays.
     """
-    placed = jaccard_components(docs, size, percent)
-    gone = placed.where("component_id <> doc_id or (doc_id is null and component_id is not null)")
-    ids = cut(gone.where("doc_id is not null").select("doc_id").distinct(), "gone")
-    kept = docs.join(broadcast_if_small(ids), "doc_id", "left_anti")
-    repeats = placed.groupBy("doc_id").count().where("count > 1")
-    if repeats.isEmpty():
-        return kept
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id is null").dropDuplicates(["text"]))
+    rows, key = numbered(docs)
+    placed = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), size, percent)
+    grouped = placed.where("n_shingles > 0").select(F.col("doc_id").alias(key), F.col("component_id").alias("group"))
+    several = cut(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group"), "groups")
+    crowd = cut(join_hot(grouped, several, ["group"]), "crowd")
+    ids = rows.select(F.col(key), F.col("doc_id").alias("own"))
+    rank = F.struct(F.col("own").isNull().alias("last"), "own", key)
+    best = crowd.join(ids, key).groupBy("group").agg(F.min(rank).alias("best")).select("group", F.col(f"best.{key}").alias("best"))
+    gone = cut(join_hot(crowd, cut(best, "best"), ["group"]).where(F.col(key) != F.col("best")).select(key), "gone")
+    discard(several, crowd)
+    return rows.join(broadcast_if_small(gone), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
