@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
+from memlake.plans.scratch import broadcast_if_small, cut, numbered
 
 FEATURE_BITS = 18
 STEP = 16
@@ -331,3 +332,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return spark.createDataFrame([], schema)
     best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.cosine", "m.lcs_share", "m.answer_share")
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; all columns are kept.
+
+    Rows are judged one by one, so a null or repeated doc_id neither saves nor condemns a row.
+    """
+    rows, key = numbered(docs)
+    leaks = cut(find_leaks(rows.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return rows.join(broadcast_if_small(leaks), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
