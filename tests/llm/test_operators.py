@@ -121,13 +121,38 @@ def test_jaccard_join_of_nothing(nothing):
     assert jaccard_join.jaccard_components(nothing).collect() == []
 
 
-def test_keepers_keep_one_of_each_group(docs):
+def test_keepers_keep_one_row_of_each_group(docs):
     kept = jaccard_join.near_duplicate_keepers(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    groups = {(i, c) for i, _, c in brute_components(awkward()) if i is not None}
-    assert {i for i in ids if i is not None} == {i for i, c in groups if i == c}
-    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    rows = [(k, t) for k, (_, t, *_) in enumerate(awkward())]
+    ids = [i for i, *_ in awkward()]
+    groups = collections.defaultdict(list)
+    for k, n, c in brute_components(rows):
+        groups[(c, 0) if n else (k, 1)].append(k)
+    want = collections.Counter(min(((ids[k] is None, ids[k] or 0, ids[k]) for k in g))[2] for g in groups.values())
+    assert collections.Counter(r.doc_id for r in kept.collect()) == want
+
+
+def test_keepers_tell_rows_of_one_id_apart(spark):
+    rows = [(1, "a b c d e f"), (1, "quite another text of some words"), (None, "a b c d e f"), (None, "a text without any id here"), (2, None), (2, None)]
+    kept = jaccard_join.near_duplicate_keepers(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert collections.Counter(map(tuple, kept)) == collections.Counter([rows[0], rows[1], rows[3], rows[4], rows[5]])
+
+
+def test_pairs_across_runs_of_a_bucket(spark, monkeypatch):
+    rnd = random.Random(14)
+    shared = sentence(rnd, 60, 10**6).split()
+    rows = []
+    for i in range(90):  # texts that share a third of their words, in pairs of near copies
+        own = random.Random(1000 + i // 2)
+        words = shared[:20] + [f"u{own.randrange(10**9)}" for _ in range(50)]
+        words[60 + i % 2] = f"v{i}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(jaccard_join, "RUN", 7)
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "_distinct_buckets", lambda members: members)
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert collections.Counter(map(tuple, found)) == brute_components(rows)
 
 
 def test_components_of_a_long_chain(spark):
@@ -332,6 +357,7 @@ def test_toxicity(spark, nothing):
     assert out[900].score == out[901].score and out[900].predicted == 0
     assert toxicity.drop_toxic(docs, weights).count() == sum(r.predicted == 0 for r in out.values())
     untaught = toxicity.train_toxicity(nothing, spark.createDataFrame([], "doc_id bigint, toxic int"), F.lit(True))
+    assert toxicity.drop_toxic(docs, untaught).count() == len(rows)
     assert len(untaught.index) == 0 and toxicity.score_toxicity(nothing, untaught).collect() == []
 
 
@@ -359,6 +385,16 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark, nothing):
     assert decontaminate.find_leaks(nothing, bench.limit(0)).collect() == []
 
 
+def test_leaking_rows_go_whatever_their_ids(spark):
+    rnd = random.Random(20)
+    item = sentence(rnd, 40, 10**6)
+    rows = [(i, text) for i in (None, 1) for text in (f"{sentence(rnd, 50)} {item}", sentence(rnd, 80), None, "")] + [(3, item), (3, item)]
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = decontaminate.drop_leaking(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row_key", F.lit("x")), bench)
+    assert kept.columns == ["doc_id", "text", "row_key"]
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == collections.Counter(r for r in rows if item not in (r[1] or ""))
+
+
 def test_leaks_of_a_large_benchmark(spark):
     rnd = random.Random(22)
     items = [(k, sentence(rnd, rnd.randint(32, 59), 3000)) for k in range(4000)]
@@ -441,6 +477,20 @@ def test_rollup_batches_count_once(spark, tmp_path):
     assert [tuple(r) for r in ledger.totals().collect()] == [("a", "en", "t", 1, 12)]
 
 
+def test_rollup_ids_and_folds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_rollup, "FOLD_AFTER", 2)
+    ledger = token_rollup.Ledger(spark, str(tmp_path / "ledger"))
+    ids = ["a/b", "a", "../x", "é b", "batch=1", "a%2Fb"]
+    for k, name in enumerate(ids):
+        rows = spark.createDataFrame([("insert", "s", "en", "t", 10 + k, 0)], "op string, source string, lang string, tokenizer string, n_tokens int, old_tokens int")
+        assert ledger.commit(name, rows) and not ledger.commit(name, rows)
+        assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(k + 1, sum(range(10, 11 + k)))]
+    assert sorted(ledger.batches()) == sorted(ids) and ledger._written("totals=")
+    for bad in ("", "x" * 300):
+        with pytest.raises(ValueError):
+            ledger.commit(bad, rows)
+
+
 def test_rollup_query_equals_a_recount(spark):
     own, sf = encodings(), "/root/testdata/sf0.001"
     want, seen = collections.Counter(), set()
