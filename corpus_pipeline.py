@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import decontaminate, jaccard_join, queries, secret_scan, toxicity
-from memlake.plans.scratch import broadcast_if_small, cut
+from memlake.plans.scratch import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,15 +16,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies."""
+    """One row, that with the smallest doc_id, of each group of near copies."""
     return jaccard_join.near_duplicate_keepers(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without those that hold a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = cut(decontaminate.find_leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(broadcast_if_small(leaks), "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.drop_leaking(docs, benchmark)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
