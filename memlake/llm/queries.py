@@ -21,7 +21,7 @@ from memlake.llm import (
     url_filter,
 )
 from memlake.llm.oracles import ORACLE_SQL
-from memlake.plans.scratch import cut, scratch_root
+from memlake.plans.scratch import cut, join_hot, scratch_root
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -101,8 +101,9 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counter and revises the first counter to words plus one end mark; ``dedupe`` then comes again.
     """
     counted = cut(token_rollup.count_tokens(_read(spark, sf_dir, "documents"), RANKS), "token-counts")
-    firsts = counted.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"))
-    marked = cut(counted.join(firsts, ["h1", "h2"], "left").withColumn("copy", F.col("doc_id") > F.col("keep")), "token-copies")
+    copied = counted.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = join_hot(counted, cut(copied, "token-keepers"), ["h1", "h2"], "left")
+    marked = cut(met.withColumn("copy", F.col("doc_id") > F.col("keep")), "token-copies")
 
     def events(rows: DataFrame, op: str, tokenizer: str, count: str, old: str = "0") -> DataFrame:
         return rows.selectExpr(
