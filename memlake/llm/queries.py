@@ -81,8 +81,7 @@ def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """The digest columns of encoded and decoded texts."""
-    encoded = byte_bpe.bpe_decode(byte_bpe.bpe_encode(docs, RANKS), RANKS)
-    return encoded.select(
+    return byte_bpe.bpe_round_trip(docs, RANKS).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
