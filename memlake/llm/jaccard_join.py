@@ -34,7 +34,7 @@ SHARED = 4
 STAR_ROUNDS = 2
 RUN = 1000
 FILTER_BITS = 20
-COARSE, FINE = 256, 4096
+COARSE, FINE = 1024, 4096
 _ORDERS = [f"order{i}" for i in range(len(ORDER_SEEDS))]
 
 
