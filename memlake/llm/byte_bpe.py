@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache, cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +24,7 @@ NONE = np.int64(1) << 62
 PLACE = (1 << 32) - 1
 WIDE = 1 << 11
 ROWS_WIDTH = 1 << 16
-CACHE_PIECES = 250_000
-BLOCK_BYTES = 1 << 20  # larger than the other kernels' blocks: pieces that are new merge side by side
+CACHE_PIECES = 60_000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -80,7 +78,8 @@ def code_point_classes() -> np.ndarray:
     """SPACE, LETTER, NUMBER or OTHER for every code point."""
     import regex
 
-    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    points = np.arange(0x110000, dtype=np.uint32)
+    every = points[(points < 0xD800) | (points >= 0xE000)].tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((SPACE, r"\p{White_Space}+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for m in regex.finditer(pattern, every):
@@ -281,24 +280,39 @@ def spread(begin: np.ndarray, size: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes blocks, remembering the ids of pieces seen; memory is bounded by ``CACHE_PIECES``."""
+    """Encodes blocks, remembering the ids of pieces seen.
+
+    Memory is bounded: beyond ``CACHE_PIECES`` pieces only those of the last block are kept, and the
+    pieces seen before become the older generation, from which a piece that comes again is taken over.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self._forget()
+        self.older: tuple = ({}, None, None, None)
+        self._begin()
 
-    def _forget(self) -> None:
+    def _begin(self) -> None:
         self.seen: dict[bytes, int] = {}
         self.ids, self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        order, ids, sizes = merge_pieces(fresh, self.vocab)
+    def _add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.begin)
-        self.seen.update(zip((fresh[i] for i in order), range(first, first + len(order))))
+        self.seen.update(zip(pieces, range(first, first + len(pieces))))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.ids = np.concatenate([self.ids, ids])
 
+    def _learn(self, fresh: list[bytes]) -> None:
+        known, ids, begin, size = self.older
+        again = [p for p in fresh if p in known]
+        if again:
+            at = np.array([known[p] for p in again], np.int64)
+            self._add(again, spread(begin[at], size[at], ids), size[at])
+            fresh = [p for p in fresh if p not in known]
+        if fresh:
+            order, ids, sizes = merge_pieces(fresh, self.vocab)
+            self._add([fresh[i] for i in order], ids, sizes)
+
     def block(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all rows in a block, and the rows' offsets among them."""
         pieces, rows = split_pieces(raw, at)
@@ -306,7 +320,8 @@ class Encoder:
         if None in found:
             fresh = list({p for p, f in zip(pieces, found) if f is None})
             if len(self.seen) + len(fresh) > CACHE_PIECES:
-                self._forget()
+                self.older = (self.seen, self.ids, self.begin, self.size)
+                self._begin()
                 fresh = list(set(pieces))
             self._learn(fresh)
             found = list(map(self.seen.__getitem__, pieces))
@@ -320,7 +335,7 @@ def _encode(batches, vocab) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(vocab.value)
     for batch in batches:
         ids = batch.column("doc_id")
-        for lo, hi, raw, at in K.blocks(batch.column("text"), BLOCK_BYTES):
+        for lo, hi, raw, at in K.blocks(batch.column("text")):
             flat, ends = encoder.block(raw, at)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists], ["doc_id", "ids"])
