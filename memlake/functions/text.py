@@ -137,8 +137,16 @@ def kebab(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(parted), r"[\s_]+", "-"))
 
 
+# Parts of messages of errors that another try may mend.
+TRANSIENT = (
+    "timeout", "timed out", "rate limit", "too many requests", "temporarily unavailable", "service unavailable", "gateway timeout",
+    "bad gateway", "connection reset", "connection refused", "socket hang up", "network", "econnreset", "econnrefused",
+    "etimedout", "eai_again", "429", "503", "504", "overloaded",
+)
+
+
 def error_class(message: Column) -> Column:
-    """``transient`` for errors worth another try, else ``permanent``."""
-    return F.when(
-        F.lower(message).rlike("timeout|timed out|rate limit|429|503|econnreset|temporarily|overloaded"), "transient"
-    ).otherwise("permanent")
+    """``transient`` for errors worth another try, ``unknown`` without a message, else ``permanent``."""
+    return (
+        F.when(message.isNull(), "unknown").when(F.lower(message).rlike("|".join(TRANSIENT)), "transient").otherwise("permanent")
+    )

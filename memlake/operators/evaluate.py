@@ -35,6 +35,52 @@ def token_f1(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return sums.select(key, F.round(f1(F.col("hits"), F.col("fa"), F.col("fb")), 6).alias("f1"))
 
 
+def answer_metrics(pairs: DataFrame, key: str, gold: str, answer: str, abstained: Column, adversarial: Column) -> DataFrame:
+    """(key, contained, recall, f1, full, abstained, false_abstention) of answers against gold texts.
+
+    recall is the share of gold tokens, repeats included, that the answer has; f1 is over multisets.
+    An empty gold text is contained in nothing and has recall and f1 of 0.
+    """
+    wanted = F.lower(F.trim(gold))
+    tokens = pairs.select(key, text.tokens(F.col(gold)).alias("g"), text.tokens(F.col(answer)).alias("a"), (F.length(wanted) > 0).alias("any"),
+                          F.lower(answer).contains(wanted).alias("inside"), abstained.alias("abstained"), adversarial.alias("adversarial"))
+    hits = F.size(F.filter("g", lambda t: F.array_contains("a", t)))
+    rows = tokens.select(
+        key, (F.col("any") & F.col("inside")).alias("contained"),
+        F.when(F.size("g") > 0, F.round(hits / F.size("g"), 6)).otherwise(0.0).alias("recall"),
+        ((F.size("g") > 0) & (hits == F.size("g"))).alias("full"), "abstained", (F.col("abstained") & ~F.col("adversarial")).alias("false_abstention"),
+    )
+    return rows.join(token_f1(pairs, key, gold, answer), key, "left").withColumn("f1", F.coalesce("f1", F.lit(0.0)))
+
+
+def persona_recall(rows: DataFrame, key: str, persona: str, context: str) -> DataFrame:
+    """(key, recall, contained) of persona lines (array) in a context: the share of their tokens, repeats
+    included, that it has, and the share of lines that it holds whole."""
+    gold = text.tokens(F.array_join(persona, " "))
+    parts = rows.select(key, gold.alias("g"), F.array_distinct(text.tokens(F.col(context))).alias("c"), F.lower(context).alias("whole"), F.col(persona).alias("p"))
+    hits = F.size(F.filter("g", lambda t: F.array_contains("c", t)))
+    held = F.size(F.filter("p", lambda line: (F.length(F.trim(line)) > 0) & F.col("whole").contains(F.lower(F.trim(line)))))
+    return parts.select(
+        key, F.when(F.size("g") > 0, F.round(hits / F.size("g"), 6)).otherwise(0.0).alias("recall"),
+        F.when(F.size("p") > 0, F.round(held / F.size("p"), 6)).otherwise(0.0).alias("contained"),
+    )
+
+
+def arc_summary(turns: DataFrame) -> DataFrame:
+    """(arcs, narrowed, coherent) over turns (arc, turn, size, coverage): an arc narrows if its last turn
+    has no more results than its first, and is coherent if its last turn covers half of what it should."""
+    first, last = (f("turn") for f in (lambda c: F.min_by("size", c), lambda c: F.max_by(F.struct("size", "coverage"), c)))
+    arcs = turns.groupBy("arc").agg(first.alias("first"), last.alias("last"))
+    return arcs.agg(
+        F.count(F.lit(1)).alias("arcs"), F.count_if(F.col("last.size") <= F.col("first")).alias("narrowed"), F.count_if(F.col("last.coverage") >= 0.5).alias("coherent")
+    )
+
+
+def repeated_signatures(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, n) of signatures that occur twice or more."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
 def evidence_recall(evidence: DataFrame, found: DataFrame) -> DataFrame:
     """(query, recall) of evidence ids (query, id) among found ones."""
     hit = evidence.join(found.select("query", "id", F.lit(1).alias("hit")).distinct(), ["query", "id"], "left")

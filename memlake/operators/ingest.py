@@ -10,12 +10,26 @@ from pyspark.sql import functions as F
 from memlake.functions import text, vector
 
 DUPLICATE, REINFORCE = 0.95, 0.85
+BATCH_ROWS = 10_000
 
 
 def nearest(batch: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(id, nearest, sim): each batch row's closest corpus row by cosine; a micro-batch is the bounded,
-    broadcast side, and the corpus is reduced to one best row per batch row before the shuffle."""
-    few = F.broadcast(batch.where("embedding is not null").select("id", F.col("embedding").alias("query")))
+    """(id, nearest, sim): each batch row's closest corpus row by cosine.
+
+    A micro-batch is a stated query set against all rows: it is counted, and broadcast in blocks of
+    about ``BATCH_ROWS``; the corpus is reduced to one best row per batch row before the shuffle.
+    """
+    rows = batch.where("embedding is not null").select("id", F.col("embedding").alias("query"))
+    blocks = max(1, -(-rows.count() // BATCH_ROWS))
+    found = None
+    for block in range(blocks):
+        part = _nearest(rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block), corpus)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _nearest(few: DataFrame, corpus: DataFrame) -> DataFrame:
+    few = F.broadcast(few)
     sims = corpus.where("embedding is not null").select(F.col("id").alias("other"), "embedding").join(few, F.col("other") != F.col("id")).select(
         "id", "other", F.round(vector.cosine(F.col("embedding"), F.col("query")), 6).alias("sim")
     )

@@ -93,6 +93,14 @@ def compose_intersection(anchors: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(any_strong)).where(strong | (F.col("any") == 0)).select("id", "probes")
 
 
+def compose_fusion(scored: DataFrame, tau: float = TAU, top: int = TOP) -> DataFrame:
+    """Claims by density over all probes; a single probe has nothing to fuse and ranks by similarity."""
+    probes = F.broadcast(scored.agg(F.countDistinct("probe").alias("probes")))
+    fused = density(scored, tau, top).crossJoin(probes).where("probes > 1")
+    single = scored.select("id", F.col("sim").alias("score")).crossJoin(probes).where("probes = 1")
+    return fused.select("id", "score").unionByName(_ranked(single, top).select("id", "score"))
+
+
 def shortest_paths(edges: DataFrame, anchors: DataFrame, depth: int = 3) -> DataFrame:
     """(anchor, id, cost, hops, nodes): least-cost simple walks of at most ``depth`` edges.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text
@@ -25,6 +25,22 @@ def _best(*frames: DataFrame) -> DataFrame:
     return out.groupBy("id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
+def layered_budget(rows: DataFrame, budget: int, group: str, order: Sequence[str] = ("created_at", "id"), shares: dict[str, float] | None = None) -> DataFrame:
+    """Rows (group, layer, token_count, ...) that fit their layer's share of ``budget``, with ``used``.
+
+    ``working`` fills from the oldest row, other layers from the newest; the first row that does not
+    fit ends its layer.  Shares are half, three tenths and a fifth unless given; other layers get none.
+    """
+    shares = shares or {"working": 0.5, "episodic": 0.3, "semantic": 0.2}
+    limit = F.lit(0)
+    for layer, share in shares.items():
+        limit = F.when(F.col("layer") == layer, int(budget * share)).otherwise(limit)
+    forward = Window.partitionBy(group, "layer").orderBy(*order)
+    backward = Window.partitionBy(group, "layer").orderBy(*[F.col(c).desc() for c in order])
+    used = F.when(F.col("layer") == "working", F.sum("token_count").over(forward)).otherwise(F.sum("token_count").over(backward))
+    return rows.withColumn("used", used).where(F.col("used") <= limit)
+
+
 def keyword_hits(memory: DataFrame, words: Sequence[str], per_keyword: int | None = None) -> DataFrame:
     """(id, hits): how many of the keywords each memory contains, case-insensitively."""
     if not words:

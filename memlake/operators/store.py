@@ -1,16 +1,19 @@
 """A copy-on-write store of node and edge tables on Parquet.
 
 Every table is a folder of versions; a write makes a new version and then moves the pointer file, so
-readers see the old or the new table and never a mix.  Edges are one table partitioned by type.
+readers see the old or the new table and never a mix.  Edges are one table partitioned by type.  The
+schema of a version lies beside it, so an emptied table keeps its columns.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memlake import model
 
@@ -38,13 +41,21 @@ class Store:
         version = self._pointer(table)
         if version is None:
             return model.empty(self.spark, table)
-        return self.spark.read.parquet(f"{self.path}/{table}/{version}")
+        stream = self._fs.open(self._at(f"{table}/schema-{version}"))
+        try:
+            schema = StructType.fromJson(json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/{version}").select(*schema.names)
 
     def write(self, table: str, rows: DataFrame) -> None:
         """Replace a table; edges are laid out by type."""
         version = uuid.uuid4().hex[:12]
         out = rows.write.partitionBy("edge_type") if table == "edges" else rows.write
         out.parquet(f"{self.path}/{table}/{version}")
+        stream = self._fs.create(self._at(f"{table}/schema-{version}"))
+        stream.write(bytearray(rows.schema.json().encode()))
+        stream.close()
         if self._staged is not None:
             self._staged[table] = version
         else:

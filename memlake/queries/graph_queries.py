@@ -292,6 +292,48 @@ def eval_token_f1(spark, sf_dir):
     return evaluate.token_f1(items.join(docs, "key"), "key", "a", "b")
 
 
+_ANSWERS = f"""SELECT conv_id * 1000 + turn AS key, text AS gold, coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS answer, conv_id % 5 = 0 AS adversarial FROM conversations"""
+
+
+@query(f"""WITH p AS ({_ANSWERS}), t AS (SELECT *, {TOKENS.format('gold')} AS g, {TOKENS.format('answer')} AS a FROM p),
+    x AS (SELECT key, token, count(*) AS n FROM (SELECT key, unnest(g) AS token FROM t) GROUP BY key, token), y AS (SELECT key, token, count(*) AS n FROM (SELECT key, unnest(a) AS token FROM t) GROUP BY key, token),
+    h AS (SELECT x.key, sum(least(x.n, y.n)) AS hits FROM x JOIN y ON x.key = y.key AND x.token = y.token GROUP BY x.key)
+    SELECT t.key, length(trim(gold)) > 0 AND contains(lower(answer), lower(trim(gold))) AS contained,
+      CASE WHEN len(g) > 0 THEN round(len(list_filter(g, lambda w: list_contains(a, w))) / len(g), 6) ELSE 0 END AS recall,
+      len(g) > 0 AND len(list_filter(g, lambda w: list_contains(a, w))) = len(g) AS "full", length(answer) % 2 = 0 AS abstained, length(answer) % 2 = 0 AND NOT adversarial AS false_abstention,
+      coalesce(round(2.0 * h.hits / (len(g) + len(a)), 6), 0) AS f1 FROM t LEFT JOIN h ON h.key = t.key""")
+def eval_answer_metrics(spark, sf_dir):
+    """Each turn as the gold text, the next turn as the answer."""
+    later = F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    rows = P.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.col("text").alias("gold"), later.alias("answer"), (F.col("conv_id") % 5 == 0).alias("adversarial"))
+    return evaluate.answer_metrics(rows, "key", "gold", "answer", F.length("answer") % 2 == 0, F.col("adversarial"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, list(text ORDER BY turn) FILTER (turn % 2 = 1) AS p, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (turn % 2 = 0), '') AS context FROM conversations GROUP BY conv_id),
+    t AS (SELECT conv_id, coalesce(p, []) AS p, lower(context) AS whole, {TOKENS.format("array_to_string(coalesce(p, []), ' ')")} AS g, {TOKENS.format('context')} AS c FROM c)
+    SELECT conv_id, CASE WHEN len(g) > 0 THEN round(len(list_filter(g, lambda w: list_contains(c, w))) / len(g), 6) ELSE 0 END AS recall,
+      CASE WHEN len(p) > 0 THEN round(len(list_filter(p, lambda s: length(trim(s)) > 0 AND contains(whole, lower(trim(s))))) / len(p), 6) ELSE 0 END AS contained FROM t""")
+def eval_persona_recall(spark, sf_dir):
+    """Odd turns of a conversation as the persona, even turns as the context."""
+    turn = F.struct("turn", "text")
+    sides = P.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        *(F.transform(F.array_sort(F.collect_list(F.when(F.col("turn") % 2 == odd, turn))), lambda x: x["text"]).alias(name) for odd, name in ((1, "persona"), (0, "even")))
+    )
+    return evaluate.persona_recall(sides.withColumn("context", F.array_join("even", " ")), "conv_id", "persona", "context")
+
+
+@query("""WITH a AS (SELECT conv_id, min_by(length(text), turn) AS first, max_by(length(text), turn) AS last, max_by(turn % 4, turn) / 4.0 AS coverage FROM conversations GROUP BY conv_id)
+    SELECT count(*) AS arcs, count(*) FILTER (last <= first) AS narrowed, count(*) FILTER (coverage >= 0.5) AS coherent FROM a""")
+def eval_arcs(spark, sf_dir):
+    turns = P.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("arc"), "turn", F.length("text").alias("size"), (F.col("turn") % 4 / 4.0).alias("coverage"))
+    return evaluate.arc_summary(turns)
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type HAVING count(*) >= 2")
+def eval_repeated_signatures(spark, sf_dir):
+    return evaluate.repeated_signatures(P.table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
 @query("""WITH f AS (SELECT doc_id AS id, source AS query FROM documents), e AS (SELECT d.source AS query, l.doc_id AS id, l.toxic FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
     SELECT query, round(avg(CASE WHEN toxic = 0 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM e GROUP BY query""")
 def eval_evidence_recall(spark, sf_dir):

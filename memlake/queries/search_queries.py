@@ -51,10 +51,6 @@ HYBRID = f"""{P.views('memory', 'tagged')}, v AS ({vector_sql()}), f AS ({text_s
     s AS (SELECT id, round((coalesce(vector * 0.5, 0) + coalesce(fulltext * 0.3, 0) + coalesce(graph * 0.2, 0)) / (0.5 + 0.3 + 0.2), 6) AS score FROM m)"""
 
 
-def hybrid_query(spark: SparkSession, sf_dir: str, **more) -> search.SearchQuery:
-    return search.SearchQuery(vector=probe(spark, sf_dir), text=TEXT, tags=(), **more)
-
-
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, vec = corpus(spark, sf_dir), probe(spark, sf_dir)
     found = [search.vector_search(c.memory, vec), search.fulltext_search(c.memory, TEXT)]
@@ -67,8 +63,16 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.withColumn("score", F.round(scoring.merge_scores({m: F.col(m) for m in scoring.WEIGHTS}), 6))
 
 
-@query(f"{HYBRID} SELECT id, score FROM s ORDER BY score DESC, id LIMIT 10")
+@query(f"{HYBRID} SELECT id, score FROM s WHERE id IN (SELECT in_id FROM tagged WHERE out_id = '{TAG}') ORDER BY score DESC, id LIMIT 10")
 def hybrid_search(spark, sf_dir):
+    """The engine's own search in hybrid mode: tags are a modality and, as for any mode, a condition."""
+    rows = search.search(corpus(spark, sf_dir), search.SearchQuery(vector=probe(spark, sf_dir), text=TEXT, tags=(TAG,)))
+    return rows.select("id", "score")
+
+
+@query(f"{HYBRID} SELECT id, score FROM s ORDER BY score DESC, id LIMIT 10")
+def hybrid_union(spark, sf_dir):
+    """The three modalities of the hybrid search without the tag as a condition."""
     return _hybrid(spark, sf_dir).select("id", "score").orderBy(F.col("score").desc(), "id").limit(10)
 
 
@@ -283,6 +287,19 @@ def chat_context_budget(spark, sf_dir):
     return rows.select("conv_id", "turn", F.lit("working").alias("layer"), "used")
 
 
+_LAYER = "CASE turn % 3 WHEN 0 THEN 'working' WHEN 1 THEN 'episodic' ELSE 'semantic' END"
+
+
+@query(f"""SELECT conv_id, turn, layer, CAST(used AS BIGINT) AS used FROM (SELECT conv_id, turn, layer,
+      CASE WHEN layer = 'working' THEN sum(token_count) OVER (PARTITION BY conv_id, layer ORDER BY created_at, turn)
+      ELSE sum(token_count) OVER (PARTITION BY conv_id, layer ORDER BY created_at DESC, turn DESC) END AS used
+      FROM (SELECT *, {_LAYER} AS layer FROM ({P.VIEWS['turn']})))
+    WHERE used <= CASE layer WHEN 'working' THEN 200 WHEN 'episodic' THEN 120 ELSE 80 END""")
+def chat_layer_budgets(spark, sf_dir):
+    rows = P.turns(spark, sf_dir).withColumn("layer", F.expr(_LAYER))
+    return retrieval.layered_budget(rows, 400, "conv_id", ("created_at", "turn")).select("conv_id", "turn", "layer", "used")
+
+
 def _probe_sql(mode: str) -> str:
     cos = COS.format("c.embedding", "p.embedding")
     return f"""WITH p AS (SELECT vec_id AS probe, 1.0::DOUBLE AS weight, embedding FROM embeddings WHERE vec_id IN (7, 42, 99)),
@@ -321,6 +338,11 @@ def anchor_density(spark, sf_dir):
     return paths.density(_scored(spark, sf_dir))
 
 
+@query(_probe_sql(f", {_DENSITY} SELECT id, round(mass, 6) AS score FROM d WHERE mass > 0 ORDER BY score DESC, id LIMIT 20"))
+def compose_fusion(spark, sf_dir):
+    return paths.compose_fusion(_scored(spark, sf_dir), top=20)
+
+
 @query(_probe_sql(f", {_DENSITY} SELECT id, round(mass * pow(1.5, n - 1), 6) AS score FROM d WHERE mass > 0 ORDER BY score DESC, id LIMIT 5"))
 def anchor_coverage(spark, sf_dir):
     return paths.density(_scored(spark, sf_dir), exponent=1.5)

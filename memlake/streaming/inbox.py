@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -26,16 +26,19 @@ def read_entries(spark: SparkSession, path: str, schema: str = ENTRY, files_per_
 
 
 def process_batch(batch: DataFrame, batch_id: int, known: DataFrame | None, handlers: Sequence[Handler]) -> DataFrame:
-    """Entries of one batch without exact copies (of earlier rows or of each other), through the handlers.
+    """Entries of one batch without exact copies (of stored rows or of each other), through the handlers.
 
-    Copies are told by a hash of the text; of equal texts in a batch the earliest stays.
+    Copies are told by a hash of the text; of equal texts the least (created_at, id) stays.  A row that
+    is earlier than the stored one of its text is kept too, and :func:`stored` then prefers it, so what
+    stays does not depend on the order in which files arrive.
     """
     rows = batch.withColumn("content_key", text.short_key(F.coalesce("text", F.lit("")), 32))
     first = rows.groupBy("content_key").agg(F.min(F.struct("created_at", "id")).alias("first"))
     rows = rows.join(first, "content_key").where((F.col("id") == F.col("first.id")) & (F.col("created_at") == F.col("first.created_at"))).drop("first")
     rows = rows.dropDuplicates(["content_key"])
     if known is not None:
-        rows = rows.join(known.select("content_key"), "content_key", "left_anti")
+        held = known.groupBy("content_key").agg(F.min(F.struct("created_at", "id")).alias("held"))
+        rows = rows.join(held, "content_key", "left").where("held is null or struct(created_at, id) < held").drop("held")
     rows = rows.withColumn("context_key", F.coalesce("request_context", F.lit(""))).withColumn("token_count", text.token_count(F.col("text")))
     for handler in handlers:
         rows = handler(rows, batch_id)
@@ -54,14 +57,21 @@ def run_inbox(entries: DataFrame, target: str, checkpoint: str, handlers: Sequen
 
 
 def stored(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """Rows of finished batches, those before ``before`` if given; None if there are none."""
+    """Rows of finished batches, those before ``before`` if given; None if there are none.
+
+    Of rows with one content key, at most one a batch, the least (created_at, id) counts.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return None
     numbers = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("batch=")]
     wanted = sorted(n for n in numbers if before is None or n < before)
-    return spark.read.parquet(*[f"{target}/batch={n}" for n in wanted]) if wanted else None
+    if not wanted:
+        return None
+    rows = spark.read.parquet(*[f"{target}/batch={n}" for n in wanted])
+    order = Window.partitionBy("content_key").orderBy("created_at", "id")
+    return rows.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
 def attempt_ledger(failures: DataFrame, retries: int = 2) -> DataFrame:
@@ -73,12 +83,12 @@ def attempt_ledger(failures: DataFrame, retries: int = 2) -> DataFrame:
         for frame in frames:
             seen += len(frame)
             if len(frame):
-                last = str(frame["error"].iloc[-1]).lower()
+                last = str(frame["kind"].iloc[-1])
         state.update((seen,))
-        again = any(w in last for w in ("timeout", "rate limit", "429", "503")) and seen <= retries
+        again = last == "transient" and seen <= retries
         yield pd.DataFrame({"batch_key": [key[0]], "attempts": [seen], "state": ["retry" if again else "quarantine"]})
 
-    return failures.groupBy("batch_key").applyInPandasWithState(
+    return failures.select("batch_key", text.error_class(F.col("error")).alias("kind")).groupBy("batch_key").applyInPandasWithState(
         count, "batch_key string, attempts long, state string", "attempts long", "update", GroupStateTimeout.NoTimeout
     )
 
