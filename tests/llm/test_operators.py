@@ -506,3 +506,123 @@ def test_rollup_query_equals_a_recount(spark):
     for r in queries.op10_token_rollup(spark, sf).collect():
         got[r.source, r.lang, r.tokenizer, "docs"], got[r.source, r.lang, r.tokenizer, "tokens"] = r.n_docs, r.n_tokens
     assert got == want
+
+
+def test_language_counts_equal_plain_sets(spark):
+    rnd = random.Random(41)
+    make = {"aa": "kapo tiru mesa lono".split(), "bb": "grau blau zehn été".split(), "cc": "ñandu kapo zehn olmo".split()}
+    rows = [(i, " ".join(rnd.choice(make[lang]) + rnd.choice(["", "ta", "en", "!", " 12"]) for _ in range(25)), lang) for i in range(150) for lang in [sorted(make)[i % 3]]]
+    rows += [(1000, "x" * 40_000, None), (1001, "Kapo", None), (3, "kapo", "aa"), (3, rows[3][1], "aa")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit(1)).withColumn("range", F.lit(1))
+    model = language_id.train_filter(docs, F.col("doc_id") < 120)
+
+    def grams(text):
+        padded = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+        return [padded[i : i + n] for n in (3, 4) for i in range(len(padded) - n + 1) if padded[i] != " " or padded[i + 1] != " "]
+
+    taught = {}
+    for i, text, lang in rows:
+        if i < 120:
+            taught[i, lang] = min(text, taught.get((i, lang), text))
+    counts = {lang: collections.Counter(g for (_, k), t in taught.items() if k == lang for g in grams(t)) for lang in make}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    best = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    sets = {lang: {g for g, n in c.items() if n >= 3 and rate[lang][g] * 3 >= best[g]} for lang, c in counts.items()}
+    for r in language_id.predict_language(docs, model).collect():
+        options = [t for i, t, _ in rows if i == r.doc_id]
+        scores = []
+        for text in options:
+            own = grams(text)
+            share = [sum(g in sets[lang] for g in own) / len(own) for lang in sorted(sets)]
+            total = sum(share)
+            scores.append((sorted(sets)[share.index(max(share))], max(share) / total if total else 0.0))
+        # the Bloom filter's false positives are all that may differ
+        assert any(abs(r.score - s) < 0.02 and (r.lang_pred == lang or s < 0.52) for lang, s in scores), (r, scores)
+
+
+def test_ftrl_equals_a_plain_dictionary(spark):
+    import numpy as np
+
+    rnd = random.Random(42)
+    examples = []
+    for i in range(300):
+        label = int(i % 3 == 0)
+        own = {rnd.randrange(60) for _ in range(8)} | ({900} if label else {901})
+        examples.append((label, np.array(sorted(own), np.int64)))
+    found = toxicity.ftrl(examples, epochs=3)
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        own = z.get(i, 0.0)
+        if abs(own) <= toxicity.L1:
+            return 0.0
+        return -(own - (toxicity.L1 if own > 0 else -toxicity.L1)) / ((toxicity.BETA + n.get(i, 0.0) ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(3):
+        for label, at in examples:
+            w = {i: weight(i) for i in at.tolist()}
+            bias = -bz / ((toxicity.BETA + bn**0.5) / toxicity.ALPHA)
+            error = 1 / (1 + 2.718281828459045 ** -(bias + sum(w.values()))) - label
+            for i in w:
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + error - ((was + error**2) ** 0.5 - was**0.5) / toxicity.ALPHA * w[i]
+                n[i] = was + error**2
+            bz += error - ((bn + error**2) ** 0.5 - bn**0.5) / toxicity.ALPHA * bias
+            bn += error**2
+    want = {i: weight(i) for i in z if abs(z[i]) > toxicity.L1}
+    assert set(found.index.tolist()) == set(want) and all(abs(w - want[i]) < 1e-4 for i, w in zip(found.index.tolist(), found.weight.tolist()))
+
+
+def test_shards_equal_a_walk_round_the_ring(spark):
+    rows = [(i % 400 if i % 3 else 7, f"t{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cells = {r.doc_id: r.cell for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(ring_sharding.CELLS)).alias("cell")).distinct().collect()}
+    walks = dict(ring_sharding.ring(16))
+    load = collections.Counter(cells[i] for i, _ in rows)
+    home = collections.Counter()
+    for cell, k in load.items():
+        home[walks[cell][0]] += k
+    order = sorted(range(16), key=lambda s: (-home[s], s))
+    room = {s: len(rows) // 16 + (order.index(s) < len(rows) % 16) for s in range(16)}
+    want, left = collections.Counter(), {}
+    for cell in sorted(load):  # at home first
+        take = min(load[cell], room[walks[cell][0]])
+        want[cell, walks[cell][0]] += take
+        room[walks[cell][0]] -= take
+        left[cell] = load[cell] - take
+    for cell in sorted(left):  # then clockwise
+        for shard in walks[cell]:
+            take = min(left[cell], room[shard])
+            want[cell, shard] += take
+            room[shard] -= take
+            left[cell] -= take
+    found = collections.Counter((cells[r.doc_id], r.shard) for r in ring_sharding.shard_documents(docs).collect())
+    assert found == +want
+
+
+def test_operators_of_nothing(spark, nothing):
+    pages = spark.createDataFrame([], "page_id bigint, url string")
+    assert url_filter.judge_urls(pages, url_filter.entries()).collect() == []
+    for frame in (secret_scan.scan_secrets(nothing), secret_scan.redact_secrets(nothing), quality_rules.judge_quality(nothing), queries.bpe_digests(nothing),
+                  token_rollup.count_tokens(nothing, queries.RANKS), jaccard_join.near_duplicate_keepers(nothing)):
+        assert frame.collect() == []
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    long = "w1 w2 w3 w4 w5 " * 40_000
+    rows = [(1, long, "en", "s", len(long)), (1, long, "en", "s", len(long)), (2, None, None, None, None), (3, "", "de", "s", 0)]
+    docs = spark.createDataFrame(rows, DOC)
+    for name in ("score", "predicted", "label", "row", "hash", "h1", "h2", "n", "op", "spans", "h", "words", "lines", "host", "features"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs = docs.cache()
+    weights = toxicity.train_toxicity(docs, spark.createDataFrame([(1, 1), (3, 0)], "doc_id bigint, toxic int"), F.lit(True))
+    assert toxicity.score_toxicity(docs, weights).count() == 4 and toxicity.drop_toxic(docs, weights).columns == docs.columns
+    assert secret_scan.scan_secrets(docs).count() == 4 and secret_scan.redact_secrets(docs).columns == docs.columns
+    judged = {r.doc_id: r for r in quality_rules.judge_quality(docs).collect()}
+    assert judged[1].n_words == 200_000 and judged[1].n_repeat_words == 200_000 and judged[3].n_words == 0
+    assert {r.words for r in token_rollup.count_tokens(docs, queries.RANKS).collect()} == {200_000, 0}
+    assert language_id.predict_language(docs, language_id.train_filter(docs, F.lit(True))).count() == 4
+    bench = spark.createDataFrame([(9, "w1 w2 w3 w4 w5 w1 w2 w3 w4 w5 w1 w2")], "item_id bigint, text string")
+    assert {tuple(r)[:2] for r in decontaminate.find_leaks(docs, bench).collect()} == {(1, 9)}
+    kept = jaccard_join.near_duplicate_keepers(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
