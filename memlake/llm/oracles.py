@@ -36,7 +36,7 @@ def op3_sql() -> str:
 
 
 def op7_sql() -> str:
-    normal = "lower(regexp_replace(regexp_replace(trim(line), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
+    normal = "lower(regexp_replace(trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g'))"
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
       w AS (SELECT r, doc_id, host, text, {WORDS.format('text')} AS words FROM d),
       g AS (SELECT r, i, words[i:i+2] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.scratch import broadcast_if_small, cut
+from memlake.plans.scratch import cut, join_hot
 
 MAX_DOCS = 50
 MIN_WORDS = 50
@@ -43,14 +43,14 @@ def line_stats(docs: DataFrame, host: str) -> DataFrame:
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.transform("lines", lambda line: F.struct(F.xxhash64(normal(line)).alias("h"), F.size(words_of(line)).alias("w"))).alias("lines"),
-        F.when(F.size("words") >= WINDOW, F.array_sort(windows)).alias("windows"),
+        F.when(F.size("words") >= WINDOW, F.sort_array(windows)).alias("windows"),
     )
     # windows lie by (hash, place): a repeated one has an equal neighbour
     again = F.filter(
         "windows",
         lambda x, k: (x["h"] == F.get(F.col("windows"), k - 1)["h"]) | (x["h"] == F.get(F.col("windows"), k + 1)["h"]),
     )
-    step = step.withColumn("places", F.array_sort(F.transform(again, lambda x: x["i"]))).drop("windows")
+    step = step.withColumn("places", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("windows")
     covered = F.aggregate(
         F.transform("places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("places"), k + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("bigint"), lambda total, x: total + x,
@@ -75,7 +75,7 @@ def judge_quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
         "above",
     )
     every = stats.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.w")
-    removed = every.join(broadcast_if_small(above), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("removed_words"))
+    removed = join_hot(every, above, ["host", "h"]).groupBy("row").agg(F.sum("w").alias("removed_words"))
     lost = F.coalesce("removed_words", F.lit(0).cast("bigint"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     return stats.drop("lines", "host").join(removed, "row", "left").select(
