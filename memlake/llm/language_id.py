@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
 from memlake.llm.byte_bpe import LETTER, _code_points, code_point_classes
-from memlake.plans.scratch import cut
+from memlake.plans.scratch import broadcast_if_small, cut
 
 SIZES = (3, 4)
 POSITIONS_BITS = 20
 HASHES = 2
 TRAIN_DOCS = 3000
 SALTS = 64
+RANGE_BITS = 12
 MIN_COUNT = 3
 SHARE = 3
 UNKNOWN = "und"
@@ -89,20 +90,30 @@ def train_filter(docs: DataFrame, train: Column, per_language: int = TRAIN_DOCS)
     """Learn from rows of ``docs(doc_id, text, lang)`` where ``train`` holds and lang is not null.
 
     Fitted on at most ``per_language`` rows of each language, those least in a hash of doc_id (a
-    documented bound; scoring covers every row).  An n-gram enters a language's filter if it was seen
+    documented bound; scoring covers every row), and of rows with one doc_id and lang on the least text.  An n-gram enters a language's filter if it was seen
     ``MIN_COUNT`` times there and at no less than 1/``SHARE`` of its highest rate in any language.
     """
     usable = train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-    # a language may hold most rows: the least of each salt first, then the least of those
+    # a language may hold most rows: only those up to the hash range that completes its share, then
+    # the least of each salt, then the least of those
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = docs.where(usable).select("doc_id", "lang").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    every = docs.where(usable).select("doc_id", "lang").withColumn("range", F.shiftright(F.xxhash64("doc_id"), 64 - RANGE_BITS))
+    ranges = every.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("range")) - F.col("n")
+    needed = cut(
+        ranges.withColumn("before", before).where(F.col("before") < per_language).groupBy("lang").agg(F.max("range").alias("last")), "ranges"
+    )
+    chosen = (
+        every.join(broadcast_if_small(needed), "lang").where("range <= last").select("doc_id", "lang")
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    )
     for keys in (["lang", "salt"], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         chosen = chosen.withColumn("place", place).where(F.col("place") <= per_language)
     chosen = chosen.select("doc_id", "lang").distinct()
     picked = (
         docs.where(usable).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-        .select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"])
+        .groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     )
     counts = cut(
         K.bounded(picked.select("lang", "text")).mapInArrow(_count, "lang string, gram bigint, n bigint")
