@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from memlake.functions import scoring, vector
 from memlake.plans.scratch import cut
 
+BLOCK_ROWS = 8192
+
 
 def neighbours(edges: DataFrame, node: str, direction: str = "both") -> DataFrame:
     """Edges of a node: ``out``, ``in`` or ``both``."""
@@ -105,7 +107,8 @@ def semantic_edges(vectors: DataFrame, threshold: float = 0.65, pivots: int = 16
 
     Unit vectors with that cosine lie within a known distance, so each vector is compared in the cell
     of its nearest pivot only, and copied to a further cell only if that cell's pivot is at most twice
-    that distance further away.  Pivots are a fixed few rows (least by a hash of id).
+    that distance further away.  Pivots are a fixed few rows (least by a hash of id).  A low threshold
+    leaves little to prune; the rest is compared in pairs of blocks of about ``BLOCK_ROWS`` rows.
     """
     import numpy as np
     import pandas as pd
@@ -133,9 +136,11 @@ def semantic_edges(vectors: DataFrame, threshold: float = 0.65, pivots: int = 16
 
     kind = dict(rows.dtypes)["id"]
     placed = rows.mapInPandas(place, f"id {kind}, cell int, home boolean, v array<double>")
-    # homes are dealt out further, so no task holds a whole cell of them
-    homes = placed.where("home").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8)))
-    others = placed.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(8)])))
+    # a cell is cut into blocks by a hash, and each pair of blocks is a group: a task holds two blocks, not a cell
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    mine, every = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    homes = placed.where("home").withColumn("one", mine).withColumn("two", every)
+    others = placed.withColumn("two", mine).withColumn("one", every)
 
     def pair(left, right):
         import pandas as pd
@@ -153,7 +158,7 @@ def semantic_edges(vectors: DataFrame, threshold: float = 0.65, pivots: int = 16
             out.append(pd.DataFrame({"a": np.minimum(ids[lo + i], far[j]), "b": np.maximum(ids[lo + i], far[j]), "weight": cosine[i, j]}))
         return pd.concat(out)
 
-    found = homes.groupBy("cell", "part").cogroup(others.groupBy("cell", "part")).applyInPandas(pair, f"a {kind}, b {kind}, weight double")
+    found = homes.groupBy("cell", "one", "two").cogroup(others.groupBy("cell", "one", "two")).applyInPandas(pair, f"a {kind}, b {kind}, weight double")
     return found.groupBy("a", "b").agg(F.round(F.max("weight"), 6).alias("weight")).where(F.col("weight") >= threshold)
 
 

@@ -79,9 +79,9 @@ def lexical_edges(spark, sf_dir):
 
 
 @query(f"""SELECT a, b, weight FROM (SELECT x.vec_id AS a, y.vec_id AS b, {COS.format('x.embedding', 'y.embedding')} AS weight
-    FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE weight >= 0.65""")
+    FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE weight >= 0.35""")
 def semantic_edges(spark, sf_dir):
-    return graph.semantic_edges(P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.65)
+    return graph.semantic_edges(P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.35)
 
 
 @query(f"""SELECT user_id, event_type, event_id AS src, lead(event_id) OVER w AS dst, lead(epoch_us(ts) // 1000) OVER w - epoch_us(ts) // 1000 AS delta_t,
@@ -124,36 +124,64 @@ def claim_supersession(spark, sf_dir):
     return ingest.supersede(rows).select("id", "valid_from", "valid_to")
 
 
-@query()
+#: Claims are the vectors, every eleventh closed; edges are cosines from 0.4 on and each label's chain in time.
+_CLAIMS = f"""c AS (SELECT vec_id AS id, embedding, label, {P.T0} + vec_id * 1000 AS valid_from FROM embeddings),
+    e AS (SELECT x.vec_id AS src, y.vec_id AS dst, 'semantic' AS kind, {COS.format('x.embedding', 'y.embedding')} AS weight FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE weight >= 0.4
+      UNION ALL SELECT id, dst, 'temporal', 1.0 FROM (SELECT id, lead(id) OVER (PARTITION BY label ORDER BY valid_from, id) AS dst FROM c) WHERE dst IS NOT NULL)"""
+
+
+def _paths_sql(cost: str) -> str:
+    cos = COS.format("c.embedding", "p.embedding")
+    return f"""WITH RECURSIVE {_CLAIMS}, v AS (SELECT * FROM c WHERE id % 11 <> 0), p AS (SELECT vec_id AS probe, embedding FROM embeddings WHERE vec_id IN (7, 42, 99)),
+    s AS (SELECT p.probe, c.id, {cos} AS sim FROM v c, p),
+    d AS (SELECT id, round(sum(greatest(sim - 0.2, 0)), 6) AS score FROM s GROUP BY id HAVING sum(greatest(sim - 0.2, 0)) > 0 ORDER BY score DESC, id LIMIT 5),
+    r AS (SELECT id, list(probe) AS probes FROM s WHERE sim > 0.2 AND id IN (SELECT id FROM d) GROUP BY id),
+    k AS (SELECT src, dst, kind, weight, CAST({cost} AS DOUBLE) AS cost FROM e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)),
+    b AS (SELECT src, dst, min({{'cost': cost, 'kind': kind, 'weight': weight}}) AS step FROM (SELECT src, dst, cost, kind, weight FROM k UNION ALL SELECT dst, src, cost, kind, weight FROM k) GROUP BY src, dst),
+    w(anchor, id, cost, hops, nodes, kinds) AS (SELECT id, id, 0.0::DOUBLE, 0, [id], []::VARCHAR[] FROM r
+      UNION ALL SELECT anchor, b.dst, round(w.cost + step.cost, 9), hops + 1, list_append(nodes, b.dst), list_append(kinds, step.kind) FROM w JOIN b ON b.src = w.id WHERE hops < 3 AND NOT list_contains(nodes, b.dst)),
+    m AS (SELECT anchor, id, min({{'cost': cost, 'hops': hops, 'nodes': nodes, 'kinds': kinds}}) AS m FROM w WHERE anchor <= id AND id IN (SELECT id FROM r) GROUP BY anchor, id),
+    u AS (SELECT anchor, id, m.hops AS hops, m.nodes AS nodes, m.kinds AS kinds, row_number() OVER (PARTITION BY list_sort(m.nodes) ORDER BY m.cost, anchor, id) AS n FROM m),
+    f AS (SELECT anchor, x.id, any_value(hops) AS hops, any_value(nodes) AS nodes, any_value(kinds) AS kinds, len(list_distinct(flatten(list(r.probes) FILTER (r.probes IS NOT NULL)))) AS met,
+      count(r.id) AS anchors, max(v.valid_from) AS last FROM (SELECT *, unnest(nodes) AS node FROM u WHERE n = 1) x LEFT JOIN r ON r.id = x.node LEFT JOIN v ON v.id = x.node GROUP BY anchor, x.id)
+    SELECT anchor, id, hops, array_to_string(nodes, ',') AS nodes, round(round(met / 3.0, 6) + 0.3 * round(len(list_distinct(kinds)) / 3.0, 6)
+      + 0.1 * round(last / (SELECT max(valid_from) FROM v)::DOUBLE, 6) - 0.1 * round(greatest(0, hops - greatest(0, anchors - 1)) / 3.0, 6), 6) AS score FROM f ORDER BY score DESC, anchor, id LIMIT 10"""
+
+
+@query(_paths_sql("1.0"))
 def path_retrieve_bfs(spark, sf_dir):
-    return _paths(spark, sf_dir, F.lit(1.0))
+    return _paths(spark, sf_dir, False)
 
 
-@query()
+@query(_paths_sql("CASE kind WHEN 'temporal' THEN 0.5 ELSE greatest(0, 1 - weight) END"))
 def path_retrieve_dijkstra(spark, sf_dir):
-    return _paths(spark, sf_dir, F.greatest(F.lit(0.0), 1 - F.col("weight")))
+    return _paths(spark, sf_dir, True)
 
 
 def _claim_graph(spark, sf_dir):
-    vectors = P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return vectors, cut(graph.semantic_edges(vectors, 0.5).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), "claim-graph")
+    rows = P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", (F.lit(P.T0) + F.col("vec_id") * 1000).alias("valid_from"))
+    near = graph.semantic_edges(rows.select("id", "embedding"), 0.4).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("semantic").alias("kind"), "weight")
+    chain = graph.temporal_chain(rows, "label").select("src", "dst", F.lit("temporal").alias("kind"), "weight")
+    return rows, cut(near.unionByName(chain), "claim-graph")
 
 
-def _paths(spark, sf_dir, cost):
-    vectors, edges = _claim_graph(spark, sf_dir)
-    probes = vectors.where(F.col("id").isin(7, 42, 99)).select(F.col("id").alias("probe"), F.lit(1.0).alias("weight"), "embedding")
-    scored = paths.probe_scores(vectors, probes)
-    reached = cut(paths.compose_union(paths.per_probe_top(scored, 2)), "anchors")
-    found = paths.shortest_paths(edges.withColumn("cost", cost), reached.select("id"), 3)
-    claims = vectors.select("id", (F.lit(P.T0) + F.col("id") * 1000).alias("valid_from"))
-    return paths.score_paths(paths.pair_paths(found, reached), reached, claims, 3)
+def _paths(spark, sf_dir, by_weight):
+    rows, edges = _claim_graph(spark, sf_dir)
+    claims = rows.withColumn("valid_to", F.when(F.col("id") % 11 == 0, F.col("valid_from") + 1))
+    probes = rows.where(F.col("id").isin(7, 42, 99)).select(F.col("id").alias("probe"), "embedding")
+    found = paths.retrieve(claims, edges, probes, by_weight=by_weight)
+    return found.select("anchor", "id", "hops", F.array_join(F.col("nodes").cast("array<string>"), ",").alias("nodes"), "score")
 
 
-@query()
+@query(f"""WITH {_CLAIMS}, b AS (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e), f AS (SELECT src, sum(weight) AS fan FROM b GROUP BY src),
+    s AS (SELECT b.src, b.dst, b.weight / fan AS share FROM b JOIN f ON f.src = b.src), a0 AS (SELECT id, 1.0 AS activation FROM c WHERE id IN (7, 42, 99)),
+    a1 AS (SELECT id, round(sum(activation), 9) AS activation FROM (SELECT id, activation * 0.5 AS activation FROM a0 UNION ALL SELECT dst, activation * share * 0.5 FROM a0 JOIN s ON s.src = a0.id) GROUP BY id),
+    a2 AS (SELECT id, round(sum(activation), 9) AS activation FROM (SELECT id, activation * 0.5 AS activation FROM a1 UNION ALL SELECT dst, activation * share * 0.5 FROM a1 JOIN s ON s.src = a1.id) GROUP BY id)
+    SELECT id, round(activation, 6) AS activation FROM a2""")
 def spreading_activation(spark, sf_dir):
-    vectors, edges = _claim_graph(spark, sf_dir)
-    seeds = vectors.where(F.col("id").isin(7, 42, 99)).select("id", F.lit(1.0).alias("activation"))
-    return paths.spread_activation(edges, seeds, hops=2)
+    rows, edges = _claim_graph(spark, sf_dir)
+    seeds = rows.where(F.col("id").isin(7, 42, 99)).select("id", F.lit(1.0).alias("activation"))
+    return paths.spread_activation(edges, seeds, hops=2).select("id", F.round("activation", 6).alias("activation"))
 
 
 # -- sequences -------------------------------------------------------------------------------------
@@ -213,9 +241,9 @@ def number_messages(spark, sf_dir):
 
 
 @query(f"""SELECT a, b, weight FROM (SELECT x.vec_id AS a, y.vec_id AS b, {COS.format('x.embedding', 'y.embedding')} AS weight
-    FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE weight >= 0.7""")
+    FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id) WHERE weight >= 0.45""")
 def topic_merge_candidates(spark, sf_dir):
-    return graph.semantic_edges(P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.7)
+    return graph.semantic_edges(P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.45)
 
 
 @query()
@@ -228,7 +256,7 @@ def consolidation_clusters(spark, sf_dir):
 
 
 @query(f"""WITH pairs AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
-      WHERE {COS.format('x.embedding', 'y.embedding')} >= 0.7), both_ AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+      WHERE {COS.format('x.embedding', 'y.embedding')} >= 0.45), both_ AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
     t AS (SELECT vec_id AS id, vec_id % 17 AS m FROM embeddings), j AS (SELECT a AS id, max({{'m': t.m, 'c': -t.id, 'i': t.id}}) AS best FROM both_ JOIN t ON t.id = b GROUP BY a),
     o AS (SELECT t.id, t.m, CASE WHEN best > {{'m': t.m, 'c': -t.id, 'i': t.id}} THEN best.i END AS merged_into FROM t LEFT JOIN j ON j.id = t.id),
     g AS (SELECT merged_into AS id, sum(m) AS gained FROM o WHERE merged_into IS NOT NULL GROUP BY merged_into)
@@ -236,7 +264,7 @@ def consolidation_clusters(spark, sf_dir):
 def topic_merge(spark, sf_dir):
     vectors = P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     topics = vectors.select("id", (F.col("id") % 17).alias("mention_count"), F.col("id").alias("created_at"))
-    return jobs.merge_topics(topics, graph.semantic_edges(vectors, 0.7))
+    return jobs.merge_topics(topics, graph.semantic_edges(vectors, 0.45))
 
 
 @query(f"""WITH c AS (SELECT b.vec_id AS id, e.vec_id AS other, {COS.format('e.embedding', 'b.embedding')} AS sim FROM embeddings b, embeddings e WHERE b.label = 0 AND e.label <> 0),
