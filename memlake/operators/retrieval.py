@@ -7,7 +7,7 @@ groups of ``applyInPandas``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -66,14 +66,18 @@ def keyword_merge(rows: DataFrame, memory: DataFrame, words: Sequence[str], per_
     return _best(known, fresh)
 
 
-def topic_merge(rows: DataFrame, about: DataFrame, topics: DataFrame, owned_ids: DataFrame) -> DataFrame:
-    """Rows about a matched topic get x 1.3; new ones 0.5 + 0.2 * min(1, matched / topics)."""
+def topic_merge(rows: DataFrame, about: DataFrame, topics: DataFrame, owned_ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows about a matched topic get x 1.3; new ones 0.5 + 0.2 * min(1, matched / topics).
+
+    With a ``limit`` only that many memories count, those with most matched topics, ties by id.
+    """
     total = topics.agg(F.count(F.lit(1)).alias("topics"))
     match = (
         about.join(F.broadcast(topics.select(F.col("id").alias("out_id"))), "out_id", "left_semi")
         .groupBy(F.col("in_id").alias("id")).agg(F.countDistinct("out_id").alias("matched"))
-        .join(owned_ids, "id", "left_semi").crossJoin(F.broadcast(total))
+        .join(owned_ids, "id", "left_semi")
     )
+    match = (match if limit is None else match.orderBy(F.col("matched").desc(), "id").limit(limit)).crossJoin(F.broadcast(total))
     known = rows.join(match, "id", "left").select("id", F.when(F.col("matched").isNotNull(), F.col("score") * BOOST_TEXT).otherwise(F.col("score")).alias("score"))
     fresh = match.join(rows, "id", "left_anti").select("id", (0.5 + 0.2 * F.least(F.lit(1.0), F.col("matched") / F.col("topics"))).alias("score"))
     return _best(known, fresh)
@@ -90,6 +94,17 @@ def question_merge(rows: DataFrame, memory: DataFrame, query: str, limit: int =
     return _best(known, fresh)
 
 
+def rerank_by_model(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], least: int = 3, best: int = 5) -> DataFrame:
+    """(id, score) as ``judge`` (rows -> id, grade) sees it: grades from ``least`` on, over ``best``.
+
+    Rows without a grade go with those below; if none is left, the rows stay as they were.
+    """
+    graded = rows.join(judge(rows).groupBy("id").agg(F.max("grade").alias("grade")), "id", "left")
+    some = F.broadcast(graded.agg(F.coalesce(F.max((F.col("grade") >= least).cast("int")), F.lit(0)).alias("some")))
+    kept = graded.crossJoin(some).where((F.col("some") == 0) | (F.col("grade") >= least))
+    return kept.select("id", F.when(F.col("some") == 0, F.col("score")).otherwise(F.round(F.col("grade") / float(best), 6)).alias("score"))
+
+
 def resolve_parents(rows: DataFrame, refines: DataFrame, valid: DataFrame) -> DataFrame:
     """Children (in_id refines out_id) are replaced by their valid parent at the best child's score;
     a child without a valid parent stays, and a parent that was found itself takes the higher score."""

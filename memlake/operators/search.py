@@ -39,7 +39,7 @@ class SearchQuery:
     vector: Sequence[float] | None = None
     tags: Sequence[str] = ()
     traversal: str | None = None
-    start: Sequence[str] = ()
+    start: Sequence[str] | DataFrame = ()
     ids: Sequence[str] = ()
     domains: Sequence[str] = ()
     filters: Mapping[str, Any] = field(default_factory=dict)
@@ -92,11 +92,15 @@ def parse_hop(pattern: str) -> tuple[str, str, str]:
     raise ValueError(f"not a single hop: {pattern!r}")
 
 
-def hop(edges: Mapping[str, DataFrame], start: Sequence[str], pattern: str) -> DataFrame:
-    """Distinct ids one hop from ``start``; no limit and no time filter."""
+def hop(edges: Mapping[str, DataFrame], start: Sequence[str] | DataFrame, pattern: str) -> DataFrame:
+    """Distinct ids one hop from ``start``, ids or a frame of them; no limit and no time filter."""
     direction, edge, table = parse_hop(pattern)
     near, far = ("in_id", "out_id") if direction == "out" else ("out_id", "in_id")
-    rows = edges[edge].where(F.col(near).isin(list(start)) & F.col(far).startswith(f"{table}:"))
+    rows = edges[edge].where(F.col(far).startswith(f"{table}:"))
+    if isinstance(start, DataFrame):
+        rows = rows.join(start.select(F.col("id").alias(near)), near, "left_semi")
+    else:
+        rows = rows.where(F.col(near).isin(list(start)))
     return rows.select(F.col(far).alias("id")).distinct()
 
 

@@ -256,13 +256,6 @@ def parent_resolution(spark, sf_dir):
     return retrieval.resolve_parents(rows, P.reinforces(spark, sf_dir), valid)
 
 
-@query()
-def dedup_greedy(spark, sf_dir):
-    memory = P.memories(spark, sf_dir)
-    rows = search.fulltext_search(memory, TEXT, 100).withColumnRenamed("fulltext", "score")
-    return retrieval.dedupe_greedy(rows, memory)
-
-
 @query()
 def mmr_fill(spark, sf_dir):
     memory = P.memories(spark, sf_dir)
@@ -270,13 +263,6 @@ def mmr_fill(spark, sf_dir):
     return retrieval.mmr_fill(rows.join(memory.select("id", "token_count", "embedding"), "id"), 10_000)
 
 
-@query()
-def build_context(spark, sf_dir):
-    c = corpus(spark, sf_dir)
-    rows = search.search(c, search.SearchQuery(vector=probe(spark, sf_dir), text=TEXT, limit=50))
-    return search.build_context(rows, c.memory)
-
-
 @query(f"""SELECT conv_id, turn, keep.layer, keep.used FROM (SELECT conv_id, turn, created_at, CAST(sum(token_count) OVER (PARTITION BY conv_id ORDER BY created_at, turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used
     FROM ({P.VIEWS['turn']})) t, LATERAL (SELECT 'working' AS layer, t.used AS used) keep WHERE t.used <= 400""")
 def chat_context_budget(spark, sf_dir):
