@@ -122,13 +122,16 @@ def temporal_signal(text: Column) -> Column:
     return F.lower(text).rlike(r"\b(19|20)\d\d\b|\b(when|before|after|during|since|until|year|month|week|ago|first|last)\b")
 
 
-def module_kind(name: Column) -> Column:
-    """What a source directory is likely to hold."""
-    n = F.lower(name)
-    return (
-        F.when(n.rlike("test|spec"), "test").when(n.rlike("lib|util|shared|common"), "library")
-        .when(n.rlike("api|server|service"), "service").when(n.rlike("app|web|ui|client"), "app").otherwise("module")
-    )
+# The kinds of a source directory and the parts of names that tell them, the first that fits.
+MODULE_KINDS = {"service": ("service", "api"), "lambda": ("lambda", "function"), "library": ("lib", "util", "shared"), "package": ("pkg", "package")}
+
+
+def module_kind(path: Column) -> Column:
+    """What a source directory is likely to hold, by its last name; ``subsystem`` if nothing tells."""
+    name, kind = F.lower(F.substring_index(path, "/", -1)), F.lit("subsystem")
+    for title, parts in reversed(MODULE_KINDS.items()):
+        kind = F.when(name.rlike("|".join(parts)), title).otherwise(kind)
+    return kind
 
 
 def kebab(name: Column) -> Column:

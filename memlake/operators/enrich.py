@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text
+from memlake.plans.scratch import cut
 
 Model = Callable[[DataFrame], DataFrame]
 
@@ -48,6 +49,44 @@ def supersession(pairs: DataFrame, fresh: DataFrame, decide: Model | None, thres
     return decide(candidates).select(F.col("new").alias("in_id"), F.col("old").alias("out_id")).distinct()
 
 
+def user_facts(fresh: DataFrame, about: DataFrame, memory: DataFrame, owned: DataFrame, domain: str, room: int) -> DataFrame:
+    """(user, new, old): new facts (id, user, content) beside each fact already known of the same user.
+
+    Known facts are texts about the user that the domain does not hold as superseded, without empty ones
+    and without the new ones.  A user with more than ``room`` characters on both sides is left out before
+    anything is paired, so no group grows beyond that.
+    """
+    mine = owned.where(F.col("out_id") == f"domain:{domain}").groupBy(F.col("in_id").alias("old")).agg(F.min("attributes").alias("attributes"))
+    known = (
+        about.select(F.col("in_id").alias("old"), F.regexp_replace("out_id", "^user:", "").alias("user")).distinct()
+        .join(fresh.select(F.col("id").alias("old")), "old", "left_anti")
+        .join(memory.select(F.col("id").alias("old"), "content"), "old").join(mine, "old", "left")
+        .where(~F.coalesce(F.get_json_object("attributes", "$.superseded") == "true", F.lit(False)) & (F.length("content") > 0))
+    )
+    given = fresh.where("user is not null").select("id", F.col("user").cast("string").alias("user"), "content")
+    size = given.select("user", "content").unionByName(known.select("user", "content")).groupBy("user").agg(F.sum(F.length("content")).alias("size"))
+    fits = size.where(F.col("size") <= room).select("user")
+    return given.join(fits, "user", "left_semi").select("user", F.col("id").alias("new")).join(known.select("user", "old"), "user").select("user", "new", "old")
+
+
+def user_supersession(pairs: DataFrame, decide: Model | None) -> DataFrame:
+    """(in_id, out_id): which new facts supersede which known ones of their user, as ``decide`` picks of the
+    ``pairs(user, new, old)``; what it makes up itself is ignored.  No model: none."""
+    picked = pairs.where(F.lit(False)) if decide is None else pairs.join(decide(pairs).select("new", "old").distinct(), ["new", "old"], "left_semi")
+    return picked.select(F.col("new").alias("in_id"), F.col("old").alias("out_id")).distinct()
+
+
+def ask_questions(rows: DataFrame, ask: Model | None) -> DataFrame:
+    """``rows`` with ``answers_question``: what ``ask`` (rows -> id, question) says of all, then once more of
+    those that it left out, else empty.  No model: empty."""
+    if ask is None:
+        return rows.withColumn("answers_question", F.lit(""))
+    said = lambda r: ask(r).where(F.length(F.trim("question")) > 0).groupBy("id").agg(F.min("question").alias("question"))
+    first = cut(said(rows), "questions")
+    again = said(rows.join(first.select("id"), "id", "left_anti"))
+    return rows.join(first.unionByName(again), "id", "left").withColumn("answers_question", F.coalesce("question", F.lit(""))).drop("question")
+
+
 def related(pairs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Edges between an entry and related knowledge."""
     return pairs.where((F.col("score") >= threshold) & (F.col("new") != F.col("old"))).select(F.col("new").alias("in_id"), F.col("old").alias("out_id"), F.col("score").alias("strength"))

@@ -97,6 +97,28 @@ def reciprocal_ranks(ranked: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def pair_accuracy(ranked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_accuracy, queries) of (query, target, distractor): how often the target ranks before its
+    distractor; what is not ranked ranks last, and two that are not ranked are no hit."""
+    at = lambda name: ranked.select("query", F.col("id").alias(name), F.col("rank").alias(f"{name}_rank"))
+    rows = pairs.join(at("target"), ["query", "target"], "left").join(at("distractor"), ["query", "distractor"], "left")
+    hit = F.col("target_rank").isNotNull() & (F.col("distractor_rank").isNull() | (F.col("target_rank") < F.col("distractor_rank")))
+    return rows.agg(F.round(F.avg(hit.cast("int")), 6).alias("pair_accuracy"), F.count(F.lit(1)).alias("queries"))
+
+
+def path_coverage(paths: DataFrame, ideal: DataFrame, top: int = 5) -> DataFrame:
+    """(query, coverage): the share of ideal ids (query, id) on the ``top`` paths (query, rank, nodes)."""
+    seen = paths.where(F.col("rank") <= top).select("query", F.explode("nodes").alias("id"), F.lit(1).alias("hit")).distinct()
+    return ideal.distinct().join(seen, ["query", "id"], "left").groupBy("query").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("coverage"))
+
+
+def path_signature(paths: DataFrame, top: int = 3) -> DataFrame:
+    """(query, signature): the node sets of the ``top`` paths (query, rank, nodes), in order."""
+    nodes = F.array_join(F.array_sort(F.col("nodes").cast("array<string>")), ",").alias("nodes")
+    rows = paths.where(F.col("rank") <= top).select("query", "rank", nodes)
+    return rows.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "nodes"))), lambda x: x["nodes"]), "|").alias("signature"))
+
+
 def win_loss_tie(scores: DataFrame, a: str, b: str, eps: float = 1e-6) -> DataFrame:
     gap = F.col(a) - F.col(b)
     return scores.agg(F.count_if(gap > eps).alias("wins"), F.count_if(gap < -eps).alias("losses"), F.count_if(F.abs(gap) <= eps).alias("ties"))

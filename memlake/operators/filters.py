@@ -93,3 +93,8 @@ def contains_any(text: Column, parts: Sequence[str]) -> Column:
     for part in parts:
         out = out | F.lower(text).contains(part.lower())
     return out
+
+
+def differs(column: Column, value: Any) -> Column:
+    """Null-safe inequality: a null differs from every value but null."""
+    return ~column.eqNullSafe(value)

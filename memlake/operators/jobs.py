@@ -8,7 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions import scoring
+from memlake.functions import scoring, text
+
+# Parts of file names that hint at a rule of the business.
+BUSINESS_HINTS = ("enum", "status", "state", "type", "role", "permission", "policy")
 
 
 def number_messages(rows: DataFrame, existing: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -77,6 +80,57 @@ def merge_topics(topics: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def profile_sources(about: DataFrame, memory: DataFrame, owned: DataFrame, domain: str, now_ms: int) -> DataFrame:
+    """(user, contents): the texts about each user (in_id about out_id), oldest first, without those that
+    the domain holds as superseded or expired; texts that it does not own count."""
+    mine = owned.where(F.col("out_id") == f"domain:{domain}").groupBy(F.col("in_id").alias("id")).agg(F.min("attributes").alias("attributes"))
+    rows = about.select(F.col("in_id").alias("id"), F.col("out_id").alias("user")).distinct().join(memory.select("id", "content", "created_at"), "id").join(mine, "id", "left")
+    until = F.get_json_object("attributes", "$.validUntil").cast("bigint")
+    gone = F.coalesce(F.get_json_object("attributes", "$.superseded") == "true", F.lit(False)) | F.coalesce(until < now_ms, F.lit(False))
+    texts = F.array_sort(F.collect_list(F.struct("created_at", "id", "content")))
+    return rows.where(~gone).groupBy("user").agg(F.transform(texts, lambda x: x["content"]).alias("contents"))
+
+
+def consolidate_profiles(sources: DataFrame, existing: DataFrame, summarise: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(user, id, content): a summary of each user's texts by ``summarise`` (user, contents -> user, content).
+
+    ``id`` is the summary that is there already (``existing``: in_id about out_id, the least), null for a
+    new one; blank summaries are left out.
+    """
+    known = existing.groupBy(F.col("out_id").alias("user")).agg(F.min("in_id").alias("id"))
+    made = summarise(sources).select("user", "content").where(F.length(F.trim("content")) > 0)
+    return made.join(known, "user", "left").select("user", "id", "content")
+
+
+def scan_commits(files: DataFrame, modules: DataFrame | None = None, listed: int = 10, asked: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(modules, notes) of changed files (place, status, path), the newest commit first.
+
+    modules: (path, name, kind, status) of folders with added files and no deleted ones as ``active``, and
+    of folders with deleted files, where ``modules(path)`` are known those alone, as ``archived``.  notes:
+    (topic, n, listing) of new folders, removed ones and added files whose name hints at a rule of the
+    business, with the first few named.  Files at the top belong to no folder.
+    """
+    parts = files.select("place", "status", "path", F.split("path", "/").alias("parts"))
+    foldered = parts.where(F.size("parts") > 1).withColumn("folder", F.array_join(F.slice("parts", F.lit(1), F.size("parts") - 1), "/"))
+    seen = foldered.where(F.col("status").isin("A", "D")).groupBy("folder").agg(
+        F.count_if(F.col("status") == "A").alias("added"), F.count_if(F.col("status") == "D").alias("gone"), F.min("place").alias("place")
+    )
+    state = F.when(F.col("gone") == 0, "active").otherwise("archived")
+    found = seen.select(F.col("folder").alias("path"), F.substring_index("folder", "/", -1).alias("name"), text.module_kind(F.col("folder")).alias("kind"), state.alias("status"), "place")
+    kept = found if modules is None else found.where("status = 'active'").unionByName(found.where("status = 'archived'").join(modules.select("path"), "path", "left_semi").select(*found.columns))
+    hints = parts.where((F.col("status") == "A") & F.lower(F.element_at("parts", -1)).rlike("|".join(BUSINESS_HINTS)))
+    rows = found.select(F.when(F.col("status") == "active", "new folders").otherwise("removed folders").alias("topic"), "place", "path").unionByName(
+        hints.select(F.lit("business").alias("topic"), "place", "path")
+    )
+    named = None
+    for topic, most in (("new folders", listed), ("removed folders", listed), ("business", asked)):
+        part = rows.where(F.col("topic") == topic).orderBy("place", "path").limit(most)
+        named = part if named is None else named.unionByName(part)
+    first = named.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]), ", ").alias("listing"))
+    notes = rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).join(first, "topic")
+    return kept.drop("place"), notes
+
+
 def drift(decisions: DataFrame, listing: DataFrame) -> DataFrame:
     """Decisions (id, path) about paths that are no longer in the listing (path)."""
     return decisions.join(listing, "path", "left_anti")

@@ -200,6 +200,22 @@ def enrich_domains(rows: DataFrame, owned: DataFrame) -> DataFrame:
     return rows.join(found, "id", "left")
 
 
+def first_owner(rows: DataFrame, owned: DataFrame) -> DataFrame:
+    """Adds ``owner`` and its ``attributes``: of a row's owners the first by time, then by name."""
+    first = owned.groupBy(F.col("in_id").alias("id")).agg(F.min_by(F.struct("out_id", "attributes"), F.struct("owned_at", "out_id")).alias("first"))
+    return rows.join(first, "id", "left").withColumn("owner", F.col("first.out_id")).withColumn("attributes", F.col("first.attributes")).drop("first")
+
+
+def entry_fields(rows: DataFrame) -> DataFrame:
+    """Memories as callers see them: id, content, eventTime, createdAt, tokenCount."""
+    return rows.select("id", "content", F.col("event_time").alias("eventTime"), F.col("created_at").alias("createdAt"), F.col("token_count").alias("tokenCount"))
+
+
+def edge_ends(edges: DataFrame) -> DataFrame:
+    """Edges with their ends as ``in`` and ``out``."""
+    return edges.withColumnsRenamed({"in_id": "in", "out_id": "out"})
+
+
 Expand = Callable[[SearchQuery], SearchQuery]
 Rank = Callable[[DataFrame], DataFrame]
 

@@ -145,3 +145,18 @@ def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 10) -> tuple[Data
             break
         centre = new
     return placed(centre).select("id", "cluster", "sim"), centre
+
+
+def first_seen(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key in the given order."""
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("n = 1").drop("n")
+
+
+def flatten_sessions(turns: DataFrame) -> DataFrame:
+    """(stream, n, sessions, gold) of turns (stream, session, turn): all turns of a stream in one row of
+    steps; ``gold`` are the steps at which a session other than the first begins."""
+    steps = turns.withColumn("step", F.row_number().over(Window.partitionBy("stream").orderBy("session", "turn")) - 1)
+    starts = steps.groupBy("stream", "session").agg(F.min("step").alias("start"), F.count(F.lit(1)).alias("n"))
+    return starts.groupBy("stream").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("sessions"), F.array_sort(F.collect_list(F.when(F.col("start") > 0, F.col("start")))).alias("gold")
+    )

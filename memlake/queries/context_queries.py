@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake import projection as P
-from memlake.operators import contexts, search
+from memlake.operators import contexts, enrich, evaluate, filters, jobs, phases, search, sequence
 from memlake.queries import query
 from memlake.queries.search_queries import COS, KEYWORDS, TEXT, corpus, probe, text_sql, vector_sql
 
@@ -125,3 +125,172 @@ def rerank_by_grades(spark, sf_dir):
 
     rows = search.fulltext_search(P.memories(spark, sf_dir), TEXT, 50).withColumnRenamed("fulltext", "score")
     return retrieval.rerank_by_model(rows, lambda r: r.select("id", (F.right("id", F.lit(1)).cast("int") % 6).alias("grade")))
+
+
+# -- inbox -----------------------------------------------------------------------------------------
+_DOMAINS = [("log", "write", True, False), ("kb", "write", False, True), ("chat", "write", False, True), ("faq", "write", False, True), ("old", "read", True, True)]
+
+
+def _inbox(spark, sf_dir):
+    """Documents addressed to nobody (every ninth to the log by name), and the tags after the claims."""
+    memory = P.table(spark, sf_dir, "documents").select(F.concat(F.lit("memory:"), F.col("doc_id").cast("string")).alias("id"), "doc_id", "lang", "source")
+    targets = F.when(F.col("doc_id") % 9 == 0, F.array(F.lit("log"), F.lit("old"))).otherwise(F.array().cast("array<string>"))
+    owners, tags = phases.address(memory.select("id", targets.alias("targets")), spark.createDataFrame(_DOMAINS, "domain string, access string, auto_own boolean, claims boolean"))
+    hooks = {"kb": lambda r: r.where("lang = 'en'").select("id"), "chat": lambda r: r.where("source = 'src1'").select("id"), "faq": lambda r: r.where("source = 'src2'").select("id")}
+    return memory, owners, phases.claim_phase(memory, tags, hooks)
+
+
+_CLAIMED = """d AS (SELECT 'memory:' || doc_id AS id, doc_id % 9 = 0 AS named, lang, source FROM documents),
+    claimed AS (SELECT id, 'kb' AS domain FROM d WHERE NOT named AND lang = 'en' UNION ALL SELECT id, 'chat' FROM d WHERE NOT named AND source = 'src1' UNION ALL SELECT id, 'faq' FROM d WHERE NOT named AND source = 'src2'),
+    owned_ AS (SELECT id, 'log' AS domain FROM d UNION ALL SELECT id, domain FROM claimed)"""
+
+
+@query(f"""WITH {_CLAIMED} SELECT id AS in_id, 'domain:' || domain AS out_id FROM owned_ UNION ALL SELECT id, 'tag:inbox:' || domain FROM owned_ UNION ALL SELECT id, 'tag:inbox' FROM d""")
+def inbox_address_claim(spark, sf_dir):
+    """Owner and tag edges once entries have been addressed and claimed."""
+    _, owners, claimed = _inbox(spark, sf_dir)
+    return owners.unionByName(claimed.owners).unionByName(claimed.tags)
+
+
+@query(f"""WITH {_CLAIMED} SELECT id AS in_id, 'tag:inbox:' || CASE domain WHEN 'faq' THEN 'failed:faq' ELSE 'chat' END AS out_id FROM claimed WHERE domain IN ('chat', 'faq')
+    UNION ALL SELECT id, 'tag:inbox' FROM claimed WHERE domain = 'chat'""")
+def inbox_process_phase(spark, sf_dir):
+    """Tags after processing: one domain's handler fails for good, another domain has none yet."""
+
+    def fail(rows):
+        raise ValueError("bad input")
+
+    memory, _, claimed = _inbox(spark, sf_dir)
+    return phases.process_phase(memory, claimed.tags, {"log": lambda r: r, "kb": lambda r: None, "faq": fail}).tags
+
+
+# -- maintenance and enrichment --------------------------------------------------------------------
+_ABOUT = """a AS (SELECT 'memory:' || doc_id AS id, doc_id, 'user:' || (doc_id % 13) AS who FROM documents WHERE doc_id % 3 > 0)"""
+
+
+def _about(spark, sf_dir):
+    docs = P.table(spark, sf_dir, "documents").where("doc_id % 3 > 0")
+    return docs.select(F.concat(F.lit("memory:"), F.col("doc_id").cast("string")).alias("in_id"), F.concat(F.lit("user:"), (F.col("doc_id") % 13).cast("string")).alias("out_id"))
+
+
+def _attributed(spark, sf_dir):
+    return P.owned(spark, sf_dir).withColumn("attributes", F.to_json(F.struct("classification", "superseded")))
+
+
+@query(f"""{P.views('memory', 'owned')}, {_ABOUT} SELECT who AS "user", count(*) AS n, md5(string_agg(content, chr(10) ORDER BY created_at, m.id)) AS digest FROM a JOIN memory m ON m.id = a.id
+    WHERE a.id NOT IN (SELECT in_id FROM owned WHERE out_id = 'domain:kb' AND superseded) GROUP BY who""")
+def profile_sources(spark, sf_dir):
+    rows = jobs.profile_sources(_about(spark, sf_dir), P.memories(spark, sf_dir), _attributed(spark, sf_dir), "kb", P.NOW)
+    return rows.select("user", F.size("contents").cast("bigint").alias("n"), F.md5(F.array_join("contents", "\n")).alias("digest"))
+
+
+_ROOM = 60_000
+
+
+@query(f"""{P.views('memory', 'owned')}, {_ABOUT}, n AS (SELECT 'memory:' || doc_id AS id, CAST(doc_id % 13 AS VARCHAR) AS who, text FROM documents WHERE doc_id % 17 = 0),
+    o AS (SELECT a.id, replace(who, 'user:', '') AS who, content FROM a JOIN memory m ON m.id = a.id WHERE a.id NOT IN (SELECT id FROM n) AND a.id NOT IN (SELECT in_id FROM owned WHERE out_id = 'domain:kb' AND superseded) AND length(content) > 0),
+    z AS (SELECT who FROM (SELECT who, text FROM n UNION ALL SELECT who, content FROM o) GROUP BY who HAVING sum(length(text)) <= {_ROOM})
+    SELECT n.who AS "user", n.id AS new, o.id AS old FROM n JOIN o ON o.who = n.who WHERE n.who IN (SELECT who FROM z)""")
+def user_fact_pairs(spark, sf_dir):
+    """What a judge of supersession sees of each user; users with too much text are left to another run."""
+    memory = P.memories(spark, sf_dir)
+    fresh = memory.where("doc_id % 17 = 0").select("id", (F.col("doc_id") % 13).cast("string").alias("user"), "content")
+    return enrich.user_facts(fresh, _about(spark, sf_dir), memory, _attributed(spark, sf_dir), "kb", _ROOM)
+
+
+_FILES = """f AS (SELECT doc_id AS place, CASE WHEN source IN ('src1', 'src2') AND doc_id % 2 = 0 THEN 'D' ELSE 'A' END AS status,
+    CASE WHEN doc_id % 10 = 0 THEN 'top' ELSE source || '/' || lang || '-lib' END AS folder, CASE WHEN doc_id % 50 = 1 THEN 'UserRole.x' ELSE 'f' || doc_id END AS name FROM documents)"""
+
+
+def _scan(spark, sf_dir):
+    folder = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.concat("source", F.lit("/"), "lang", F.lit("-lib/")))
+    name = F.when(F.col("doc_id") % 50 == 1, "UserRole.x").otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string")))
+    status = F.when(F.col("source").isin("src1", "src2") & (F.col("doc_id") % 2 == 0), "D").otherwise("A")
+    return jobs.scan_commits(P.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), status.alias("status"), F.concat(folder, name).alias("path")))
+
+
+@query(f"""WITH {_FILES} SELECT folder AS path, regexp_replace(folder, '.*/', '') AS name, 'library' AS kind, CASE WHEN count(*) FILTER (status = 'D') = 0 THEN 'active' ELSE 'archived' END AS status
+    FROM f WHERE folder <> 'top' GROUP BY folder""")
+def commit_modules(spark, sf_dir):
+    return _scan(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_FILES}, g AS (SELECT folder AS path, min(place) AS place, CASE WHEN count(*) FILTER (status = 'D') = 0 THEN 'new folders' ELSE 'removed folders' END AS topic FROM f WHERE folder <> 'top' GROUP BY folder
+      UNION ALL SELECT CASE folder WHEN 'top' THEN name ELSE folder || '/' || name END, place, 'business' FROM f WHERE status = 'A' AND contains(lower(name), 'role')),
+    h AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY place, path) AS i FROM g)
+    SELECT topic, count(*) AS n, string_agg(path, ', ' ORDER BY place, path) FILTER (i <= CASE topic WHEN 'business' THEN 5 ELSE 10 END) AS listing FROM h GROUP BY topic""")
+def commit_notes(spark, sf_dir):
+    return _scan(spark, sf_dir)[1]
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN '' WHEN doc_id % 5 = 3 THEN 'again ' || doc_id ELSE 'first ' || doc_id END AS answers_question FROM documents""")
+def asked_questions(spark, sf_dir):
+    """A stand-in model that leaves some rows out when it is asked about all, and some always."""
+    rows = P.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    calls = []
+
+    def ask(some):
+        calls.append(1)
+        word, test = ("first ", "id % 5 < 3") if len(calls) == 1 else ("again ", "id % 5 = 3")
+        return some.where(test).select("id", F.concat(F.lit(word), F.col("id").cast("string")).alias("question"))
+
+    return enrich.ask_questions(rows, ask).withColumnRenamed("id", "doc_id")
+
+
+# -- views -----------------------------------------------------------------------------------------
+@query(f"""{P.views('memory')} SELECT id, content, event_time AS "eventTime", created_at AS "createdAt", token_count AS "tokenCount" FROM memory""")
+def entry_fields(spark, sf_dir):
+    return search.entry_fields(P.memories(spark, sf_dir))
+
+
+@query(f"""{P.views('tagged')} SELECT in_id AS "in", out_id AS "out" FROM tagged""")
+def edge_ends(spark, sf_dir):
+    return search.edge_ends(P.tagged(spark, sf_dir))
+
+
+@query(f"""{P.views('owned')} SELECT in_id, out_id FROM owned WHERE superseded IS DISTINCT FROM true""")
+def null_safe_filter(spark, sf_dir):
+    return P.owned(spark, sf_dir).where(filters.differs(F.col("superseded"), True)).select("in_id", "out_id")
+
+
+@query(f"""{P.views('memory', 'owned')} SELECT id, (SELECT out_id FROM owned o WHERE o.in_id = m.id ORDER BY owned_at, out_id LIMIT 1) AS owner FROM memory m""")
+def first_owner(spark, sf_dir):
+    return search.first_owner(P.memories(spark, sf_dir).select("id"), _attributed(spark, sf_dir)).select("id", "owner")
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1 GROUP BY user_id")
+def first_seen(spark, sf_dir):
+    return sequence.first_seen(P.table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")
+
+
+@query("""WITH t AS (SELECT conv_id % 5 AS stream, conv_id AS session, turn, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id, turn) - 1 AS step FROM conversations),
+    s AS (SELECT stream, session, min(step) AS start, count(*) AS n FROM t GROUP BY stream, session)
+    SELECT stream, CAST(sum(n) AS BIGINT) AS n, count(*) AS sessions, string_agg(CAST(start AS VARCHAR), ',' ORDER BY start) FILTER (start > 0) AS gold FROM s GROUP BY stream""")
+def eval_flat_sessions(spark, sf_dir):
+    turns = P.table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("stream"), F.col("conv_id").alias("session"), "turn")
+    return sequence.flatten_sessions(turns).withColumn("gold", F.array_join(F.col("gold").cast("array<string>"), ","))
+
+
+_RANKED = """r AS (SELECT source AS query, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)"""
+
+
+def _ranked(spark, sf_dir):
+    order = Window.partitionBy("query").orderBy(F.col("n_chars").desc(), "id")
+    return P.table(spark, sf_dir, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("id"), "n_chars").withColumn("rank", F.row_number().over(order)).drop("n_chars")
+
+
+@query(f"""WITH {_RANKED}, p AS (SELECT source AS query, min(doc_id) AS target, max(doc_id) AS distractor FROM documents GROUP BY source)
+    SELECT round(avg(CAST(coalesce(t.rank < d.rank, d.rank IS NULL AND t.rank IS NOT NULL) AS INT)), 6) AS pair_accuracy, count(*) AS queries FROM p
+    LEFT JOIN (SELECT * FROM r WHERE rank <= 20) t ON t.query = p.query AND t.id = p.target LEFT JOIN (SELECT * FROM r WHERE rank <= 20) d ON d.query = p.query AND d.id = p.distractor""")
+def eval_pair_accuracy(spark, sf_dir):
+    pairs = P.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("query")).agg(F.min("doc_id").alias("target"), F.max("doc_id").alias("distractor"))
+    return evaluate.pair_accuracy(_ranked(spark, sf_dir).where("rank <= 20"), pairs)
+
+
+@query(f"""WITH {_RANKED}, s AS (SELECT query, id FROM r WHERE rank <= 5), g AS (SELECT source AS query, doc_id AS id FROM documents WHERE doc_id % 7 = 0),
+    c AS (SELECT g.query, round(avg(CASE WHEN s.id IS NULL THEN 0 ELSE 1 END), 6) AS coverage FROM g LEFT JOIN s ON s.query = g.query AND s.id = g.id GROUP BY g.query)
+    SELECT c.query, coverage, string_agg(CAST(id AS VARCHAR), '|' ORDER BY rank) AS signature FROM c JOIN r ON r.query = c.query AND rank <= 3 GROUP BY c.query, coverage""")
+def eval_path_coverage(spark, sf_dir):
+    found = _ranked(spark, sf_dir).select("query", "rank", F.array("id").alias("nodes"))
+    ideal = P.table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("source").alias("query"), F.col("doc_id").alias("id"))
+    return evaluate.path_coverage(found, ideal).join(evaluate.path_signature(found), "query")
