@@ -10,7 +10,7 @@ from memlake.engine import Engine
 from memlake.operators.search import SearchQuery
 from memlake.sources.connect import render
 
-READ_ONLY = {"search", "search-table", "run-template", "build-context", "domains", "domain", "tags", "edges", "traverse", "core-list"}
+READ_ONLY = {"search", "search-table", "run-template", "build-context", "domains", "domain", "tags", "edges", "traverse", "core-list", "skills", "skill", "schedule-list"}
 
 
 @dataclass
@@ -67,6 +67,12 @@ COMMANDS: Mapping[str, Callable[[Engine, Call], Any]] = {
     "run-template": lambda e, c: e.run_template(c.words[0], c.words[1], c.flags),
     "domains": lambda e, c: sorted(e.domains),
     "domain": lambda e, c: vars(e.domains[c.words[0]]),
+    "init": lambda e, c: e.bootstrap(c.words[0]),
+    "submit": lambda e, c: e.submit(c.words, domains=c.list("domains"), now_ms=int(c.flags.get("now", 0))),
+    "process-inbox": lambda e, c: sorted(e.process_inbox(int(c.flags.get("now", 0)))),
+    "skills": lambda e, c: [s.id for s in e.skills(c.words[0])],
+    "skill": lambda e, c: next(s.content for s in e.skills(c.words[0]) if s.id == c.words[1]),
+    "schedule-list": lambda e, c: e.schedules(),
     "update": lambda e, c: e.update(c.words[0], " ".join(c.words[1:]) or None, {k: v for k, v in c.flags.items()}),
     "tags": lambda e, c: e.tags(c.words[0]),
     "tag": lambda e, c: e.tag(c.words[0], *c.words[1:]),

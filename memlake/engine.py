@@ -11,12 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions import text
-from memlake.operators import filters, graph, ingest, jobs, search
+from memlake.operators import filters, graph, ingest, jobs, phases, search
 from memlake.operators.store import Store
 
 Hook = Callable[..., Any]
 
 
+@dataclass(frozen=True)
+class Skill:
+    """A piece of guidance: for callers (external), for the domain itself (internal), or both."""
+
+    id: str
+    content: str
+    scope: str = "external"
+    writes: bool = False
+
+
 @dataclass
 class Domain:
     """Configuration of a domain; every hook takes and returns DataFrames and may be absent."""
@@ -35,6 +45,9 @@ class Domain:
     templates: Mapping[str, Hook] = field(default_factory=dict)
     schedules: Mapping[str, tuple[int, Hook]] = field(default_factory=dict)
     requires: Sequence[str] = ()
+    description: str = ""
+    bootstrap: Hook | None = None
+    skills: Sequence[Skill] = ()
 
 
 @dataclass
@@ -43,6 +56,7 @@ class Plugin:
     after_inbox: Hook | None = None
     expand_search: Hook | None = None
     enrich_context: Hook | None = None
+    bootstrap: Hook | None = None
 
 
 class Engine:
@@ -69,6 +83,82 @@ class Engine:
         names = [n for n in self.domains if (own.include is None or n in own.include) and n not in own.exclude]
         return sorted({*names, name})
 
+    def skills(self, name: str, internal: bool = False) -> list[Skill]:
+        """A domain's skills: its own view, or a caller's, who of a read-only domain gets none that write."""
+        domain = self.domains[name]
+        wanted = ("internal", "both") if internal else ("external", "both")
+        return [s for s in domain.skills if s.scope in wanted and (internal or domain.access == "write" or not s.writes)]
+
+    def summaries(self) -> list[dict[str, Any]]:
+        return [{"id": d.name, "description": d.description, "access": d.access, "skills": len(d.skills)} for d in self.domains.values()]
+
+    def bootstrap(self, name: str) -> None:
+        """A domain's own first work, then the plugins'."""
+        for hook in (self.domains[name].bootstrap, *(p.bootstrap for p in self.plugins)):
+            if hook:
+                hook(self)
+
+    # -- inbox ------------------------------------------------------------------------------------
+    def submit(self, texts: Sequence[str], domains: Sequence[str] = (), now_ms: int = 0) -> list[str]:
+        """Put texts into the inbox: owners and queue tags as ``phases.address`` says; returns the ids."""
+        ids = [f"memory:{uuid.uuid4()}" for _ in texts]
+        rows = self.spark.createDataFrame(
+            [(i, t, list(map(float, self.embed(t))) if self.embed else None, now_ms) for i, t in zip(ids, texts)],
+            "id string, content string, embedding array<float>, created_at bigint",
+        ).withColumn("token_count", text.token_count(F.col("content")))
+        listed = self.spark.createDataFrame([(d.name, d.access, d.auto_own, d.claim is not None) for d in self.domains.values()], "domain string, access string, auto_own boolean, claims boolean")
+        entries = self.spark.createDataFrame([(i, list(domains)) for i in ids], "id string, targets array<string>")
+        owners, tags = phases.address(entries, listed)
+
+        def work(store: Store) -> None:
+            store.create("memory", rows)
+            store.relate("owned_by", owners.withColumn("owned_at", F.lit(now_ms).cast("bigint")))
+            store.relate("tagged", tags)
+
+        self.store.transaction(work)
+        self.log(rows.select(F.lit("ingested").alias("name"), F.col("id").alias("memory_id"), F.lit(None).cast("string").alias("domain"), F.lit(now_ms).cast("bigint").alias("at")))
+        return ids
+
+    def process_inbox(self, now_ms: int = 0, retries: int = 2) -> dict[str, DataFrame]:
+        """Claims, handlers, then the plugins' ``after_inbox`` over what was processed; the rows of each handler.
+
+        A claim or a handler takes (entries, engine) and returns rows, a handler also None.
+        """
+        memory, failures = self.store.read("memory"), self.store.read("failure")
+        bound = lambda hook: lambda rows: hook(rows, self)
+        claims = {d.name: bound(d.claim) for d in self.domains.values() if d.claim and d.access == "write"}
+        claimed = phases.claim_phase(memory, self._edges("tagged"), claims, failures, retries, now_ms)
+        handlers = {d.name: bound(d.handler) for d in self.domains.values() if d.handler}
+        done = phases.process_phase(memory, claimed.tags, handlers, claimed.failures, retries, now_ms)
+        events = claimed.events.unionByName(done.events)
+        # a handler may have written; its edges stay, only the queue's own tags are replaced
+        now = self.store.read("edges")
+        queue = (F.col("edge_type") == "tagged") & ((F.col("out_id") == phases.ROOT) | F.col("out_id").startswith(f"{phases.ROOT}:"))
+        typed = lambda rows, kind: rows.select(F.lit(kind).alias("edge_type"), "in_id", "out_id")
+        waiting = done.tags.where((F.col("out_id") == phases.ROOT) | F.col("out_id").startswith(f"{phases.ROOT}:"))
+        rest = now.where(~queue).unionByName(typed(waiting, "tagged"), allowMissingColumns=True)
+        rest = rest.unionByName(typed(claimed.owners, "owned_by").withColumn("owned_at", F.lit(now_ms).cast("bigint")), allowMissingColumns=True)
+
+        def work(store: Store) -> None:
+            store.write("edges", rest)
+            store.write("failure", done.failures)
+
+        self.store.transaction(work)
+        self.log(events)
+        processed = events.where("name = 'inboxProcessed'").select(F.col("memory_id").alias("id"))
+        for plugin in self.plugins:
+            if plugin.after_inbox:
+                plugin.after_inbox(processed, self)
+        return done.outputs
+
+    def log(self, events: DataFrame) -> None:
+        """Append events (name, memory_id, domain, at) to the event log."""
+        self.store.create("event", events.withColumn("id", F.expr("uuid()")))
+
+    def events(self, name: str | None = None) -> DataFrame:
+        rows = self.store.read("event")
+        return rows if name is None else rows.where(F.col("name") == name)
+
     # -- tables -----------------------------------------------------------------------------------
     def _edges(self, kind: str) -> DataFrame:
         return self.store.read("edges").where(F.col("edge_type") == kind)
@@ -219,6 +309,11 @@ class Engine:
         return self.domains[domain].templates[name](self, params)
 
     # -- jobs -------------------------------------------------------------------------------------
+    def schedules(self) -> list[dict[str, Any]]:
+        """All schedules with their interval and last run."""
+        meta = {r["id"]: int(r["value"]) for r in self.store.read("meta").where(F.col("id").startswith("schedule:")).collect()}
+        return [{"domain": d.name, "schedule": s, "interval_ms": every, "last_run": meta.get(f"schedule:{d.name}:{s}")} for d in self.domains.values() for s, (every, _) in d.schedules.items()]
+
     def run_due(self, now_ms: int) -> list[str]:
         """Run the schedules whose interval has passed; last runs are rows of ``meta``, set after success."""
         meta = {r["id"]: int(r["value"]) for r in self.store.read("meta").where(F.col("id").startswith("schedule:")).collect()}

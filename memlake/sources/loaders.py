@@ -110,3 +110,13 @@ def file_tree(spark: SparkSession, root: str, depth: int = 4, ignore: Sequence[s
         name = (lambda x: x) if at == "." else (lambda x: f"{at}/{x}")
         out += [(name(d), at, True) for d in dirs] + [(name(f), at, False) for f in sorted(files)]
     return spark.createDataFrame(out, "path string, parent string, is_dir boolean")
+
+
+def load_prompt(folder: str, name: str, snippets: str) -> str:
+    """The text ``<folder>/<name>.md``, where a line ``@include x`` stands for ``<snippets>/x.md``; once, so
+    an include within a snippet stays as it is."""
+    import re
+    from pathlib import Path
+
+    read = lambda *parts: Path(*parts).read_text(encoding="utf-8").strip()
+    return re.sub(r"(?m)^@include[ \t]+(\S+)[ \t]*$", lambda m: read(snippets, f"{m[1]}.md"), read(folder, f"{name}.md"))
