@@ -165,12 +165,12 @@ def inbox_process_phase(spark, sf_dir):
 
 
 # -- maintenance and enrichment --------------------------------------------------------------------
-_ABOUT = """a AS (SELECT 'memory:' || doc_id AS id, doc_id, 'user:' || (doc_id % 13) AS who FROM documents WHERE doc_id % 3 > 0)"""
+_ABOUT = """a AS (SELECT 'memory:' || doc_id AS id, doc_id, 'user:' || (doc_id // 16) AS who FROM documents WHERE doc_id % 3 > 0)"""
 
 
 def _about(spark, sf_dir):
     docs = P.table(spark, sf_dir, "documents").where("doc_id % 3 > 0")
-    return docs.select(F.concat(F.lit("memory:"), F.col("doc_id").cast("string")).alias("in_id"), F.concat(F.lit("user:"), (F.col("doc_id") % 13).cast("string")).alias("out_id"))
+    return docs.select(F.concat(F.lit("memory:"), F.col("doc_id").cast("string")).alias("in_id"), F.concat(F.lit("user:"), F.expr("doc_id div 16").cast("string")).alias("out_id"))
 
 
 def _attributed(spark, sf_dir):
@@ -184,17 +184,17 @@ def profile_sources(spark, sf_dir):
     return rows.select("user", F.size("contents").cast("bigint").alias("n"), F.md5(F.array_join("contents", "\n")).alias("digest"))
 
 
-_ROOM = 60_000
+_ROOM = 45_000
 
 
-@query(f"""{P.views('memory', 'owned')}, {_ABOUT}, n AS (SELECT 'memory:' || doc_id AS id, CAST(doc_id % 13 AS VARCHAR) AS who, text FROM documents WHERE doc_id % 17 = 0),
+@query(f"""{P.views('memory', 'owned')}, {_ABOUT}, n AS (SELECT 'memory:' || doc_id AS id, CAST(doc_id // 16 AS VARCHAR) AS who, text FROM documents WHERE doc_id % 17 = 0),
     o AS (SELECT a.id, replace(who, 'user:', '') AS who, content FROM a JOIN memory m ON m.id = a.id WHERE a.id NOT IN (SELECT id FROM n) AND a.id NOT IN (SELECT in_id FROM owned WHERE out_id = 'domain:kb' AND superseded) AND length(content) > 0),
     z AS (SELECT who FROM (SELECT who, text FROM n UNION ALL SELECT who, content FROM o) GROUP BY who HAVING sum(length(text)) <= {_ROOM})
     SELECT n.who AS "user", n.id AS new, o.id AS old FROM n JOIN o ON o.who = n.who WHERE n.who IN (SELECT who FROM z)""")
 def user_fact_pairs(spark, sf_dir):
     """What a judge of supersession sees of each user; users with too much text are left to another run."""
     memory = P.memories(spark, sf_dir)
-    fresh = memory.where("doc_id % 17 = 0").select("id", (F.col("doc_id") % 13).cast("string").alias("user"), "content")
+    fresh = memory.where("doc_id % 17 = 0").select("id", F.expr("doc_id div 16").cast("string").alias("user"), "content")
     return enrich.user_facts(fresh, _about(spark, sf_dir), memory, _attributed(spark, sf_dir), "kb", _ROOM)
 
 
