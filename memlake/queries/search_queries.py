@@ -256,7 +256,12 @@ def parent_resolution(spark, sf_dir):
     return retrieval.resolve_parents(rows, P.reinforces(spark, sf_dir), valid)
 
 
-@query()
+@query(f"""{P.views('memory')}, r AS (SELECT row_number() OVER (ORDER BY vector DESC, v.id) AS n, v.id, vector AS score, token_count AS size, embedding FROM ({vector_sql(limit=50)}) v JOIN memory m ON m.id = v.id),
+    s AS (SELECT a.n, a.id, a.score, a.size, list({COS.format('a.embedding', 'b.embedding').replace('6)', '12)')} ORDER BY b.n) AS near FROM r a, r b GROUP BY a.n, a.id, a.score, a.size),
+    g(step, chosen, room) AS (SELECT 0, []::BIGINT[], 10000 UNION ALL SELECT step + 1, list_append(chosen, -best.n), room - best.size FROM (
+      SELECT step, chosen, room, max({{'value': round(0.7 * score - 0.3 * greatest(0, coalesce(list_max(list_transform(chosen, lambda i: near[i])), 0)), 9), 'n': -s.n, 'size': size}}) AS best
+      FROM g JOIN s ON size <= room AND NOT list_contains(chosen, s.n) GROUP BY step, chosen, room))
+    SELECT id, score, size AS token_count, list_position(chosen, n) - 1 AS place FROM s, (SELECT chosen FROM g ORDER BY step DESC LIMIT 1) WHERE list_contains(chosen, n)""")
 def mmr_fill(spark, sf_dir):
     memory = P.memories(spark, sf_dir)
     rows = search.vector_search(memory, probe(spark, sf_dir), 50).withColumnRenamed("vector", "score")
