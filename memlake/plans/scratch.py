@@ -28,11 +28,14 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/memlake-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` once into the scratch folder and read it back: a recoverable lineage cut."""
+def cut(df: DataFrame, label: str = "t", **options: str) -> DataFrame:
+    """Write ``df`` once into the scratch folder and read it back: a recoverable lineage cut.
+
+    ``options`` go to the Parquet writer (sizes of row groups, say).
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
