@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memlake.llm import quality_rules, url_filter
+from memlake.llm import filter_audit, lexical_index, quality_rules, url_filter
 
 WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
@@ -55,4 +55,50 @@ def op7_sql() -> str:
         CAST(removed_words AS BIGINT) AS removed_words FROM f"""
 
 
-ORACLE_SQL = {"op2_url_digests": op2_sql(), "op3_jaccard_join": op3_sql(), "op7_line_frequency": op7_sql()}
+def op11_sql() -> str:
+    bits = ", ".join(f"('{f}', {1 << k})" for k, f in enumerate(filter_audit.FILTERS))
+    return f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+      firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+      w AS (SELECT d.doc_id, part, d.text, {WORDS.format('d.text')} AS words, d.doc_id > first AS copied FROM d JOIN firsts ON firsts.text = d.text),
+      m AS (SELECT part, CASE WHEN len(words) < {filter_audit.MIN_WORDS} THEN 1 ELSE 0 END
+          + CASE WHEN 100 * len(list_distinct(words)) < {filter_audit.DISTINCT_PERCENT} * len(words) THEN 2 ELSE 0 END
+          + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > {filter_audit.CAPITAL_PERCENT} * length(text) THEN 4 ELSE 0 END
+          + CASE WHEN regexp_matches(text, '{filter_audit.SIGNS}') THEN 8 ELSE 0 END + CASE WHEN copied THEN 16 ELSE 0 END AS mask,
+        EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = w.doc_id AND quality = 1) AS good,
+        EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = w.doc_id AND toxic = 1) AS toxic FROM w),
+      c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+      f(x, b) AS (VALUES {bits}),
+      o AS (SELECT f1.x || f2.x || f3.x || f4.x || f5.x AS filter_order, [f1.b, f2.b, f3.b, f4.b, f5.b] AS bits
+        FROM f f1, f f2, f f3, f f4, f f5 WHERE len(list_distinct([f1.b, f2.b, f3.b, f4.b, f5.b])) = 5),
+      s AS (SELECT filter_order, step, bits[step] AS b, coalesce(list_sum(bits[1:step - 1]), 0) AS before FROM o, range(1, 6) r(step)),
+      r AS (SELECT part, filter_order, step, b,
+        coalesce(sum(n) FILTER (mask & (before + b) = 0), 0) AS kept,
+        coalesce(sum(n) FILTER (mask & before = 0 AND mask & b <> 0), 0) AS removed,
+        coalesce(sum(n) FILTER (mask & before <> 0 AND mask & b <> 0), 0) AS redundant,
+        coalesce(sum(n) FILTER (mask = b), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (mask & before = 0 AND mask & b <> 0), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & b <> 0), 0) AS toxic_lost
+        FROM (SELECT part, mask, n, good, toxic, filter_order, step, b, CAST(before AS INTEGER) AS before FROM c, s) GROUP BY part, filter_order, step, b)
+      SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+        CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley FROM r"""
+
+
+def op13_sql() -> str:
+    terms = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{lexical_index.TERM}')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS terms FROM documents WHERE text IS NOT NULL),
+      t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY r, term),
+      s AS (SELECT count(*) FILTER (len(terms) > 0) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d),
+      q AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({terms}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+      w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(s.n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term),
+      m AS (SELECT r, doc_id, 25 + (75 * len(terms) * s.n) // s.l AS m FROM d, s),
+      x AS (SELECT q.item_id, t.r, any_value(m.doc_id) AS doc_id, CAST(sum(repeats * w.w * ((1000000000 * tf) // (1000 * tf + 8 * m.m))) AS BIGINT) AS score
+        FROM q JOIN w ON w.term = q.term JOIN t ON t.term = q.term JOIN m ON m.r = t.r GROUP BY q.item_id, t.r),
+      k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+      SELECT item_id, rank, doc_id, score FROM k WHERE rank <= {lexical_index.TOP}"""
+
+
+ORACLE_SQL = {
+    "op2_url_digests": op2_sql(), "op3_jaccard_join": op3_sql(), "op7_line_frequency": op7_sql(),
+    "op11_filter_audit": op11_sql(), "op13_lexical_search": op13_sql(),
+}

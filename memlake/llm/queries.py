@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from memlake.llm import (
     byte_bpe,
     decontaminate,
+    filter_audit,
     jaccard_join,
     language_id,
+    lexical_index,
     quality_rules,
+    quality_trees,
     ring_sharding,
     secret_scan,
     token_rollup,
@@ -121,6 +124,22 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    forest = quality_trees.train_quality(docs, _read(spark, sf_dir, "labels"), _fold(5) != 0)
+    return quality_trees.score_quality(docs, forest).select(
+        "doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_index.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,6 +150,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_bitmask, op2_url_digests, op3_jaccard_join, op4_toxicity_ftrl, op5_ring_shards, op6_secret_scan,
-        op7_line_frequency, op8_latent_decontamination, op9_byte_bpe, op10_token_rollup, pipeline,
+        op7_line_frequency, op8_latent_decontamination, op9_byte_bpe, op10_token_rollup,
+        op11_filter_audit, op12_quality_trees, op13_lexical_search, pipeline,
     )
 }
