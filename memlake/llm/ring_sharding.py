@@ -21,7 +21,7 @@ from memlake.plans.scratch import cut
 
 CELLS = 1 << 12
 VIRTUAL = 64
-SALTS = 16
+RUN_ROWS = 1 << 18
 
 
 def ring(shards: int, virtual: int = VIRTUAL) -> list[tuple[int, list[int]]]:
@@ -50,18 +50,24 @@ def shard_rows(rows: DataFrame, key: str, shards: int, virtual: int = VIRTUAL) -
 
     Law ``rows``: counts of any two shards differ by at most one.  Any row has a place: null keys hash
     like a value, and repeated keys (or whole rows) share an arc, whose overflow other shards take, so
-    one key may hold any share of the rows.  ``key`` names the column whose hash places a row; other
-    columns are kept, and none may be called cell, salt, shard or slot.
+    one key may hold any share of the rows.  ``key`` names the column whose hash places a row; all
+    columns are kept, whatever their names, but none may be called shard or slot.
     """
+    if taken := {c.lower() for c in rows.columns} & {"shard", "slot"}:
+        raise ValueError(f"rows already have columns {sorted(taken)}")
     spark = rows.sparkSession
-    # the salt spreads the rows of one arc; it is written down, so later reads see the same one
+    cell = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(CELLS)).cast("int")
+    # an arc's rows are ranked in about equal parts of at most RUN_ROWS, so a hot key is as many tasks' work
+    parts = rows.select(cell.alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / RUN_ROWS).alias("parts"))
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), cell.alias("cell"))
+    # the part of a row is written down, so later reads see the same one
     placed = cut(
-        rows.withColumn("cell", F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int"))
-        .withColumn("salt", (F.spark_partition_id() % SALTS).cast("int")),
+        packed.join(F.broadcast(cut(parts, "parts")), "cell")
+        .select("row", "cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).alias("salt")),
         "placed",
     )
     loads = placed.groupBy("cell", "salt").agg(F.count(F.lit(1)).alias("n"))
-    loads = cut(loads, "loads")  # at most CELLS * SALTS rows
+    loads = cut(loads, "loads")  # one row for each cell, and one more for each RUN_ROWS rows
     table = json.dumps([{"cell": cell, "walk": walk} for cell, walk in ring(shards, virtual)])
     walks = spark.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<cell:int,walk:array<int>>>")))
     arcs = (
@@ -117,9 +123,8 @@ def shard_rows(rows: DataFrame, key: str, shards: int, virtual: int = VIRTUAL) -
     offsets = loads.select(
         "cell", "salt", (F.sum("n").over(Window.partitionBy("cell").orderBy("salt")) - F.col("n")).alias("offset")
     )
-    guide = offsets.join(F.broadcast(by_cell), "cell")  # at most CELLS * SALTS rows
-    extra = [c for c in rows.columns]
-    rank = F.row_number().over(Window.partitionBy("cell", "salt").orderBy(*[F.col(f"`{c}`") for c in extra])) - 1
+    guide = offsets.join(F.broadcast(by_cell), "cell")  # as many rows as loads
+    rank = F.row_number().over(Window.partitionBy("cell", "salt").orderBy("row")) - 1
     found = (
         placed.withColumn("rank", rank)
         .join(F.broadcast(guide), ["cell", "salt"])
@@ -127,7 +132,7 @@ def shard_rows(rows: DataFrame, key: str, shards: int, virtual: int = VIRTUAL) -
         .withColumn("run", F.expr("filter(runs, r -> rank >= r.first and rank < r.first + r.run)[0]"))
     )
     return found.select(
-        *[F.col(f"`{c}`") for c in extra], F.col("run.shard").alias("shard"),
+        "row.*", F.col("run.shard").alias("shard"),
         (F.col("run.start") + F.col("rank") - F.col("run.first")).alias("slot"),
     )
 

@@ -1,9 +1,10 @@
 """URL filter on a sorted digest array.
 
 Entries (host and path prefix) are kept as a sorted array of 64-bit xxhash keys beside their full
-strings, in one file that executors map into memory.  A url's candidate keys, all host suffixes with
-all path lengths that entries use, are probed by one vectorised binary search per batch, and a hit
-counts only if the stored string is equal.
+strings, in one file that executors map into memory.  A url's candidate keys, the host suffixes with
+the path lengths that entries can have, are probed by one vectorised binary search per batch, and a hit
+counts only if the stored string is equal.  Suffixes of more labels or bytes than any entry's host are
+never built, so a url of any length makes only so many short keys.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.llm import textkernels as K
 from memlake.plans.scratch import scratch_root
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,8 +58,15 @@ def digest(host: str, path: str, listed: bool) -> tuple[int, bytes]:
 
 
 def index_bytes(items: list[Entry]) -> bytes:
-    """The file: count, sorted digests, verdicts, string offsets, strings."""
-    rows = sorted((*digest(e.host, e.path, e.verdict == LISTED), e.verdict) for e in set(items))
+    """The file: count, sorted digests, verdicts, string offsets, strings.
+
+    Of entries with one host and path, the one that blocks wins.
+    """
+    strictest: dict[tuple, int] = {}
+    for e in items:
+        key = (e.host, e.path, e.verdict == LISTED)
+        strictest[key] = max(strictest.get(key, e.verdict), e.verdict)
+    rows = sorted((*digest(*key), verdict) for key, verdict in strictest.items())
     strings = [full for _, full, _ in rows]
     at = np.cumsum([0, *map(len, strings)]).astype("<i8")
     return b"".join([
@@ -105,21 +114,41 @@ def publish(spark: SparkSession, data: bytes) -> str:
     return name
 
 
-def _suffixes(host: str) -> list[str]:
-    parts = host.split(".")
-    return [".".join(parts[i:]) for i in range(len(parts))]
-
-
-def _judge(batches, name: str, rule_lengths: list[int]) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Limits:
+    """What any entry can match: path lengths of rules, and the most labels and characters of a host."""
+
+    path_lengths: tuple[int, ...]
+    labels: int
+    characters: int
+
+    @classmethod
+    def of(cls, items: list[Entry]) -> Limits:
+        lengths = tuple(sorted({len(e.path) for e in items if e.verdict != LISTED}))
+        return cls(lengths, max((e.host.count(".") + 1 for e in items), default=0), max((len(e.host) for e in items), default=0))
+
+    def suffixes(self, host: str) -> Iterator[str]:
+        """The host's suffixes of whole labels, shortest first, as far as an entry could equal them."""
+        at = len(host)
+        for _ in range(self.labels):
+            at = host.rfind(".", 0, at)
+            if len(host) - at - 1 > self.characters:
+                return
+            yield host[at + 1 :]
+            if at < 0:
+                return
+
+
+def _judge(batches, name: str, limits: Limits) -> Iterator[pa.RecordBatch]:
     index = DigestIndex(SparkFiles.get(name))
     for whole in batches:
         for lo in range(0, len(whole), BATCH):
             batch = whole.slice(lo, BATCH)
-            hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             keys, owner, text = [], [], []
-            for row, (host, path) in enumerate(zip(hosts, paths)):
-                for suffix in _suffixes(host) if host else ():
-                    for length in rule_lengths:
+            for row, (host, path) in enumerate(zip(batch.column("host"), batch.column("path"))):
+                host, path = host.as_py(), path.as_py()
+                for suffix in limits.suffixes(host) if host else ():
+                    for length in limits.path_lengths:
                         if length <= len(path):
                             keys.append(digest(suffix, path[:length], False))
                             owner.append(row)
@@ -150,10 +179,11 @@ def judge_urls(pages: DataFrame, items: list[Entry]) -> DataFrame:
 
     The longest rule that fits (host or a domain above it, and a prefix of the path) decides; of two
     as long the one with the longer host.  Without a rule a url is blocked if its host or a domain
-    above it is on the blocklist, else allowed.  A null url, or one without ``://``, has empty host and
-    path and is allowed.  Rows pass through one to one; other columns are ignored.
+    above it is on the blocklist, else allowed; of two rules of the same text the one that blocks holds.
+    A null url, or one without ``://``, has empty host and path and is allowed.  Rows pass through one to
+    one, repeated ones too; other columns are ignored.
     """
-    lengths = sorted({len(e.path) for e in items if e.verdict != LISTED})
+    limits = Limits.of(items)
     name = publish(pages.sparkSession, index_bytes(items))
     pattern = "(?s)^.*?://([^/?#]*)([^?#]*)"
     parsed = pages.select(
@@ -161,7 +191,7 @@ def judge_urls(pages: DataFrame, items: list[Entry]) -> DataFrame:
         F.coalesce(F.translate(F.regexp_extract("url", pattern, 1), UPPER, LOWER), F.lit("")).alias("host"),
         F.coalesce(F.regexp_extract("url", pattern, 2), F.lit("")).alias("path"),
     )
-    return parsed.mapInArrow(
-        lambda it: _judge(it, name, lengths),
+    return K.bounded(parsed).mapInArrow(
+        lambda it: _judge(it, name, limits),
         "page_id bigint, host string, path string, rule string, verdict string",
     )
