@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,52 +33,6 @@ def prune_decayed(rows: DataFrame, now_ms: int, rate: float, threshold: float =
     return rows.where("invalid_at is null").withColumn("decayed", left).where(F.col("decayed") < threshold)
 
 
-def greedy_clusters(pairs: DataFrame, least: int = 3, by: Sequence[str] = (), nodes: DataFrame | None = None) -> DataFrame:
-    """(by, cluster, id): in id order each free node takes its free partners; clusters of ``least`` or more.
-
-    ``pairs(a, b)`` are similar pairs within the groups of ``by`` (a class, a user); a group is what is
-    consolidated together and bounded by that, while groups are dealt over tasks.
-    """
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        used, out = set(), []
-        for node in sorted(near):
-            if node in used:
-                continue
-            members = [node, *sorted(n for n in near[node] if n not in used)]
-            if len(members) >= least:
-                used.update(members)
-                out += [(node, m) for m in members]
-        frame = pd.DataFrame(out, columns=["cluster", "id"])
-        for c in by:
-            frame[c] = pdf[c].iloc[0] if len(pdf) else None
-        return frame[[*by, "cluster", "id"]]
-
-    kinds = dict(pairs.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"cluster {kinds['a']}", f"id {kinds['a']}"])
-    return pairs.groupBy(*by).applyInPandas(kernel, schema)
-
-
-def merge_topics(topics: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, merged_into, mention_count): of similar topics the one with most mentions, then the oldest, takes the others' mentions.
-
-    A topic merges into the best of its neighbours if that beats the topic itself; chains point one step up.
-    """
-    rank = F.struct(F.col("mention_count").alias("m"), (-F.col("created_at")).alias("c"), F.col("id").alias("i"))
-    ranked = topics.select("id", "mention_count", rank.alias("rank"))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    best = both.join(ranked.select(F.col("id").alias("b"), "rank"), "b").groupBy(F.col("a").alias("id")).agg(F.max("rank").alias("best"))
-    out = ranked.join(best, "id", "left").select("id", "mention_count", F.when(F.col("best") > F.col("rank"), F.col("best.i")).alias("merged_into"))
-    gained = out.where("merged_into is not null").groupBy(F.col("merged_into").alias("id")).agg(F.sum("mention_count").alias("gained"))
-    return out.join(gained, "id", "left").select(
-        "id", "merged_into", F.when(F.col("merged_into").isNull(), F.col("mention_count") + F.coalesce("gained", F.lit(0))).otherwise(F.col("mention_count")).alias("mention_count")
-    )
-
-
 def profile_sources(about: DataFrame, memory: DataFrame, owned: DataFrame, domain: str, now_ms: int) -> DataFrame:
     """(user, contents): the texts about each user (in_id about out_id), oldest first, without those that
     the domain holds as superseded or expired; texts that it does not own count."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake import projection as P
 from memlake.functions import scoring, text, vector
-from memlake.operators import evaluate, filters, graph, ingest, jobs, paths, search, sequence
+from memlake.operators import evaluate, filters, graph, ingest, jobs, paths, search, sequence, turns
 from memlake.plans.scratch import cut
 from memlake.queries import query
 from memlake.queries.search_queries import COS, TOKENS, probe
@@ -246,25 +246,51 @@ def topic_merge_candidates(spark, sf_dir):
     return graph.semantic_edges(P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 0.45)
 
 
-@query()
+def _lists_sql(threshold: float, where: str = "true") -> str:
+    """Each vector's list as a search returns it: itself, then the nine nearest at the threshold, as positions."""
+    return f"""pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, {COS.format('x.embedding', 'y.embedding')} AS weight
+      FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id AND {where} WHERE weight >= {threshold}),
+    ids AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+    near AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) AS place FROM pairs QUALIFY place < 10),
+    lists AS (SELECT a, b, place FROM near UNION ALL SELECT id, id, 0 FROM ids)"""
+
+
+# the nodes one after the other, each with the state that those before it left
+@query(f"""WITH RECURSIVE {_lists_sql(0.3, 'x.label = y.label')},
+    turns AS (SELECT row_number() OVER (ORDER BY a) AS k, a, own FROM (SELECT a, list(i) AS own FROM lists JOIN ids ON ids.id = b GROUP BY a)),
+    run(k, taken) AS (SELECT 0, list(CAST(NULL AS BIGINT)) FROM ids
+      UNION ALL SELECT run.k + 1, CASE WHEN taken[turns.k] IS NULL AND len(list_filter(own, lambda j: taken[j] IS NULL)) >= 3
+        THEN list_transform(taken, lambda t, j: CASE WHEN t IS NULL AND list_contains(own, j) THEN turns.a ELSE t END) ELSE taken END FROM run JOIN turns ON turns.k = run.k + 1),
+    last AS (SELECT taken FROM run ORDER BY k DESC LIMIT 1)
+    SELECT label AS class, taken[i] AS cluster, ids.id FROM last, ids JOIN embeddings ON vec_id = ids.id WHERE taken[i] IS NOT NULL""")
 def consolidation_clusters(spark, sf_dir):
     vectors = P.table(spark, sf_dir, "embeddings")
     pairs = graph.semantic_edges(vectors.select(F.col("vec_id").alias("id"), "embedding"), 0.3)
     kinds = vectors.select("vec_id", "label")
     same = pairs.join(kinds.select(F.col("vec_id").alias("a"), F.col("label").alias("class")), "a").join(kinds.select(F.col("vec_id").alias("b"), F.col("label").alias("other")), "b")
-    return jobs.greedy_clusters(same.where("class = other").select("class", "a", "b"), 3, ["class"])
-
-
-@query(f"""WITH pairs AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
-      WHERE {COS.format('x.embedding', 'y.embedding')} >= 0.45), both_ AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-    t AS (SELECT vec_id AS id, vec_id % 17 AS m FROM embeddings), j AS (SELECT a AS id, max({{'m': t.m, 'c': -t.id, 'i': t.id}}) AS best FROM both_ JOIN t ON t.id = b GROUP BY a),
-    o AS (SELECT t.id, t.m, CASE WHEN best > {{'m': t.m, 'c': -t.id, 'i': t.id}} THEN best.i END AS merged_into FROM t LEFT JOIN j ON j.id = t.id),
-    g AS (SELECT merged_into AS id, sum(m) AS gained FROM o WHERE merged_into IS NOT NULL GROUP BY merged_into)
-    SELECT o.id, merged_into, CAST(CASE WHEN merged_into IS NULL THEN m + coalesce(gained, 0) ELSE m END AS BIGINT) AS mention_count FROM o LEFT JOIN g ON g.id = o.id""")
+    lists = turns.nearest_lists(same.where("class = other"))
+    return turns.greedy_clusters(lists, 3).join(kinds.select(F.col("vec_id").alias("id"), F.col("label").alias("class")), "id").select("class", "cluster", "id")
+
+
+# pair after pair: of two standing topics the one with more mentions, then the older, takes the other's
+@query(f"""WITH RECURSIVE {_lists_sql(0.45)},
+    steps AS (SELECT row_number() OVER (ORDER BY a, place) AS k, x.i AS ia, y.i AS ib, a <= b AS older FROM lists JOIN ids x ON x.id = a JOIN ids y ON y.id = b WHERE a <> b),
+    run(k, n, into_) AS (SELECT 0, list(CAST(id % 17 AS BIGINT) ORDER BY id), list(CAST(NULL AS BIGINT)) FROM ids
+      UNION ALL SELECT run.k + 1,
+        CASE WHEN into_[ia] IS NOT NULL OR into_[ib] IS NOT NULL THEN n
+          ELSE list_transform(n, lambda x, j: CASE WHEN j = CASE WHEN n[ia] > n[ib] OR (n[ia] = n[ib] AND older) THEN ia ELSE ib END THEN n[ia] + n[ib] ELSE x END) END,
+        CASE WHEN into_[ia] IS NOT NULL OR into_[ib] IS NOT NULL THEN into_
+          ELSE list_transform(into_, lambda x, j: CASE WHEN n[ia] > n[ib] OR (n[ia] = n[ib] AND older) THEN CASE WHEN j = ib THEN ia ELSE x END WHEN j = ia THEN ib ELSE x END) END
+        FROM run JOIN steps ON steps.k = run.k + 1),
+    last AS (SELECT n, into_ FROM run ORDER BY k DESC LIMIT 1),
+    up(i, r) AS (SELECT i, i FROM ids UNION ALL SELECT up.i, into_[r] FROM up, last WHERE into_[r] IS NOT NULL),
+    root AS (SELECT up.i, r FROM up, last WHERE into_[r] IS NULL)
+    SELECT ids.id, CASE WHEN root.r <> ids.i THEN top.id END AS merged_into, first.id AS first_into, n[ids.i] AS mention_count
+    FROM last, ids JOIN root ON root.i = ids.i JOIN ids top ON top.i = root.r LEFT JOIN ids first ON first.i = into_[ids.i]""")
 def topic_merge(spark, sf_dir):
     vectors = P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     topics = vectors.select("id", (F.col("id") % 17).alias("mention_count"), F.col("id").alias("created_at"))
-    return jobs.merge_topics(topics, graph.semantic_edges(vectors, 0.45))
+    return turns.merge_topics(topics, turns.nearest_lists(graph.semantic_edges(vectors, 0.45), vectors))
 
 
 @query(f"""WITH c AS (SELECT b.vec_id AS id, e.vec_id AS other, {COS.format('e.embedding', 'b.embedding')} AS sim FROM embeddings b, embeddings e WHERE b.label = 0 AND e.label <> 0),

@@ -219,8 +219,6 @@ def test_ingest_jobs_and_ledger(spark):
     claims = spark.createDataFrame([("a", 1, None), ("b", 5, "a"), ("c", 9, "b"), ("d", 9, "zz"), ("e", 7, "a")], "id string, valid_from bigint, supersedes string")
     assert {r.id: r.valid_to for r in ingest.supersede(claims).collect()} == {"a": 5, "b": 9, "c": None, "d": None, "e": None}
     assert {r.id: r.problem for r in ingest.supersession_errors(claims).collect()} == {"d": "unknown", "e": "already closed"}
-    pairs = spark.createDataFrame([("k", 1, 2), ("k", 1, 3), ("k", 3, 4), ("k", 5, 6)], "class string, a bigint, b bigint")
-    assert sorted((r.cluster, r.id) for r in jobs.greedy_clusters(pairs, 3, ["class"]).collect()) == [(1, 1), (1, 2), (1, 3)]
     best, value = jobs.tune(lambda p: -((p["x"] - 3) ** 2), {"x": (0, -5, 5, 1)})
     assert best == {"x": 3} and value == 0
     due = spark.createDataFrame([("d", "a", 10, None), ("d", "b", 10, 95), ("d", "c", 10, 90)], "domain string, schedule_id string, interval_ms bigint, last_run bigint")
