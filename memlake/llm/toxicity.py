@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
+from memlake.plans.scratch import broadcast_if_small, cut
 
 FEATURE_BITS = 20
-TRAIN_POSITIVE = 3000
-TRAIN_NEGATIVE = 5000
+TRAIN_ROWS = 20_000
+TRAIN_BYTES = 1 << 15
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 UNTAUGHT = -35.0
@@ -94,25 +95,25 @@ def ftrl(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> Weight
     return Weights(float(-bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)), used, weights(used).astype(np.float32))
 
 
-def train_toxicity(
-    docs: DataFrame, labels: DataFrame, train: Column,
-    positives: int = TRAIN_POSITIVE, negatives: int = TRAIN_NEGATIVE,
-) -> Weights:
-    """Learn ``labels.toxic`` from at most ``positives`` + ``negatives`` labelled rows where ``train`` holds.
+def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Weights:
+    """Learn ``labels.toxic`` from at most ``rows`` labelled documents where ``train`` holds.
 
-    The bound is a parameter; the rows are those least in a hash of doc_id, so the choice is stable.
-    Null labels and ids are not used; a doc_id with both labels teaches both; of rows with one doc_id
-    the least text teaches.  Without any label no text is predicted toxic (score about 0).
+    The bound is one for both classes, so the share of toxic documents that is learned, and with it who is
+    toxic at 0.5, does not depend on the size of the table.  The documents are those least in a hash of
+    doc_id, so the choice is stable; those of more than ``size`` bytes teach nothing, which bounds what is
+    learned from.  A null text is an empty one; null labels and ids are not used; a doc_id with both labels
+    teaches both; of rows with one doc_id the least text teaches.  Without any label no text is predicted
+    toxic (score about 0).
     """
-    known = labels.where(train & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("toxic = 1").orderBy(*order).limit(positives).union(
-        known.where("toxic = 0").orderBy(*order).limit(negatives)
-    )
+    known = labels.where(train & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label")
+    ).distinct()
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    present = ids.select("doc_id").join(broadcast_if_small(cut(known, "toxic-labels")), "doc_id").distinct()
+    chosen = cut(present.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows), "toxic-sample")
     rows = (
-        docs.select("doc_id", "text").where("text is not null")
-        .join(F.broadcast(chosen.selectExpr("doc_id", "toxic as label")), "doc_id")
-        .groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+        ids.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= size)
+        .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     )
     found = K.bounded(rows.select(F.col("label").cast("int").alias("label"), "text")).mapInArrow(_examples, "label int, features array<int>").toArrow()
     flat = found.column("features").combine_chunks()
