@@ -1,9 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages become TF-IDF rows (inverse document frequencies over the whole corpus); randomised
-SVDs, one task each, give a latent space for each ``RANK`` of them.  Every window of every text is folded
-in and compared by cosine with the passages of the items; candidates are settled by the longest common subsequence of
-words and by whether the item's answer is there, so reworded copies are caught as well.
+All benchmark passages become TF-IDF rows (inverse document frequencies over the whole corpus).  A
+distributed randomised SVD finds their latent space: every task sketches its passages by random signs into
+``SKETCH`` places and adds up one Gram matrix, the matrices are summed in a tree, and the leading
+``RANK`` eigenvectors of the sum span the space, whatever the number of passages.  Every window of every text
+is folded in and compared by cosine with the passages; candidates are settled by the longest common
+subsequence of words and by whether the item's answer is there, so reworded copies are caught as well.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,37 +24,45 @@ from memlake.plans.scratch import broadcast_if_small, cut, numbered
 
 FEATURE_BITS = 18
 STEP = 16
-RANK = 256
-POWER_ROUNDS = 2
-COSINE = 0.3
+SKETCH, RANK = 1024, 192
+SUMS_AT_ONCE = 8
+COSINE, LATENT = 0.3, 0.42
 EXACT, REWORDED, ANSWER = 0.8, 0.5, 0.6
-ITEMS_AT_ONCE = 20_000
-SPACES_AT_ONCE = 8
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 4096, 1 << 23
 
 
 @dataclass(frozen=True)
 class Space:
-    """A latent space of passages of two ``step``s: rows of ``features`` (sorted), passages and their items.
+    """The latent space: idf and whether the benchmark has it, by feature, and the basis by place of the sketch."""
+
+    idf: np.ndarray
+    known: np.ndarray
+    basis: np.ndarray
+
+
+@dataclass(frozen=True)
+class Passages:
+    """Passages of two ``step``s as unit rows: the directions of their latent vectors, and the lengths of the parts
+    of each row ``inside`` the space and outside of it (``rest``).
 
     ``most``: the largest weight that any of the passages gives to each feature.
     """
 
     step: int
-    features: np.ndarray
-    most: np.ndarray
-    basis: np.ndarray
     vectors: np.ndarray
+    inside: np.ndarray
+    rest: np.ndarray
     owners: np.ndarray
+    most: np.ndarray
 
 
 @dataclass(frozen=True)
-class Latent:
-    """Inverse document frequencies, the items, and the spaces that hold them."""
+class Block:
+    """Some items, their words, and their passages by step."""
 
-    idf: np.ndarray
     ids: np.ndarray
     words: list[np.ndarray]
-    spaces: list[Space]
+    passages: list[Passages]
 
 
 def _features(hashes: np.ndarray) -> np.ndarray:
@@ -74,9 +85,13 @@ def _doc_counts(batches) -> Iterator[pa.RecordBatch]:
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Distinct texts of ``docs`` per hashed word, and the number of them (2 MB, fixed)."""
+    """Texts of ``docs`` per hashed word, and the number of them (2 MB, fixed).
+
+    Every row counts, copies too: telling them apart would move all texts through a shuffle, and copies
+    only make the words of hot texts a little lighter.
+    """
     rows = (
-        K.bounded(docs.select("text").where("text is not null").distinct()).mapInArrow(_doc_counts, "feature int, n bigint")
+        K.bounded(docs.select("text").where("text is not null")).mapInArrow(_doc_counts, "feature int, n bigint")
         .groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     )
     out = np.zeros((1 << FEATURE_BITS) + 1, np.int64)
@@ -97,47 +112,27 @@ def _passages(words: np.ndarray, step: int) -> list[np.ndarray]:
     return [words[at : at + 2 * step] for at in range(0, max(1, len(words) - step), step)]
 
 
-def randomised_svd(matrix: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors (columns x rank): a range finder with power rounds."""
-    basis = np.random.default_rng(7).standard_normal((matrix.shape[1], min(rank, *matrix.shape)))
-    for _ in range(1 + POWER_ROUNDS):
-        basis, _ = np.linalg.qr(matrix.T @ (matrix @ basis))
-    small = matrix @ basis
-    values, vectors = np.linalg.eigh(small.T @ small)
-    return basis @ vectors[:, values > 1e-9 * max(values.max(initial=0), 1e-30)]
+def _places(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and sign of each feature in the sketch, by a hash."""
+    mixed = K.mix(features.astype(K.U64) + K.U64(0x5851F42D4C957F2D))
+    return (mixed % K.U64(SKETCH)).astype(np.int64), np.where(mixed >> K.U64(63), 1.0, -1.0)
 
 
-def _rows(passages: list[np.ndarray], features: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of unit length over ``features``."""
-    out = np.zeros((len(passages), len(features)))
-    for row, words in zip(out, passages):
-        own = _features(words)
-        np.add.at(row, np.searchsorted(features, own), idf[own])
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+def _flat(passages: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, weight) of the TF-IDF rows of unit length, one entry for each feature of a row."""
+    row = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+    pairs, times = np.unique(row << FEATURE_BITS | _features(np.concatenate(passages)), return_counts=True)
+    row, feature = pairs >> FEATURE_BITS, pairs & ((1 << FEATURE_BITS) - 1)
+    weight = times * idf[feature]
+    return row, feature, weight / np.sqrt(np.bincount(row, weight * weight, len(passages)))[row]
 
 
-def _space(step: int, owners: list[int], passages: list[np.ndarray], idf: np.ndarray) -> Space:
-    """The space of some passages; of at most ``RANK`` of them none loses any length in it."""
-    features = np.unique(_features(np.concatenate(passages)))
-    rows = _rows(passages, features, idf)
-    basis = randomised_svd(rows, RANK)
-    return Space(step, features, rows.max(axis=0), basis.astype(np.float32), (rows @ basis).astype(np.float32), np.array(owners))
+def _sketched(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    place, sign = _places(feature)
+    return np.bincount(row * SKETCH + place, weight * sign, rows * SKETCH).reshape(rows, SKETCH)
 
 
-def _shares(words: list[np.ndarray]) -> list[tuple[int, list[int], list[np.ndarray]]]:
-    """(step, items, passages) of runs of at most ``RANK`` passages of one step."""
-    by_step: dict[int, list] = {}
-    for i, w in enumerate(words):
-        step = _step(len(w))
-        by_step.setdefault(step, []).extend((i, p) for p in _passages(w, step))
-    return [
-        (step, [i for i, _ in own[a : a + RANK]], [p for _, p in own[a : a + RANK]])
-        for step, own in sorted(by_step.items()) for a in range(0, len(own), RANK)
-    ]
-
-
-def _benchmark_words(items: list) -> list[np.ndarray]:
-    texts = pa.array([row["text"] for row in items], pa.string())
+def _item_words(texts: pa.Array) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for _, _, raw, at in K.blocks(texts):
         words = K.Words(raw, at)
@@ -145,33 +140,70 @@ def _benchmark_words(items: list) -> list[np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame, benchmark: DataFrame) -> Iterator[Latent]:
-    """The latent spaces of all items, ``SPACES_AT_ONCE`` at a time.
+def _grams(batches, idf) -> Iterator[pa.RecordBatch]:
+    """One Gram matrix of all sketched passages of a task, and the features they have."""
+    gram, known = np.zeros((SKETCH, SKETCH)), np.zeros(1 << FEATURE_BITS, bool)
+    for batch in batches:
+        passages = [p for words in _item_words(batch.column("text")) if len(words) for p in _passages(words, _step(len(words)))]
+        for lo in range(0, len(passages), 4096):
+            row, feature, weight = _flat(passages[lo : lo + 4096], idf.value)
+            known[feature] = True
+            rows = _sketched(row, feature, weight, len(passages[lo : lo + 4096]))
+            gram += rows.T @ rows
+    yield _packed(gram, known)
+
+
+def _packed(gram: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([np.packbits(known).tobytes()], pa.binary())], ["gram", "known"])
+
+
+def _summed(batches) -> Iterator[pa.RecordBatch]:
+    gram, known = np.zeros((SKETCH, SKETCH)), np.zeros(1 << FEATURE_BITS, bool)
+    for batch in batches:
+        for g, k in zip(batch.column("gram"), batch.column("known")):
+            gram += np.frombuffer(g.as_buffer(), float).reshape(SKETCH, SKETCH)
+            known |= np.unpackbits(np.frombuffer(k.as_buffer(), np.uint8)).astype(bool)
+    yield _packed(gram, known)
+
 
-    A space holds as many passages as it has dimensions, so their number grows with the benchmark; each
-    is decomposed by a Spark task of its own.  The items are a stated query set, read in blocks.
+def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Space:
+    """The latent space of all passages of ``items(text)``, by a distributed randomised SVD.
+
+    The Gram matrix of the sketched rows has their right singular vectors; what tasks hand on is one
+    matrix of fixed size each, and the driver gets ``SUMS_AT_ONCE`` of them.
     """
-    sc = docs.sparkSession.sparkContext
-    counts, texts = document_frequencies(docs)
-    # no word is without weight, however common: an item may consist of such words
-    idf = 1 + np.log((texts + 1) / (counts + 1))
-    weights = sc.broadcast(idf)
-    items = benchmark.selectExpr("cast(item_id as bigint) as item_id", "text").where("item_id is not null and text is not null")
-    blocks = max(1, -(-items.count() // ITEMS_AT_ONCE))
-    for block in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        rows = sorted(some.distinct().collect(), key=lambda r: (r["item_id"], r["text"]))
-        words = _benchmark_words(rows)
-        kept = [i for i, w in enumerate(words) if len(w)]
-        ids, words = np.array([rows[i]["item_id"] for i in kept]), [words[i] for i in kept]
-        shares = _shares(words)
-        for a in range(0, len(shares), SPACES_AT_ONCE):
-            few = shares[a : a + SPACES_AT_ONCE]
-            held = sorted({i for _, owners, _ in few for i in owners})
-            place = {i: k for k, i in enumerate(held)}
-            own = [(step, [place[i] for i in owners], passages) for step, owners, passages in few]
-            spaces = sc.parallelize(own, len(own)).map(lambda x: _space(*x, weights.value)).collect()
-            yield Latent(idf, ids[held], [words[i] for i in held], spaces)
+    shared = items.sparkSession.sparkContext.broadcast(idf)
+    parts = items.select("text").mapInArrow(lambda it: _grams(it, shared), "gram binary, known binary")
+    rows = parts.repartition(SUMS_AT_ONCE).mapInArrow(_summed, "gram binary, known binary").toArrow()
+    shared.destroy()
+    gram, known = np.zeros((SKETCH, SKETCH)), np.zeros(1 << FEATURE_BITS, bool)
+    for g, k in zip(rows.column("gram"), rows.column("known")):
+        gram += np.frombuffer(g.as_py(), float).reshape(SKETCH, SKETCH)
+        known |= np.unpackbits(np.frombuffer(k.as_py(), np.uint8)).astype(bool)
+    values, vectors = np.linalg.eigh(gram)
+    some = values > 1e-9 * max(values.max(initial=0), 1e-30)
+    return Space(idf, known, vectors[:, some][:, -rank:].astype(np.float32))
+
+
+def place_items(space: Space, ids: np.ndarray, words: list[np.ndarray]) -> Block:
+    """A block of items with the latent vectors of their passages."""
+    by_step: dict[int, list] = {}
+    for i, w in enumerate(words):
+        by_step.setdefault(_step(len(w)), []).extend((i, p) for p in _passages(w, _step(len(w))))
+    out = []
+    for step, own in sorted(by_step.items()):
+        row, feature, weight = _flat([p for _, p in own], space.idf)
+        most = np.zeros(1 << FEATURE_BITS, np.float32)
+        np.maximum.at(most, feature, weight.astype(np.float32))
+        vectors = np.empty((len(own), space.basis.shape[1]), np.float32)
+        for lo in range(0, len(own), 4096):
+            hi = min(lo + 4096, len(own))
+            a, b = np.searchsorted(row, [lo, hi])
+            vectors[lo:hi] = _sketched(row[a:b] - lo, feature[a:b], weight[a:b], hi - lo) @ space.basis
+        inside = np.linalg.norm(vectors, axis=1)
+        vectors /= np.maximum(inside, 1e-9)[:, None]
+        out.append(Passages(step, vectors, inside, np.sqrt(np.maximum(0, 1 - inside * inside)), np.array([i for i, _ in own]), most))
+    return Block(ids, words, out)
 
 
 def common_subsequence(places: dict[int, int], size: int, words: list[int]) -> int:
@@ -219,15 +251,19 @@ class _Steps:
         return out
 
 
-def _near(space: Space, place: np.ndarray, features: np.ndarray, scale: np.ndarray, steps: _Steps) -> Iterator[tuple]:
-    """(windows, passages, cosines) of every window and passage of ``space`` with a cosine of ``COSINE`` or more."""
-    at = place[features]
-    held = np.flatnonzero(at >= 0)
+def _near(space: Space, group: Passages, features: np.ndarray, scale: np.ndarray, steps: _Steps) -> Iterator[tuple]:
+    """(windows, passages, cosines) of the windows and passages that may have a cosine of ``COSINE`` and have a
+    latent cosine of ``LATENT`` or more.
+
+    A product of two rows is that of their latent vectors and that of what lies outside the space, which is
+    no more than the product of those two lengths: pairs whose sum stays under ``COSINE`` are passed over.
+    """
+    held = np.flatnonzero(space.known[features])
     own = steps.of[held]
-    # folding in cannot lengthen a window: those too far from the items' features are passed over
+    # words that no passage has add nothing: those windows are too far from all passages
     joint = steps.windows(np.bincount(own, scale[held] ** 2, len(steps.begins)))
     # nor can a product be more than each word at the largest weight it has in any passage
-    product = steps.windows(np.bincount(own, scale[held] * space.most[at[held]], len(steps.begins)))
+    product = steps.windows(np.bincount(own, scale[held] * group.most[features[held]], len(steps.begins)))
     window = np.flatnonzero((joint >= COSINE * COSINE * steps.full) & (product >= 0.999 * COSINE * np.sqrt(steps.full)))
     for a in range(0, len(window), 1024):
         some = window[a : a + 1024]
@@ -238,22 +274,25 @@ def _near(space: Space, place: np.ndarray, features: np.ndarray, scale: np.ndarr
         use = need[slot] == own[lo:hi]
         slot, token = slot[use], held[lo:hi][use]
         cuts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        place, sign = _places(features[token])
         folded = np.zeros((len(need), space.basis.shape[1]), np.float32)
-        folded[slot[cuts]] = np.add.reduceat(space.basis[at[token]] * scale[token, None].astype(np.float32), cuts, axis=0)
+        folded[slot[cuts]] = np.add.reduceat(space.basis[place] * (scale[token] * sign).astype(np.float32)[:, None], cuts, axis=0)
         vector = folded[np.searchsorted(need, some)]
         vector[nxt] += folded[np.searchsorted(need, some[nxt] + 1)]
-        cosine = (vector @ space.vectors.T) / np.sqrt(steps.full[some])[:, None]
-        w, k = np.nonzero(cosine >= COSINE)
-        yield some[w], k, cosine[w, k]
-
-
-def _search(batches, latent) -> Iterator[pa.RecordBatch]:
-    model: Latent = latent.value
-    checks = [_Item(w, model.idf) for w in model.words]
-    places = []
-    for space in model.spaces:
-        places.append(np.full(1 << FEATURE_BITS, -1, np.int32))
-        places[-1][space.features] = np.arange(len(space.features))
+        length = np.linalg.norm(vector, axis=1)
+        vector /= np.maximum(length, 1e-9)[:, None]
+        latent = vector @ group.vectors.T
+        w, k = np.nonzero(latent >= LATENT)
+        cosine = latent[w, k]
+        outside = np.sqrt(np.maximum(0, joint[some] - length * length))
+        most = cosine * length[w] * group.inside[k] + outside[w] * group.rest[k]
+        may = most >= COSINE * np.sqrt(steps.full[some])[w]
+        yield some[w[may]], k[may], cosine[may]
+
+
+def _search(batches, space: Broadcast, block: Broadcast) -> Iterator[pa.RecordBatch]:
+    latent, model = space.value, block.value
+    checks = [_Item(w, latent.idf) for w in model.words]
     for batch in batches:
         ids = batch.column("doc_id")
         for lo, _, raw, at in K.blocks(batch.column("text")):
@@ -261,15 +300,14 @@ def _search(batches, latent) -> Iterator[pa.RecordBatch]:
             if not len(words.hashes):
                 continue
             features = _features(words.hashes)
-            scale = model.idf[features]
-            by_step = {step: _Steps(words, scale, step) for step in {space.step for space in model.spaces}}
+            scale = latent.idf[features]
             found: dict = {}
-            for space, place in zip(model.spaces, places):
-                steps = by_step[space.step]
-                for windows, passages, cosines in _near(space, place, features, scale, steps):
-                    hits = zip(steps.row[windows].tolist(), space.owners[passages].tolist(), cosines.tolist(), steps.begins[windows].tolist())
+            for group in model.passages:
+                steps = _Steps(words, scale, group.step)
+                for windows, passages, cosines in _near(latent, group, features, scale, steps):
+                    hits = zip(steps.row[windows].tolist(), group.owners[passages].tolist(), cosines.tolist(), steps.begins[windows].tolist())
                     for row, item, cosine, start in hits:
-                        found.setdefault((row, item), []).append((cosine, start, start + 2 * space.step))
+                        found.setdefault((row, item), []).append((cosine, start, start + 2 * group.step))
             out = _settle(found, words, checks)
             if out:
                 yield pa.RecordBatch.from_arrays(
@@ -316,20 +354,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A pair is returned if the longest common subsequence covers at least ``EXACT`` of the item's
     words, or at least ``REWORDED`` with ``ANSWER`` of the answer's words present; one row for each
-    (doc_id, item_id), with the best values.  Null and empty texts hold nothing; benchmark rows
-    without id or words are not looked for; rows without doc_id come out as one document.
+    (doc_id, item_id), with the best values (the cosine is that of the latent vectors).  Null and empty texts
+    hold nothing; benchmark rows without id or words are not looked for; rows without doc_id come out as
+    one document.
+
+    The items are a stated query set.  They are gone through in blocks of about ``ITEMS_AT_ONCE`` items and
+    ``BYTES_AT_ONCE`` bytes, one after the other: a block is broadcast, its part of the result written, and the
+    broadcast ended, so driver and executors hold one block whatever the size of the benchmark.
     """
     spark = docs.sparkSession
+    sc = spark.sparkContext
     schema = "doc_id bigint, item_id bigint, cosine double, lcs_share double, answer_share double"
-    found = None
-    for latent in fit(docs, benchmark):
-        shared = spark.sparkContext.broadcast(latent)
+    items = cut(benchmark.selectExpr("cast(item_id as bigint) as item_id", "text").where("item_id is not null and text is not null").distinct(), "items")
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    found = spark.createDataFrame([], schema)
+    if not size["n"]:
+        return found
+    counts, texts = document_frequencies(docs)
+    # no word is without weight, however common: an item may consist of such words
+    space = sc.broadcast(latent_space(items, 1 + np.log((texts + 1) / (counts + 1))))
+    blocks = max(-(-size["n"] // ITEMS_AT_ONCE), -(-size["bytes"] // BYTES_AT_ONCE), 1)
+    for k in range(blocks):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        rows = sorted(some.collect(), key=lambda r: (r["item_id"], r["text"]))
+        words = _item_words(pa.array([r["text"] for r in rows], pa.string()))
+        kept = [i for i, w in enumerate(words) if len(w)]
+        if not kept:
+            continue
+        block = sc.broadcast(place_items(space.value, np.array([rows[i]["item_id"] for i in kept]), [words[i] for i in kept]))
         part = K.bounded(docs.selectExpr("cast(doc_id as bigint) as doc_id", "text")).mapInArrow(
-            lambda it, shared=shared: _search(it, shared), schema
+            lambda it, block=block: _search(it, space, block), schema
         )
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
+        found = found.union(cut(part, "leaks"))
+        block.destroy()
+    space.destroy()
     best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.cosine", "m.lcs_share", "m.answer_share")
 

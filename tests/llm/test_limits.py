@@ -70,3 +70,98 @@ def test_a_hot_key_is_ranked_in_parts(spark, monkeypatch):
     counts = collections.Counter(r["shard"] for r in out)
     assert set(counts.values()) == {375}
     assert sorted((r["shard"], r["slot"]) for r in out) == [(s, k) for s in range(8) for k in range(375)]
+
+
+def planted(rnd, items, n):
+    """Texts that hold an item, word for word or with up to half of it changed, and some that hold none."""
+    pool = [f"v{rnd.randrange(3000)}" for _ in range(3000)]
+    rows = []
+    for k in range(n):
+        share = rnd.choice([0, 0, 0.2, 0.35, 0.5])
+        words = []
+        for w in rnd.choice(items).split():
+            r = rnd.random()
+            words += [] if r < share / 3 else [rnd.choice(pool)] if r < share * 2 / 3 else [w, rnd.choice(pool)] if r < share else [w]
+        host = [rnd.choice(pool) for _ in range(rnd.choice([0, 30, 300]))]
+        at = rnd.randrange(len(host) + 1)
+        rows.append((k, " ".join(host[:at] + words + host[at:]) if k % 5 else " ".join(host)))
+    return rows
+
+
+def every_window(items, rows, idf):
+    """(doc_id, item_id) that hold when every window is a candidate for every item."""
+    import pyarrow as pa
+
+    from memlake.llm import decontaminate as D
+    from memlake.llm import textkernels as K
+
+    checks = [D._Item(w, idf) for w in D._item_words(pa.array(items))]
+    found = set()
+    for i, text in rows:
+        for _, _, raw, at in K.blocks(pa.array([text])):
+            words = K.Words(raw, at)
+            for k, check in enumerate(checks):
+                step = D._step(check.size)
+                if D._settle({(0, k): [(0.0, a, a + 2 * step) for a in range(0, len(words.hashes), step)]}, words, [*checks]):
+                    found.add((i, k))
+    return found
+
+
+@pytest.mark.parametrize("n_items, n_docs", [(40, 300), (2000, 60)])
+def test_latent_search_against_every_window(spark, monkeypatch, n_items, n_docs):
+    import random
+
+    import numpy as np
+
+    from memlake.llm import decontaminate as D
+
+    monkeypatch.setattr(D, "ITEMS_AT_ONCE", 700)
+    rnd = random.Random(n_items)
+    # a third of the words are common ones
+    items = [" ".join(f"w{rnd.randrange(rnd.choice([60, 4000, 4000]))}" for _ in range(rnd.choice([6, 20, 45, 90]))) for _ in range(n_items)]
+    rows = planted(rnd, items, n_docs)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, bench).collect()}
+    counts, texts = D.document_frequencies(docs)
+    expected = every_window(items, rows, 1 + np.log((texts + 1) / (counts + 1)))
+    assert found <= expected and len(expected) > n_docs / 2
+    assert len(found) / len(expected) >= 0.9
+
+
+def test_the_space_is_that_of_the_gram_of_all_passages(spark):
+    import random
+
+    import numpy as np
+
+    from memlake.llm import decontaminate as D
+
+    rnd = random.Random(2)
+    items = [" ".join(f"w{rnd.randrange(300)}" for _ in range(40)) for _ in range(300)]
+    frame = spark.createDataFrame([(t,) for t in items], "text string").repartition(7)
+    idf = np.random.default_rng(1).random(1 << D.FEATURE_BITS) + 1
+    space = D.latent_space(frame, idf, 32)
+    import pyarrow as pa
+
+    passages = [p for w in D._item_words(pa.array(items)) for p in D._passages(w, D._step(len(w)))]
+    row, feature, weight = D._flat(passages, idf)
+    rows = D._sketched(row, feature, weight, len(passages))
+    exact = np.linalg.svd(rows, full_matrices=False)
+    mine = np.linalg.norm(rows @ space.basis) ** 2
+    assert space.basis.shape == (D.SKETCH, 32) and mine == pytest.approx((exact[1][:32] ** 2).sum(), rel=1e-5)
+    assert set(np.flatnonzero(space.known)) == set(feature.tolist())
+
+
+def test_toxic_share_is_learned_alike_at_every_size(spark):
+    from memlake.llm import toxicity
+
+    rows = [(i, f"a{i % 7} b{i % 5} " + ("bad" if i % 4 == 0 else "good")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(2000)] + [(10_000 + i, 1) for i in range(500)], "doc_id bigint, toxic int")
+    for bound in (400, 5000):
+        weights = toxicity.train_toxicity(docs, labels, F.lit(True), bound)
+        score = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, weights).collect()}
+        assert score == {i: int(i % 4 == 0) for i in range(2000)}
+    # labels without a document use up no part of the bound, and long texts teach nothing
+    chosen = toxicity.train_toxicity(docs, labels, F.lit(True), 2000, 3)
+    assert chosen.bias == toxicity.UNTAUGHT

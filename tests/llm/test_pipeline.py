@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def test_query_returns_each_row_once(spark, name):
     rows = queries.QUERIES[name](spark, SF)
     table = {"op2_url_digests": "pages"}.get(name, "documents")
-    if name not in ("op8_latent_decontamination", "op10_token_rollup"):
+    if name not in ("op8_latent_decontamination", "op10_token_rollup", "op11_filter_audit", "op13_lexical_search"):
         key = "page_id" if table == "pages" else "doc_id"
         want = sorted(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect())
         assert sorted(r[0] for r in rows.select(key).collect()) == want
