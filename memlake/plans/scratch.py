@@ -56,23 +56,32 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def rows_of(table: DataFrame) -> int:
+    """The number of rows of a written table, counted once for each frame object."""
+    if not hasattr(table, "scratch_rows"):
+        table.scratch_rows = table.count()
+    return table.scratch_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only when a counted, already written narrow table has at most ``max_rows``.
 
-    ``df`` should come from :func:`cut`, so the count reads Parquet footers alone.  A larger table
-    is returned as it is and joins by shuffle.
+    ``df`` should come from :func:`cut`, so the count reads Parquet footers alone; ``rows`` is the count where
+    the caller knows it.  A larger table is returned as it is and joins by shuffle.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return F.broadcast(df) if (rows_of(df) if rows is None else rows) <= max_rows else df
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_hot(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS, rows: int | None = None
+) -> DataFrame:
     """``left`` joined with a written table that has each key once, however often ``left`` has one key.
 
-    A small ``right`` is broadcast.  A larger one is repeated ``SALTS`` times, so that the rows of a
-    hot key are dealt, by a hash of the whole row, to as many tasks; ``how`` may be inner, left,
-    left_semi or left_anti.
+    A small ``right`` (``rows``, where the caller knows the count) is broadcast.  A larger one is repeated
+    ``SALTS`` times, so that the rows of a hot key are dealt, by a hash of the whole row, to as many tasks;
+    ``how`` may be inner, left, left_semi or left_anti.
     """
-    if right.count() <= max_rows:
+    if (rows_of(right) if rows is None else rows) <= max_rows:
         return left.join(F.broadcast(right), keys, how)
     salt = "__salt"
     dealt = left.withColumn(salt, F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
