@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.scratch import cut, discard, join_hot
+from memlake.plans.scratch import cut, discard, join_hot, rows_of
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -24,9 +24,10 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         "cc-edges",
     )
     labels = cut(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "cc-0")
+    nodes = rows_of(labels)  # the same in every round
     while True:
         heard = (
-            join_hot(both, labels.select(F.col("node").alias("near"), "label"), ["near"])
+            join_hot(both, labels.select(F.col("node").alias("near"), "label"), ["near"], rows=nodes)
             .groupBy("node").agg(F.min("label").alias("heard"))
         )
         met = labels.join(heard, "node").select(
@@ -34,7 +35,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         )
         jump = labels.select(F.col("node").alias("met"), F.col("label").alias("further"))
         after = cut(
-            join_hot(met, jump, ["met"], "left").select(
+            join_hot(met, jump, ["met"], "left", rows=nodes).select(
                 "node", "old", F.least("met", F.coalesce("further", "met")).alias("label")
             ),
             "cc",
@@ -44,3 +45,22 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         if after.where("label <> old").isEmpty():
             discard(both)
             return labels.select("node", "label")
+
+
+def extend_components(labels: DataFrame | None, edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
+    """``labels`` (node, label) as they are once ``edges`` are there as well.
+
+    Only components that an edge joins are looked at: each is one node, its label, of a smaller graph.
+    """
+    if labels is None:
+        return connected_components(edges, src, dst)
+    ends = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).where("node is not null").distinct()
+    ends = cut(ends.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("label").isNull().alias("fresh")), "cc-ends")
+    known = rows_of(ends)
+    joined = join_hot(edges.select(F.col(src).alias("node"), F.col(dst).alias("far")), ends.select("node", "label"), ["node"], rows=known)
+    joined = joined.select(F.col("label").alias("a"), F.col("far").alias("node"))
+    joined = join_hot(joined, ends.select("node", "label"), ["node"], rows=known).select("a", F.col("label").alias("b")).where("a <> b").distinct()
+    moved = connected_components(cut(joined, "cc-joined"))
+    every = labels.select("node", "label").union(ends.where("fresh").select("node", "label"))
+    renamed = moved.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return cut(join_hot(every, renamed, ["label"], "left").select("node", F.coalesce("least", "label").alias("label")), "cc-labels")

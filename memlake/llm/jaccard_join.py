@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
-from memlake.llm.components import connected_components
-from memlake.plans.scratch import BROADCAST_ROWS, broadcast_if_small, cut, discard, join_hot, numbered
+from memlake.llm.components import extend_components
+from memlake.plans.scratch import BROADCAST_ROWS, broadcast_if_small, cut, discard, join_hot, numbered, rows_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -178,7 +178,7 @@ def _may_match(percent: int) -> Column:
 
 def _only(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     """``rows`` of nodes on one side of ``pairs``, picked before the shuffle while the pairs are few."""
-    if pairs.count() > BROADCAST_ROWS:
+    if rows_of(pairs) > BROADCAST_ROWS:
         return rows
     return rows.join(F.broadcast(pairs.select(F.col(side).alias("node"))), "node", "left_semi")
 
@@ -286,7 +286,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     )
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        return docs.join(broadcast_if_small(wanted.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+        return docs.join(broadcast_if_small(wanted.select(F.col("node").alias("doc_id")), rows=rows_of(wanted)), "doc_id", "left_semi")
 
     facts = cut(texts_of(nodes).mapInArrow(lambda it: _facts(it, size, percent), _FACTS_SCHEMA), "facts")
     repeated = not facts.groupBy("node").count().where("count > 1").isEmpty()
@@ -296,7 +296,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     discard(every, shared)
     sets = None
 
-    links, tried, labels, scrap = None, None, None, []
+    tried, labels, scrap = None, None, []
     for turn in range(STAR_ROUNDS + 1):
         placed = _labelled(members, labels)
         # first the texts that meet others in most of their prefix, then any, by a fresh hash
@@ -310,24 +310,24 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         scrap.append(leaders)
         if turn < STAR_ROUNDS:
             met = (
-                join_hot(placed, leaders.selectExpr("token", "node as lead", "label as lead_label"), ["token"])
+                join_hot(placed, leaders.selectExpr("token", "node as lead", "label as lead_label"), ["token"], rows=rows_of(leaders))
                 .where("label <> lead_label").select("node", "lead")
             )
             met = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
         else:
-            met = _all_across(join_hot(placed, leaders.select("token", "size"), ["token"]), facts, percent)
+            met = _all_across(join_hot(placed, leaders.select("token", "size"), ["token"], rows=rows_of(leaders)), facts, percent)
         met = met.distinct()
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
         met = cut(met, "pairs")
-        if met.isEmpty():
-            if turn < STAR_ROUNDS and leaders.isEmpty():
+        if not rows_of(met):
+            if turn < STAR_ROUNDS and not rows_of(leaders):
                 break
             continue
         scrap.append(met)
         tried = met if tried is None else tried.union(met)
         passed = cut(_passing(met, facts, percent), "passed")
-        if passed.isEmpty():
+        if not rows_of(passed):
             continue
         wanted = passed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if sets is not None:
@@ -337,10 +337,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         scrap.append(fresh)
         sets = fresh if sets is None else sets.union(fresh)
         found = cut(_linked(passed, sets, percent), "links")
-        if found.isEmpty():
+        if not rows_of(found):
             continue
-        links = found if links is None else links.union(found)
-        labels = connected_components(links)
+        labels = extend_components(labels, found)
 
     classes = some.select("h1", "h2", "doc_id").join(broadcast_if_small(copies), ["h1", "h2"], "left")
     named = copies.select("h1", "h2", F.col("rep").alias("node"))
