@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from memlake.functions import text
 from memlake.operators import filters, graph, ingest, jobs, phases, search
 from memlake.operators.store import Store
+from memlake.plans.scratch import cut
 
 Hook = Callable[..., Any]
 
@@ -119,29 +120,32 @@ class Engine:
         self.log(rows.select(F.lit("ingested").alias("name"), F.col("id").alias("memory_id"), F.lit(None).cast("string").alias("domain"), F.lit(now_ms).cast("bigint").alias("at")))
         return ids
 
-    def process_inbox(self, now_ms: int = 0, retries: int = 2) -> dict[str, DataFrame]:
+    def process_inbox(self, now_ms: int = 0, most: int = 2) -> dict[str, DataFrame]:
         """Claims, handlers, then the plugins' ``after_inbox`` over what was processed; the rows of each handler.
 
-        A claim or a handler takes (entries, engine) and returns rows, a handler also None.
+        A claim or a handler takes (entries, engine), one batch at a time, and returns rows, a handler also
+        None.  Entries that were offered and that nobody wants are deleted.
         """
-        memory, failures = self.store.read("memory"), self.store.read("failure")
+        memory, failures, tags = self.store.read("memory"), self.store.read("failure"), self._queue()
         bound = lambda hook: lambda rows: hook(rows, self)
         claims = {d.name: bound(d.claim) for d in self.domains.values() if d.claim and d.access == "write"}
-        claimed = phases.claim_phase(memory, self._edges("tagged"), claims, failures, retries, now_ms)
+        claimed = phases.claim_phase(memory, tags, claims, failures, most, now_ms, self._edges("owned_by").select("in_id"))
         handlers = {d.name: bound(d.handler) for d in self.domains.values() if d.handler}
-        done = phases.process_phase(memory, claimed.tags, handlers, claimed.failures, retries, now_ms)
-        events = claimed.events.unionByName(done.events)
+        done = phases.process_phase(memory, claimed.tags, handlers, claimed.failures, most, now_ms)
+        events = cut(claimed.events.unionByName(done.events), "events")
         # a handler may have written; its edges stay, only the queue's own tags are replaced
+        gone = claimed.unclaimed
         now = self.store.read("edges")
-        queue = (F.col("edge_type") == "tagged") & ((F.col("out_id") == phases.ROOT) | F.col("out_id").startswith(f"{phases.ROOT}:"))
         typed = lambda rows, kind: rows.select(F.lit(kind).alias("edge_type"), "in_id", "out_id")
-        waiting = done.tags.where((F.col("out_id") == phases.ROOT) | F.col("out_id").startswith(f"{phases.ROOT}:"))
-        rest = now.where(~queue).unionByName(typed(waiting, "tagged"), allowMissingColumns=True)
+        rest = now.where(~self._queued()).unionByName(typed(done.tags, "tagged"), allowMissingColumns=True)
         rest = rest.unionByName(typed(claimed.owners, "owned_by").withColumn("owned_at", F.lit(now_ms).cast("bigint")), allowMissingColumns=True)
+        rest = rest.join(gone.select(F.col("id").alias("in_id")), "in_id", "left_anti").select(*rest.columns)
 
         def work(store: Store) -> None:
             store.write("edges", rest)
             store.write("failure", done.failures)
+            if not gone.isEmpty():
+                store.write("memory", store.read("memory").join(gone, "id", "left_anti"))
 
         self.store.transaction(work)
         self.log(events)
@@ -151,6 +155,13 @@ class Engine:
                 plugin.after_inbox(processed, self)
         return done.outputs
 
+    def _queued(self):
+        """Whether an edge is a tag of the inbox."""
+        return (F.col("edge_type") == "tagged") & ((F.col("out_id") == phases.ROOT) | F.col("out_id").startswith(f"{phases.ROOT}:"))
+
+    def _queue(self) -> DataFrame:
+        return self.store.read("edges").where(self._queued()).select("in_id", "out_id")
+
     def log(self, events: DataFrame) -> None:
         """Append events (name, memory_id, domain, at) to the event log."""
         self.store.create("event", events.withColumn("id", F.expr("uuid()")))

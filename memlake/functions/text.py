@@ -148,8 +148,10 @@ TRANSIENT = (
 )
 
 
-def error_class(message: Column) -> Column:
-    """``transient`` for errors worth another try, ``unknown`` without a message, else ``permanent``."""
-    return (
-        F.when(message.isNull(), "unknown").when(F.lower(message).rlike("|".join(TRANSIENT)), "transient").otherwise("permanent")
-    )
+def error_class(message: Column, name: Column | None = None) -> Column:
+    """``transient`` for errors worth another try (by message, or an aborted one by its name), ``unknown``
+    without a message, else ``permanent``."""
+    again = F.lower(message).rlike("|".join(TRANSIENT))
+    if name is not None:
+        again = again | (F.lower(name) == "aborterror")
+    return F.when(F.coalesce(again, F.lit(False)), "transient").when(message.isNull(), "unknown").otherwise("permanent")

@@ -29,7 +29,7 @@ SCHEMAS = {
     "domain": "id string, name string, settings string",
     "meta": "id string, value string",
     "event": "id string, name string, memory_id string, domain string, at bigint",
-    "failure": "batch_key string, error string, at bigint",
+    "failure": "batch_key string, stage string, domain string, ids array<string>, name string, error string, at bigint",
     "edges": "edge_type string, id string, in_id string, out_id string, attributes string, owned_at bigint, strength double, "
     "detected_at bigint, relationship string, relevance double, domain string",
     "claim": "id string, text string, embedding array<float>, tokens array<string>, valid_from bigint, valid_to bigint, supersedes string",

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text, vector
+from memlake.plans.ranking import ranked
 
 DUPLICATE, REINFORCE = 0.95, 0.85
 BATCH_ROWS = 10_000
+BATCH, STRETCH = 50, 1000
 
 
 def nearest(batch: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -60,11 +64,14 @@ def queue(tagged: DataFrame, tag: str = "tag:inbox", in_flight_prefix: str = "ta
     return waiting.join(busy, "id", "left_anti")
 
 
-def similarity_batch(rows: DataFrame, threshold: float = 0.0, size: int = 50) -> DataFrame:
+def _with_context(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("context_key", F.coalesce(F.col("request_context"), F.lit("")) if "request_context" in rows.columns else F.lit(""))
+
+
+def similarity_batch(rows: DataFrame, threshold: float = 0.0, size: int = BATCH) -> DataFrame:
     """The oldest row, then those of its context by cosine to it (at ``threshold`` or more, if set),
     filled up with rows that have no vector; at most ``size``."""
-    key = F.coalesce(F.col("request_context"), F.lit("")) if "request_context" in rows.columns else F.lit("")
-    rows = rows.withColumn("context_key", key)
+    rows = _with_context(rows)
     seed = rows.orderBy("created_at", "id").limit(1).select(F.col("id").alias("seed"), F.col("embedding").alias("seed_vector"), F.col("context_key").alias("seed_key"))
     near = rows.crossJoin(F.broadcast(seed)).where("context_key = seed_key")
     near = near.withColumn("sim", F.when(F.col("id") == F.col("seed"), F.lit(2.0)).otherwise(F.round(vector.cosine(F.col("embedding"), F.col("seed_vector")), 6)))
@@ -73,6 +80,54 @@ def similarity_batch(rows: DataFrame, threshold: float = 0.0, size: int = 50) ->
     return near.orderBy(F.col("sim").desc_nulls_last(), "created_at", "id").limit(size).select("id", "sim")
 
 
+def _deal(pdf: pd.DataFrame, threshold: float, size: int) -> pd.DataFrame:
+    """Batches of one window of a queue, oldest seed first."""
+    pdf = pdf.sort_values(["created_at", "id"], kind="stable").reset_index(drop=True)
+    vectors = [None if v is None else np.asarray(v, float) for v in pdf["embedding"]]
+    length = np.array([-1 if v is None else len(v) for v in vectors])
+    norm = np.array([0.0 if v is None else float(np.sqrt(v @ v)) for v in vectors])
+    left, batch, place = np.arange(len(pdf)), np.zeros(len(pdf), int), np.zeros(len(pdf), int)
+    number = 0
+    while len(left):
+        seed, others = left[0], left[1:]
+        if vectors[seed] is None:
+            some = left[:size]
+        else:
+            alike = others[length[others] == length[seed]]
+            sims = np.zeros(0)
+            if len(alike):
+                scale = norm[alike] * norm[seed]
+                dots = np.stack([vectors[i] for i in alike]) @ vectors[seed]
+                sims = np.round(np.where(scale > 0, dots / np.where(scale > 0, scale, 1), 0.0), 6)
+            if threshold > 0:
+                alike, sims = alike[sims >= threshold], sims[sims >= threshold]
+            near = alike[np.argsort(-sims, kind="stable")][: size - 1]
+            fill = others[length[others] != length[seed]][: size - 1 - len(near)]
+            some = np.concatenate([[seed], near, fill])
+        batch[some], place[some] = number, np.arange(len(some))
+        left = left[~np.isin(left, some)]
+        number += 1
+    return pd.DataFrame({"id": pdf["id"], "context_key": pdf["context_key"], "stretch": pdf["stretch"], "batch": batch, "place": place})
+
+
+def assign_batches(rows: DataFrame, threshold: float = 0.0, size: int = BATCH, stretch: int = STRETCH) -> DataFrame:
+    """(id, context_key, stretch, batch, place): the whole queue (id, created_at, embedding, request_context) in batches.
+
+    As if :func:`similarity_batch` were taken again and again: each batch is the oldest row that is left and,
+    of its context, those most like it (at ``threshold`` or more, if set), filled up with rows that cannot be
+    compared; a seed without a vector takes the next rows by age.  At most ``size`` rows each.
+
+    A context's queue is dealt in stretches of ``stretch`` rows by age, and likeness is sought within a
+    stretch, so no task holds a whole queue and what has been dealt does not change when rows arrive later.
+    """
+    wanted = _with_context(rows).select("id", "created_at", "context_key", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    aged = ranked(wanted, ["context_key"], ["created_at", "id"]).withColumn("stretch", F.expr(f"rank div {stretch}"))
+    kind = dict(rows.dtypes)["id"]
+    return aged.drop("rank").groupBy("context_key", "stretch").applyInPandas(
+        lambda pdf: _deal(pdf, threshold, size), f"id {kind}, context_key string, stretch bigint, batch int, place int"
+    )
+
+
 def orphans(ids: DataFrame, owned: DataFrame, tagged: DataFrame, claim_prefix: str = "tag:inbox:assert-claim:", failed_prefix: str = "tag:inbox:failed") -> DataFrame:
     """(id, owners, claims, failures) of ids with no owner, no open claim and no failure."""
     owners = owned.groupBy(F.col("in_id").alias("id")).agg(F.count(F.lit(1)).alias("owners"))
@@ -88,13 +143,13 @@ def batch_key(stage, domain, ids, context):
     return text.short_key(F.concat_ws("|", stage, domain, F.array_join(F.array_sort(ids), ","), F.coalesce(context, F.lit(""))), 16)
 
 
-def failure_ledger(failures: DataFrame, retries: int = 2) -> DataFrame:
-    """(batch_key, attempts, state): a transient error may be tried ``retries`` times, others are quarantined."""
-    kind = text.error_class(F.col("error"))
+def failure_ledger(failures: DataFrame, most: int = 2) -> DataFrame:
+    """(batch_key, attempts, state): a transient error is tried ``most`` times in all, others are quarantined."""
+    kind = text.error_class(F.col("error"), F.col("name") if "name" in failures.columns else None)
     rows = failures.groupBy("batch_key").agg(
         F.count(F.lit(1)).alias("attempts"), F.max_by(kind, F.struct("at", "error")).alias("kind")
     )
-    return rows.withColumn("state", F.when((F.col("kind") == "transient") & (F.col("attempts") <= retries), "retry").otherwise("quarantine"))
+    return rows.withColumn("state", F.when((F.col("kind") == "transient") & (F.col("attempts") < most), "retry").otherwise("quarantine"))
 
 
 def supersede(claims: DataFrame) -> DataFrame:

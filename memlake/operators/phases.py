@@ -3,6 +3,9 @@
 A tag says what an entry waits for.  Each phase reads the tags, calls the hooks of the domains (a few, on
 the driver; the work of a hook is a DataFrame) and returns the tags as they are afterwards.  A hook that
 raises leaves its batch waiting, or moves it to a failed tag once its attempts are used up.
+
+A hook is given one batch at a time (``ingest.assign_batches``).  A batch that failed stays as it is, with its
+members written beside the error, so its attempts are counted whatever arrives later, and other batches go on.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.operators import ingest
@@ -19,20 +22,24 @@ from memlake.plans.scratch import cut
 # The tags of the queue.
 ROOT = "tag:inbox"
 CLAIM, FAILED, FAILED_CLAIM = "tag:inbox:assert-claim:", "tag:inbox:failed:", "tag:inbox:failed-assert-claim:"
-EDGE, FAILURE, EVENT = "in_id string, out_id string", "batch_key string, error string, at bigint", "name string, memory_id string, domain string, at bigint"
+EDGE, EVENT = "in_id string, out_id string", "name string, memory_id string, domain string, at bigint"
+FAILURE = "batch_key string, stage string, domain string, ids array<string>, name string, error string, at bigint"
+MOST_BATCHES = 1000
 
 Hook = Callable[[DataFrame], DataFrame | None]
 
 
 @dataclass
 class Phase:
-    """What a phase leaves: owner edges to add, all tag edges, failures so far, events, and the hooks' rows."""
+    """What a phase leaves: owner edges to add, all tags of the queue, failures of open batches, events, the
+    hooks' rows, and entries (id) that nobody wanted."""
 
     owners: DataFrame
     tags: DataFrame
     failures: DataFrame
     events: DataFrame
     outputs: dict[str, DataFrame] = field(default_factory=dict)
+    unclaimed: DataFrame | None = None
 
 
 def address(entries: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,77 +59,143 @@ def address(entries: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFram
     return edge(owned, "domain:"), tags.unionByName(tags.select("in_id", F.lit(ROOT).alias("out_id")).distinct())
 
 
-def _key(spark: SparkSession, stage: str, domain: str, entries: DataFrame) -> str:
-    """One key for a set of entries, whatever their number and order."""
-    row = entries.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x")).collect()[0]
-    return f"{stage}|{domain}|{row['n']}|{row['x'] or 0}"
-
+def _batches(entries: DataFrame, failures: DataFrame, stage: str, domain: str, threshold: float, size: int, most: int) -> DataFrame:
+    """(id, batch_key, context_key) of the first ``most`` batches of a domain's waiting entries, failed ones first."""
+    mine = failures.where((F.col("stage") == stage) & (F.col("domain") == domain))
+    kept = mine.select("batch_key", F.explode("ids").alias("id")).groupBy("id").agg(F.min("batch_key").alias("batch_key"))
+    # the marks of a batch that failed before stay, so its attempts can be counted
+    known = entries.select("id", *(c for c in ("created_at", "embedding", "request_context") if c in entries.columns)).join(F.broadcast(kept), "id", "left")
+    fresh = known.where("batch_key is null").drop("batch_key")
+    for name, kind in (("created_at", "bigint"), ("embedding", "array<double>")):
+        if name not in fresh.columns:
+            fresh = fresh.withColumn(name, F.lit(None).cast(kind))
+    dealt = ingest.assign_batches(fresh, threshold, size)
+    keys = dealt.groupBy("context_key", "stretch", "batch").agg(F.collect_list("id").alias("ids"))
+    keyed = keys.select(F.explode("ids").alias("id"), ingest.batch_key(F.lit(stage), F.lit(domain), F.col("ids"), F.col("context_key")).alias("batch_key"), "stretch", "batch", "context_key")
+    again = known.where("batch_key is not null").select("id", "batch_key", F.lit(-1).cast("bigint").alias("stretch"), F.lit(0).alias("batch"), F.lit("").alias("context_key"))
+    every = cut(again.unionByName(keyed), "batches")
+    first = every.select("batch_key", "stretch", "batch", "context_key").distinct().orderBy("stretch", "batch", "context_key", "batch_key").limit(most)
+    return every.join(F.broadcast(first.select("batch_key")), "batch_key", "left_semi").select("id", "batch_key")
+
+
+def _run(hook: Hook, batches: dict[str, DataFrame], label: str) -> tuple[DataFrame | None, dict[str, Exception]]:
+    """(rows of all batches that went well, errors by batch).
+
+    What the hook returns for its batches is computed in one job; only if that fails is each batch
+    computed alone, which shows whose error it is.
+    """
+    plans, errors = {}, {}
+    for key, rows in batches.items():
+        try:
+            plans[key] = hook(rows)
+        except Exception as problem:  # a hook's failure is a row of the ledger
+            errors[key] = problem
+    plans = {k: p for k, p in plans.items() if p is not None}
+
+    def joined(parts: list[DataFrame]) -> DataFrame | None:
+        out = None
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
+        return out
 
-def _run(spark, stage, domain, entries, hook, failures, retries, now_ms):
-    """(rows of the hook or None, failures, whether it failed for good or None)."""
     try:
-        out = hook(entries)
-        return (None if out is None else cut(out, f"{stage}-{domain}")), failures, None
-    except Exception as problem:  # a hook's failure is a row of the ledger
-        key = _key(spark, stage, domain, entries)
-        failures = cut(failures.unionByName(spark.createDataFrame([(key, f"{type(problem).__name__}: {problem}", now_ms)], FAILURE)), "failures")
-        state = ingest.failure_ledger(failures.where(F.col("batch_key") == key), retries).collect()[0]["state"]
-        return None, failures, state == "quarantine"
-
-
-def _moved(tags: DataFrame, entries: DataFrame, old: str, new: str | None) -> DataFrame:
-    """``tags`` with the tag ``old`` of the entries replaced by ``new``, or dropped."""
-    gone = entries.select(F.col("id").alias("in_id"), F.lit(old).alias("out_id"))
-    rest = tags.join(gone, ["in_id", "out_id"], "left_anti").select("in_id", "out_id")
-    return rest if new is None else rest.unionByName(gone.select("in_id", F.lit(new).alias("out_id")))
-
-
-def _phase(memory, tags, hooks: Mapping[str, Hook], failures, retries, now_ms, stage, waiting_tag, failed_tag, succeed) -> Phase:
+        whole = joined(list(plans.values()))
+        return (None if whole is None else cut(whole, label)), errors
+    except Exception:
+        done = {}
+        for key, plan in plans.items():
+            try:
+                done[key] = cut(plan, label)
+            except Exception as problem:
+                errors[key] = problem
+        return joined(list(done.values())), errors
+
+
+def _phase(memory, tags, hooks: Mapping[str, Hook], failures, most, now_ms, stage, waiting_tag, failed_tag, succeed, threshold, size, batches) -> Phase:
     spark = memory.sparkSession
     failures = spark.createDataFrame([], FAILURE) if failures is None else failures
-    state = Phase(spark.createDataFrame([], EDGE), tags.select("in_id", "out_id"), failures, spark.createDataFrame([], EVENT))
+    queue = cut(tags.select("in_id", "out_id").where((F.col("out_id") == ROOT) | F.col("out_id").startswith(f"{ROOT}:")), "queue")
+    state = Phase(spark.createDataFrame([], EDGE), queue, failures, spark.createDataFrame([], EVENT))
+    moved = []
     for domain, hook in hooks.items():
-        waiting = state.tags.where(F.col("out_id") == waiting_tag + domain).select(F.col("in_id").alias("id"))
+        waiting = queue.where(F.col("out_id") == waiting_tag + domain).select(F.col("in_id").alias("id")).distinct()
         entries = cut(memory.join(waiting, "id", "left_semi"), "entries")
         if entries.isEmpty():
             continue
-        out, state.failures, lost = _run(spark, stage, domain, entries, hook, state.failures, retries, now_ms)
-        if lost is None:
-            state.tags = cut(_moved(state.tags, entries, waiting_tag + domain, None), "tags")
-            succeed(state, domain, entries, out)
-        elif lost:
-            state.tags = cut(_moved(state.tags, entries, waiting_tag + domain, failed_tag + domain), "tags")
+        members = cut(_batches(entries, state.failures, stage, domain, threshold, size, batches), "members")
+        mine = cut(entries.join(members, "id"), "entries")
+        keys = [r[0] for r in members.select("batch_key").distinct().orderBy("batch_key").collect()]
+        out, errors = _run(hook, {k: mine.where(F.col("batch_key") == k).drop("batch_key") for k in keys}, f"{stage}-{domain}")
+        if errors:
+            said = spark.createDataFrame([(k, type(e).__name__, str(e) or None, now_ms) for k, e in errors.items()], "batch_key string, name string, error string, at bigint")
+            listed = members.groupBy("batch_key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+            new = listed.join(F.broadcast(said), "batch_key").select("batch_key", F.lit(stage).alias("stage"), F.lit(domain).alias("domain"), "ids", "name", "error", "at")
+            state.failures = cut(state.failures.unionByName(new), "failures")
+        ledger = ingest.failure_ledger(state.failures.join(members, "batch_key", "left_semi"), most)
+        held = F.broadcast(cut(ledger.where(F.col("batch_key").isin(list(errors))).select("batch_key", "state"), "ledger"))
+        marked = cut(members.join(held, "batch_key", "left"), "marked")
+        done, lost = marked.where("state is null").select("id"), marked.where("state = 'quarantine'").select("id")
+        # batches that are through or given up are no longer open
+        state.failures = cut(state.failures.join(marked.where("coalesce(state, '') <> 'retry'").select("batch_key").distinct(), "batch_key", "left_anti").select(*state.failures.columns), "failures")
+        moved.append(done.select(F.col("id").alias("in_id"), F.lit(waiting_tag + domain).alias("out_id"), F.lit(None).cast("string").alias("new_id")))
+        moved.append(lost.select(F.col("id").alias("in_id"), F.lit(waiting_tag + domain).alias("out_id"), F.lit(failed_tag + domain).alias("new_id")))
+        succeed(state, domain, done, out)
+    if moved:
+        every = moved[0]
+        for part in moved[1:]:
+            every = every.unionByName(part)
+        every = cut(every, "moved")
+        rest = queue.join(every, ["in_id", "out_id"], "left_anti").select("in_id", "out_id")
+        fresh = every.where("new_id is not null").select("in_id", F.col("new_id").alias("out_id"))
+        state.tags = cut(rest.unionByName(fresh).unionByName(state.tags.join(queue, ["in_id", "out_id"], "left_anti")).distinct(), "tags")
     return state
 
 
-def claim_phase(memory: DataFrame, tags: DataFrame, hooks: Mapping[str, Hook], failures: DataFrame | None = None, retries: int = 2, now_ms: int = 0) -> Phase:
+def claim_phase(
+    memory: DataFrame, tags: DataFrame, hooks: Mapping[str, Hook], failures: DataFrame | None = None, most: int = 2, now_ms: int = 0,
+    owned: DataFrame | None = None, threshold: float = 0.0, size: int = ingest.BATCH, batches: int = MOST_BATCHES,
+) -> Phase:
     """Each domain's hook picks, of the entries offered to it, those (id) that it claims: they get its owner
-    edge and its inbox tag; the offer is over for all.  Ids that were not offered are ignored."""
+    edge and its inbox tag; the offer is over for all.  Ids that were not offered are ignored.
 
-    def succeed(state: Phase, domain: str, entries: DataFrame, out: DataFrame | None) -> None:
+    With ``owned`` (in_id), ``unclaimed`` has the entries whose last offer is over and that nobody owns, nor may
+    yet claim, nor failed to claim: they are to be deleted, and have no tags any more.
+    """
+    offered = tags.where(F.col("out_id").startswith(CLAIM)).select(F.col("in_id").alias("id")).distinct()
+
+    def succeed(state: Phase, domain: str, done: DataFrame, out: DataFrame | None) -> None:
         if out is None:
             return
-        mine = entries.select("id").join(out.select("id").distinct(), "id", "left_semi")
+        mine = cut(done.join(out.select("id").distinct(), "id", "left_semi"), "claimed")
         edge = lambda end: mine.select(F.col("id").alias("in_id"), F.lit(end).alias("out_id"))
         state.owners = state.owners.unionByName(edge(f"domain:{domain}"))
-        state.tags = state.tags.unionByName(edge(f"{ROOT}:{domain}")).distinct()
+        state.tags = state.tags.unionByName(edge(f"{ROOT}:{domain}"))
         state.events = state.events.unionByName(mine.select(F.lit("inboxClaimAsserted").alias("name"), F.col("id").alias("memory_id"), F.lit(domain).alias("domain"), F.lit(now_ms).cast("bigint").alias("at")))
 
-    return _phase(memory, tags, hooks, failures, retries, now_ms, "assert", CLAIM, FAILED_CLAIM, succeed)
+    state = _phase(memory, tags, hooks, failures, most, now_ms, "assert", CLAIM, FAILED_CLAIM, succeed, threshold, size, batches)
+    if owned is not None:
+        held = owned.select("in_id").unionByName(state.owners.select("in_id"))
+        state.unclaimed = cut(ingest.orphans(offered, held, state.tags, CLAIM, FAILED_CLAIM).select("id"), "unclaimed")
+        state.tags = cut(state.tags.join(state.unclaimed.select(F.col("id").alias("in_id")), "in_id", "left_anti").select("in_id", "out_id"), "tags")
+        state.events = state.events.unionByName(state.unclaimed.select(F.lit("deleted").alias("name"), F.col("id").alias("memory_id"), F.lit(None).cast("string").alias("domain"), F.lit(now_ms).cast("bigint").alias("at")))
+    return state
 
 
-def process_phase(memory: DataFrame, tags: DataFrame, hooks: Mapping[str, Hook], failures: DataFrame | None = None, retries: int = 2, now_ms: int = 0) -> Phase:
-    """Each domain's handler takes the entries that wait for it; then they wait no more.
+def process_phase(
+    memory: DataFrame, tags: DataFrame, hooks: Mapping[str, Hook], failures: DataFrame | None = None, most: int = 2, now_ms: int = 0,
+    threshold: float = 0.0, size: int = ingest.BATCH, batches: int = MOST_BATCHES,
+) -> Phase:
+    """Each domain's handler takes the entries that wait for it, batch by batch; then they wait no more.
 
     An entry that waits for nothing any more loses the root tag, also if what it waited for has failed.
     """
 
-    def succeed(state: Phase, domain: str, entries: DataFrame, out: DataFrame | None) -> None:
+    def succeed(state: Phase, domain: str, done: DataFrame, out: DataFrame | None) -> None:
         if out is not None:
             state.outputs[domain] = out
-        state.events = state.events.unionByName(entries.select(F.lit("inboxDomainProcessed").alias("name"), F.col("id").alias("memory_id"), F.lit(domain).alias("domain"), F.lit(now_ms).cast("bigint").alias("at")))
+        state.events = state.events.unionByName(done.select(F.lit("inboxDomainProcessed").alias("name"), F.col("id").alias("memory_id"), F.lit(domain).alias("domain"), F.lit(now_ms).cast("bigint").alias("at")))
 
-    state = _phase(memory, tags, hooks, failures, retries, now_ms, "process", f"{ROOT}:", FAILED, succeed)
+    state = _phase(memory, tags, hooks, failures, most, now_ms, "process", f"{ROOT}:", FAILED, succeed, threshold, size, batches)
     failed = F.col("out_id").startswith(f"{ROOT}:failed")
     active = state.tags.where(F.col("out_id").startswith(f"{ROOT}:") & ~failed).select("in_id").distinct()
     root = F.col("out_id") == ROOT

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake import projection as P
-from memlake.operators import contexts, enrich, evaluate, filters, jobs, phases, search, sequence
+from memlake.operators import contexts, enrich, evaluate, filters, ingest, jobs, phases, search, sequence
+from memlake.plans.scratch import cut
 from memlake.queries import query
 from memlake.queries.search_queries import COS, KEYWORDS, TEXT, corpus, probe, text_sql, vector_sql
 
@@ -133,7 +134,7 @@ _DOMAINS = [("log", "write", True, False), ("kb", "write", False, True), ("chat"
 
 def _inbox(spark, sf_dir):
     """Documents addressed to nobody (every ninth to the log by name), and the tags after the claims."""
-    memory = P.table(spark, sf_dir, "documents").select(F.concat(F.lit("memory:"), F.col("doc_id").cast("string")).alias("id"), "doc_id", "lang", "source")
+    memory = cut(P.memories(spark, sf_dir).select("id", "doc_id", "lang", "source", "created_at", "embedding"), "inbox")
     targets = F.when(F.col("doc_id") % 9 == 0, F.array(F.lit("log"), F.lit("old"))).otherwise(F.array().cast("array<string>"))
     owners, tags = phases.address(memory.select("id", targets.alias("targets")), spark.createDataFrame(_DOMAINS, "domain string, access string, auto_own boolean, claims boolean"))
     hooks = {"kb": lambda r: r.where("lang = 'en'").select("id"), "chat": lambda r: r.where("source = 'src1'").select("id"), "faq": lambda r: r.where("source = 'src2'").select("id")}
@@ -152,13 +153,38 @@ def inbox_address_claim(spark, sf_dir):
     return owners.unionByName(claimed.owners).unionByName(claimed.tags)
 
 
-@query(f"""WITH {_CLAIMED} SELECT id AS in_id, 'tag:inbox:' || CASE domain WHEN 'faq' THEN 'failed:faq' ELSE 'chat' END AS out_id FROM claimed WHERE domain IN ('chat', 'faq')
-    UNION ALL SELECT id, 'tag:inbox' FROM claimed WHERE domain = 'chat'""")
+def _batches_sql(source: str, threshold: float, size: int = 50, stretch: int = 1000) -> str:
+    """(id, context_key, stretch, batch, place) as ``dealt``: batch after batch out of what is left of ``source``
+    (id, created_at, embedding, context_key)."""
+    sim = f"CASE WHEN embedding IS NOT NULL AND seed IS NOT NULL THEN {COS.format('embedding', 'seed')} END"
+    return f"""aged AS (SELECT *, (row_number() OVER (PARTITION BY context_key ORDER BY created_at, id) - 1) // {stretch} AS stretch FROM ({source})),
+    left_(id, created_at, embedding, context_key, stretch, batch, place) AS (SELECT id, created_at, embedding, context_key, stretch, -1, CAST(NULL AS BIGINT) FROM aged
+      UNION ALL SELECT id, created_at, embedding, context_key, stretch, batch + 1, CASE WHEN fits AND nth <= {size} THEN nth - 1 END FROM (
+        SELECT *, row_number() OVER (PARTITION BY context_key, stretch ORDER BY NOT fits, age > 1, CASE WHEN seed IS NULL THEN 0 ELSE sim END DESC NULLS LAST, age) AS nth FROM (
+          SELECT *, age = 1 OR sim IS NULL OR {f"sim >= {threshold}" if threshold > 0 else "true"} AS fits FROM (
+            SELECT *, {sim} AS sim FROM (
+              SELECT *, first_value(embedding) OVER (PARTITION BY context_key, stretch ORDER BY created_at, id) AS seed,
+                row_number() OVER (PARTITION BY context_key, stretch ORDER BY created_at, id) AS age FROM left_ WHERE place IS NULL))))),
+    dealt AS (SELECT id, context_key, stretch, batch, CAST(place AS INTEGER) AS place FROM left_ WHERE place IS NOT NULL)"""
+
+
+@query(f"""{P.views('memory')}, {_batches_sql("SELECT id, created_at, embedding, coalesce(source, '') AS context_key FROM memory", 0.1)} SELECT * FROM dealt""")
+def inbox_batches(spark, sf_dir):
+    """The whole queue in batches, with a document's source as the context of its request."""
+    return ingest.assign_batches(P.memories(spark, sf_dir).withColumn("request_context", F.col("source")), 0.1)
+
+
+@query(f"""{P.views('memory')}, {_CLAIMED},
+    {_batches_sql("SELECT m.id, created_at, embedding, '' AS context_key FROM memory m JOIN claimed c ON c.id = m.id AND c.domain = 'faq'", 0.0)},
+    bad AS (SELECT DISTINCT stretch, batch FROM dealt WHERE CAST(substr(id, 8) AS BIGINT) % 97 = 5)
+    SELECT id AS in_id, 'tag:inbox:failed:faq' AS out_id FROM dealt SEMI JOIN bad ON bad.stretch = dealt.stretch AND bad.batch = dealt.batch
+    UNION ALL SELECT id, 'tag:inbox:chat' FROM claimed WHERE domain = 'chat' UNION ALL SELECT id, 'tag:inbox' FROM claimed WHERE domain = 'chat'""")
 def inbox_process_phase(spark, sf_dir):
-    """Tags after processing: one domain's handler fails for good, another domain has none yet."""
+    """Tags after processing: a handler fails for batches that hold a bad entry, another domain has none yet."""
 
     def fail(rows):
-        raise ValueError("bad input")
+        if not rows.where("doc_id % 97 = 5").isEmpty():
+            raise ValueError("bad input")
 
     memory, _, claimed = _inbox(spark, sf_dir)
     return phases.process_phase(memory, claimed.tags, {"log": lambda r: r, "kb": lambda r: None, "faq": fail}).tags

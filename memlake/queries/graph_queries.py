@@ -309,7 +309,7 @@ def similarity_batch(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT CAST(user_id AS VARCHAR) AS batch_key, CASE WHEN value > 20 THEN 'Timeout' ELSE 'bad input' END AS error, event_id AS n FROM events WHERE event_type = 'error')
-    SELECT batch_key, count(*) AS attempts, CASE WHEN arg_max(error, n) = 'Timeout' AND count(*) <= 15 THEN 'retry' ELSE 'quarantine' END AS state FROM f GROUP BY batch_key""")
+    SELECT batch_key, count(*) AS attempts, CASE WHEN arg_max(error, n) = 'Timeout' AND count(*) < 15 THEN 'retry' ELSE 'quarantine' END AS state FROM f GROUP BY batch_key""")
 def failure_ledger(spark, sf_dir):
     errors = P.table(spark, sf_dir, "events").where("event_type = 'error'").select(
         F.col("user_id").cast("string").alias("batch_key"), F.when(F.col("value") > 20, "Timeout").otherwise("bad input").alias("error"), F.col("event_id").alias("at")

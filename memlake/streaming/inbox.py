@@ -74,8 +74,8 @@ def stored(spark: SparkSession, target: str, before: int | None = None) -> DataF
     return rows.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
-def attempt_ledger(failures: DataFrame, retries: int = 2) -> DataFrame:
-    """(batch_key, attempts, state) kept by batch key across micro-batches of (batch_key, error)."""
+def attempt_ledger(failures: DataFrame, most: int = 2) -> DataFrame:
+    """(batch_key, attempts, state) kept by batch key across micro-batches of (batch_key, error); ``most`` tries in all."""
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (seen,) = state.get if state.exists else (0,)
@@ -85,7 +85,7 @@ def attempt_ledger(failures: DataFrame, retries: int = 2) -> DataFrame:
             if len(frame):
                 last = str(frame["kind"].iloc[-1])
         state.update((seen,))
-        again = last == "transient" and seen <= retries
+        again = last == "transient" and seen < most
         yield pd.DataFrame({"batch_key": [key[0]], "attempts": [seen], "state": ["retry" if again else "quarantine"]})
 
     return failures.select("batch_key", text.error_class(F.col("error")).alias("kind")).groupBy("batch_key").applyInPandasWithState(

@@ -28,17 +28,123 @@ def test_inbox_through_the_engine(spark, tmp_path):
     assert engine.process_inbox(now_ms=8) == {}
 
 
-def test_failing_handler_is_tried_again_and_then_put_aside(spark):
-    memory = spark.createDataFrame([("m:1",), ("m:2",)], "id string")
-    tags = spark.createDataFrame([(f"m:{i}", t) for i in (1, 2) for t in ("tag:inbox", "tag:inbox:kb")], "in_id string, out_id string")
+def _waiting(spark, n, domain="kb", start=0):
+    memory = [(f"m:{i:03d}", i, None) for i in range(start, start + n)]
+    tags = [(m, t) for m, _, _ in memory for t in ("tag:inbox", f"tag:inbox:{domain}")]
+    return spark.createDataFrame(memory, "id string, created_at bigint, embedding array<double>"), spark.createDataFrame(tags, "in_id string, out_id string")
+
+
+def test_failing_handler_is_tried_twice_and_then_put_aside(spark):
+    memory, tags = _waiting(spark, 2)
 
     def slow(rows):
         raise TimeoutError("timeout")
 
-    state = phases.process_phase(memory, tags, {"kb": slow}, retries=1)
+    state = phases.process_phase(memory, tags, {"kb": slow})
     assert state.tags.count() == 4 and state.failures.count() == 1
-    state = phases.process_phase(memory, state.tags, {"kb": slow}, state.failures, retries=1)
-    assert {r.out_id for r in state.tags.collect()} == {"tag:inbox:failed:kb"} and state.failures.count() == 2
+    state = phases.process_phase(memory, state.tags, {"kb": slow}, state.failures)
+    assert {r.out_id for r in state.tags.collect()} == {"tag:inbox:failed:kb"} and state.failures.count() == 0
+
+
+def test_one_bad_entry_moves_its_batch_alone(spark):
+    memory, tags = _waiting(spark, 12)
+    asked = []
+
+    def hook(rows):
+        got = sorted(r.id for r in rows.collect())
+        asked.append(got)
+        if "m:005" in got:
+            raise ValueError("bad input")
+        # an error that only shows when the rows are computed stays with its batch as well
+        return rows.select("id", F.when(F.col("id") == "m:009", F.raise_error(F.lit("late"))).otherwise(F.lit("ok")).alias("said"))
+
+    state = phases.process_phase(memory, tags, {"kb": hook}, size=3)
+    assert sorted(asked) == [[f"m:{i:03d}" for i in range(k, k + 3)] for k in (0, 3, 6, 9)]
+    assert {(r.in_id, r.out_id) for r in state.tags.collect()} == {(f"m:{i:03d}", "tag:inbox:failed:kb") for i in (3, 4, 5, 9, 10, 11)}
+    assert {r.id for r in state.outputs["kb"].collect()} == {f"m:{i:03d}" for i in (0, 1, 2, 6, 7, 8)}
+
+
+def test_attempts_survive_arrivals(spark):
+    def slow(rows):
+        if rows.where("id = 'm:001'").count():
+            raise ConnectionError("connection reset")
+
+    memory, tags = _waiting(spark, 3)
+    state = phases.process_phase(memory, tags, {"kb": slow}, size=4)
+    assert [sorted(r.ids) for r in state.failures.collect()] == [["m:000", "m:001", "m:002"]]
+    more, fresh = _waiting(spark, 4, start=10)
+    memory = memory.unionByName(more)
+    state = phases.process_phase(memory, state.tags.unionByName(fresh), {"kb": slow}, state.failures, size=4)
+    # the old batch is tried as it was, and given up; the new entries are through
+    assert {(r.in_id, r.out_id) for r in state.tags.collect()} == {(f"m:00{i}", "tag:inbox:failed:kb") for i in range(3)}
+
+
+def test_batches_are_limited_and_the_rest_waits(spark):
+    memory, tags = _waiting(spark, 10)
+    state = phases.process_phase(memory, tags, {"kb": lambda r: None}, size=3, batches=2)
+    assert sorted(r.in_id for r in state.tags.where("out_id = 'tag:inbox:kb'").collect()) == [f"m:{i:03d}" for i in range(6, 10)]
+
+
+def test_entries_that_nobody_wants_are_deleted(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.register(Domain("kb", claim=lambda rows, e: rows.where("content like 'fact%'").select("id"), handler=lambda rows, e: None))
+    a, b = engine.submit(["fact one", "chatter"], now_ms=5)
+    engine.relate(a, "reinforces", "memory:other")
+    engine.process_inbox(now_ms=7)
+    assert {r.id for r in engine.store.read("memory").collect()} == {a}
+    assert {r.in_id for r in engine.store.read("edges").collect()} == {a} and _edges(engine, "reinforces")
+    assert [r.memory_id for r in engine.events("deleted").collect()] == [b] and engine.events("inboxProcessed").count() == 1
+
+
+def brute_batches(rows, threshold, size, stretch):
+    import math
+
+    left, out = {}, []
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        left.setdefault(r[3] or "", []).append(r)
+    cosine = lambda x, y: round(sum(p * q for p, q in zip(x, y)) / (math.hypot(*x) * math.hypot(*y)), 6) if any(x) and any(y) else 0.0
+    for key, queue in left.items():
+        for number, lo in enumerate(range(0, len(queue), stretch)):
+            some, batch = queue[lo : lo + stretch], 0
+            while some:
+                seed, others = some[0], some[1:]
+                if seed[2] is None:
+                    took = some[:size]
+                else:
+                    alike = [(r, cosine(seed[2], r[2])) for r in others if r[2] and len(r[2]) == len(seed[2])]
+                    near = [r for r, s in sorted((x for x in alike if threshold <= 0 or x[1] >= threshold), key=lambda x: -x[1])][: size - 1]
+                    took = [seed, *near, *[r for r in others if not r[2] or len(r[2]) != len(seed[2])][: size - 1 - len(near)]]
+                out += [(r[0], key, number, batch, k) for k, r in enumerate(took)]
+                some, batch = [r for r in some if r not in took], batch + 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold, size, stretch", [(0.0, 4, 1000), (0.3, 5, 20), (0.9, 50, 7)])
+def test_the_whole_queue_in_batches(spark, threshold, size, stretch):
+    import random
+
+    from memlake.operators import ingest
+
+    rnd = random.Random(size)
+    vector = lambda: None if rnd.random() < 0.2 else [round(rnd.gauss(0, 1), 3) for _ in range(rnd.choice([3, 3, 3, 2]))]
+    rows = [(f"m:{i:03d}", rnd.randrange(40), vector(), rnd.choice(["a", "a", "a", "b", None])) for i in range(90)] + [("m:zero", 1, [0.0, 0.0, 0.0], "a")]
+    frame = spark.createDataFrame(rows, "id string, created_at bigint, embedding array<double>, request_context string").repartition(4)
+    found = ingest.assign_batches(frame, threshold, size, stretch).collect()
+    assert sorted(tuple(r) for r in found) == brute_batches(rows, threshold, size, stretch)
+    assert ingest.assign_batches(frame.limit(0), threshold, size, stretch).collect() == []
+
+
+def test_ranks_within_hot_groups(spark):
+    from memlake.plans.ranking import ranked
+
+    rows = spark.range(2000).selectExpr("if(id % 10 = 0, null, id % 3) as key", "(id * 7919) % 2003 as at", "id")
+    found = ranked(rows, ["key"], ["at", "id"]).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["key"], []).append((r["at"], r["id"], r["rank"]))
+    for own in groups.values():
+        assert [k for _, _, k in sorted(own)] == list(range(len(own)))
+    assert len(found) == 2000 and [r["rank"] for r in sorted(ranked(rows, [], ["id"]).collect(), key=lambda r: r["id"])] == list(range(2000))
 
 
 def test_an_entry_without_target_is_an_error(spark):
