@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from memlake.functions import scoring, vector
 from memlake.plans.scratch import cut
 
 BLOCK_ROWS = 8192
+CELL_ROWS, MOST_PIVOTS, RING = 256, 4096, 0.4
 
 
 def neighbours(edges: DataFrame, node: str, direction: str = "both") -> DataFrame:
@@ -77,88 +80,192 @@ def release(owned: DataFrame, tagged: DataFrame, memory: DataFrame, gone: DataFr
     )
 
 
-def lexical_edges(tokens: DataFrame, min_weight: float = 0.0, max_frequency: int | None = None) -> DataFrame:
-    """(a, b, shared, weight) of documents (id, tokens) with a common token.
-
-    Weight is the IDF mass of shared tokens over that of all tokens of both.  A token in more than
-    ``max_frequency`` documents makes no candidates (it still counts in weights); None keeps all.
-    """
+def token_weights(tokens: DataFrame) -> DataFrame:
+    """(id, token, df, idf) of documents (id, tokens), written down; each token of a document once."""
     total = tokens.agg(F.count(F.lit(1)).alias("n_docs"))
     each = tokens.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
     df = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weighted = cut(
+    return cut(
         each.join(df, "token").crossJoin(F.broadcast(total))
         .select("id", "token", "df", scoring.idf(F.col("n_docs"), F.col("df")).alias("idf")), "lexical"
     )
+
+
+def lexical_edges(tokens: DataFrame, min_weight: float = 0.0, max_frequency: int | None = None, fresh: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared, weight) of documents (id, tokens) with a common token and a weight of ``min_weight`` or more.
+
+    Weight is the IDF mass of shared tokens over that of all tokens of both.  A token in more than
+    ``max_frequency`` documents makes no candidates (it still counts in weights); None keeps all.  With
+    ``fresh(id)`` only edges that touch one of those documents are returned.
+
+    Two documents of weight t share a token among the rarest ones of each, those that come before less than
+    t of the document's mass is left; so only such tokens are joined, within neighbouring classes of mass.
+    What is common is bounded by what is left from that token on, and candidates are settled on all tokens.
+    """
+    weighted = token_weights(tokens)
+    if min_weight <= 0:
+        return _sharing_any(weighted, max_frequency, fresh)
+    t = min_weight - 1e-6  # weights are rounded
+    rest = Window.partitionBy("id").orderBy(F.col("idf").desc(), "token").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    placed = weighted.withColumn("rest", F.sum("idf").over(rest)).withColumn("mass", F.sum("idf").over(Window.partitionBy("id")))
+    probe = placed.where((F.col("rest") >= t * F.col("mass") * (1 - 1e-9)) & (F.lit(True) if max_frequency is None else F.col("df") <= max_frequency))
+    step = F.floor(F.log("mass") / float(-np.log(min(t, 0.999)))).cast("bigint")
+    probe = cut(probe.select("id", "token", "rest", "mass", step.alias("step")), "lexical-prefix")
+    # masses of linked documents differ by a factor of 1 / t at most
+    left = probe.select("token", "step", *(F.col(c).alias(f"{c}_a") for c in ("id", "rest", "mass")))
+    right = probe.select("token", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"), *(F.col(c).alias(f"{c}_b") for c in ("id", "rest", "mass")))
+    if fresh is not None:
+        new = fresh.select(F.col("id").alias("id_a"))
+        left = left.join(new, "id_a", "left_semi")
+    met = left.join(right, ["token", "step"]).where((F.col("id_a") != F.col("id_b")) if fresh is not None else (F.col("id_a") < F.col("id_b")))
+    met = met.where(F.least("rest_a", "rest_b") * (1 + t) >= t * (F.col("mass_a") + F.col("mass_b")) * (1 - 1e-9))
+    pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return weigh_pairs(pairs, weighted, min_weight)
+
+
+def weigh_pairs(pairs: DataFrame, weighted: DataFrame, min_weight: float) -> DataFrame:
+    """(a, b, shared, weight) of distinct ``pairs(a, b)`` over all tokens of both."""
+    own = cut(weighted.groupBy("id").agg(F.collect_list(F.struct("token", "idf")).alias("own"), F.sum("idf").alias("mass")), "lexical-own")
+    both = F.array_intersect("x.own", "y.own")
+    common = F.aggregate("both", F.lit(0.0), lambda s, e: s + e["idf"])
+    return (
+        cut(pairs, "lexical-pairs").join(own.alias("x"), F.col("a") == F.col("x.id")).join(own.alias("y"), F.col("b") == F.col("y.id"))
+        .select("a", "b", both.alias("both"), (F.col("x.mass") + F.col("y.mass")).alias("mass"))
+        .select("a", "b", F.size("both").cast("bigint").alias("shared"), F.round(common / (F.col("mass") - common), 6).alias("weight"))
+        .where((F.col("weight") >= min_weight) & (F.col("shared") > 0))
+    )
+
+
+def sharing_pairs(tokens: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(a, b) of documents (id, tokens) with a common token, one of them in ``fresh(id)``; each pair once."""
+    each = tokens.select(F.col("id").alias("y"), F.explode(F.array_distinct("tokens")).alias("token"))
+    new = each.select(F.col("y").alias("x"), "token").join(fresh.select(F.col("id").alias("x")), "x", "left_semi")
+    return new.join(each, "token").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _sharing_any(weighted: DataFrame, max_frequency: int | None, fresh: DataFrame | None) -> DataFrame:
+    """Edges of any weight: all pairs that share a token are asked for."""
     mass = weighted.groupBy("id").agg(F.sum("idf").alias("mass"))
     probe = weighted if max_frequency is None else weighted.where(F.col("df") <= max_frequency)
-    a, b = probe.select("token", F.col("id").alias("a"), "idf"), probe.select("token", F.col("id").alias("b"))
-    pairs = a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum("idf").alias("common"))
+    a, b = probe.select("token", F.col("id").alias("x"), "idf"), probe.select("token", F.col("id").alias("y"))
+    if fresh is not None:
+        a = a.join(fresh.select(F.col("id").alias("x")), "x", "left_semi")
+    met = a.join(b, "token").where("x <> y" if fresh is not None else "x < y").select("token", "idf", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = (met.distinct() if fresh is not None else met).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum("idf").alias("common"))
     return (
         pairs.join(mass.select(F.col("id").alias("a"), F.col("mass").alias("ma")), "a")
         .join(mass.select(F.col("id").alias("b"), F.col("mass").alias("mb")), "b")
-        .withColumn("weight", F.round(F.col("common") / (F.col("ma") + F.col("mb") - F.col("common")), 6))
-        .where(F.col("weight") >= min_weight).select("a", "b", "shared", "weight")
+        .select("a", "b", "shared", F.round(F.col("common") / (F.col("ma") + F.col("mb") - F.col("common")), 6).alias("weight"))
     )
 
 
-def semantic_edges(vectors: DataFrame, threshold: float = 0.65, pivots: int = 16) -> DataFrame:
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
+
+
+def semantic_edges(vectors: DataFrame, threshold: float = 0.65, fresh: DataFrame | None = None, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(a, b, weight) of vectors (id, embedding) with cosine >= ``threshold``, exactly.
 
-    Unit vectors with that cosine lie within a known distance, so each vector is compared in the cell
-    of its nearest pivot only, and copied to a further cell only if that cell's pivot is at most twice
-    that distance further away.  Pivots are a fixed few rows (least by a hash of id).  A low threshold
-    leaves little to prune; the rest is compared in pairs of blocks of about ``BLOCK_ROWS`` rows.
-    """
-    import numpy as np
-    import pandas as pd
+    Every vector lies in the cell of a pivot; pivots are rows (least by a hash of id), about one for each
+    ``cell_rows`` and at most ``MOST_PIVOTS``, and the nearest is a vector's own.  A cell's vectors lie in rings
+    of angles about its pivot.  By the triangle inequality a vector within the threshold's angle of a ring's
+    vector lies within that angle of the ring, so it is sent only to those rings of cells after its own; what
+    is sent follows how many cells really lie near, not the number of vectors.  A ring of more than
+    ``block_rows`` vectors is cut into blocks, so a task holds one block and streams what meets it.
 
+    With ``fresh(id)`` only edges that touch one of those vectors are returned.  Null and zero vectors have
+    no edges; vectors of unlike lengths do not meet.
+    """
+    spark = vectors.sparkSession
     rows = vectors.where("embedding is not null").select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    chosen = [np.array(r["v"]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
-    centres = vectors.sparkSession.sparkContext.broadcast(unit(np.stack(chosen)) if chosen else np.zeros((1, 1)))
-    reach = 2 * float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+    if fresh is not None:
+        rows = rows.join(fresh.select("id", F.lit(True).alias("new")).distinct(), "id", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+    else:
+        rows = rows.withColumn("new", F.lit(True))
+    kind = dict(rows.dtypes)["id"]
+    out = None
+    for width in sorted(r[0] for r in rows.select(F.size("v").alias("w")).distinct().collect()):
+        part = _edges_of_width(spark, rows.where(F.size("v") == width), threshold, kind, cell_rows, block_rows)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], f"a {kind}, b {kind}, weight double")
+
+
+def sent_rows(vectors: DataFrame, threshold: float, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> int:
+    """How many vectors :func:`semantic_edges` sends to other vectors' blocks, for vectors of one length."""
+    rows = vectors.select("id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.lit(True).alias("new"))
+    return _met_in_blocks(vectors.sparkSession, rows, threshold, dict(rows.dtypes)["id"], cell_rows, block_rows)[1].count()
+
+
+def _met_in_blocks(spark, rows: DataFrame, threshold: float, kind: str, cell_rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(members, sent): each vector in its own block, and in the blocks of others that it may be near to."""
+    wanted = min(MOST_PIVOTS, max(1, rows.count() // cell_rows))
+    chosen = np.stack([_unit(np.array(r["v"])) for r in rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()])
+    pivots = spark.sparkContext.broadcast(chosen)
+    theta = float(np.arccos(np.clip(threshold - 1e-6, -1, 1))) + 1e-7
 
     def place(batches):
+        for pdf in batches:
+            m = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 1))
+            some = np.linalg.norm(m, axis=1) > 0
+            pdf, m = pdf[some], _unit(m[some])
+            if len(pdf):
+                near = m @ pivots.value.T
+                cell = near.argmax(axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(m)), cell], -1, 1))
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "new": pdf["new"].to_numpy(), "cell": cell, "ring": (angle / RING).astype(np.int64), "v": list(m)})
+
+    homed = cut(rows.mapInPandas(place, f"id {kind}, new boolean, cell bigint, ring bigint, v array<double>"), "homed")
+    # a cell's rings with their sizes: at most MOST_PIVOTS times the rings of a half turn
+    rings = homed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("new")).orderBy("cell", "ring").toPandas()
+    table = spark.sparkContext.broadcast((rings["cell"].to_numpy(np.int64), rings["ring"].to_numpy(np.int64), np.maximum(1, -(-rings["n"].to_numpy(np.int64) // block_rows)), rings["new"].to_numpy(bool)))
+
+    def visit(batches):
+        cells, ring, blocks, has_new = table.value
+        low, high = ring * RING - theta, (ring + 1) * RING + theta
         for pdf in batches:
             if not len(pdf):
                 continue
             m = np.stack(pdf["v"].to_numpy())
-            length = np.linalg.norm(m, axis=1)
-            pdf, m = pdf[length > 0], unit(m[length > 0])
-            if not len(pdf):
-                continue
-            far = np.sqrt(np.maximum(0, 2 - 2 * m @ centres.value.T))
-            home = far.argmin(axis=1)
-            near = far <= far.min(axis=1)[:, None] + reach
-            row, cell = np.nonzero(near)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "cell": cell, "home": home[row] == cell, "v": list(m[row])})
+            home, mine, new = pdf["cell"].to_numpy(), pdf["ring"].to_numpy(), pdf["new"].to_numpy()
+            some = max(1, (1 << 20) // max(1, len(cells)))
+            for lo in range(0, len(m), some):
+                hi = min(lo + some, len(m))
+                angle = np.arccos(np.clip(m[lo:hi] @ pivots.value.T, -1, 1))[:, cells]
+                # towards later cells and, in one's own, later rings
+                after = (cells > home[lo:hi, None]) | ((cells == home[lo:hi, None]) & (ring >= mine[lo:hi, None]))
+                row, at = np.nonzero((angle >= low) & (angle <= high) & after & (new[lo:hi, None] | has_new))
+                times = blocks[at]
+                row, at = np.repeat(row, times) + lo, np.repeat(at, times)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[row], "new": new[row], "place": at, "block": block, "v": list(m[row])})
 
-    kind = dict(rows.dtypes)["id"]
-    placed = rows.mapInPandas(place, f"id {kind}, cell int, home boolean, v array<double>")
-    # a cell is cut into blocks by a hash, and each pair of blocks is a group: a task holds two blocks, not a cell
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    mine, every = F.pmod(F.xxhash64("id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
-    homes = placed.where("home").withColumn("one", mine).withColumn("two", every)
-    others = placed.withColumn("two", mine).withColumn("one", every)
+    sent = homed.mapInPandas(visit, f"id {kind}, new boolean, place bigint, block bigint, v array<double>")
+    listed = spark.createDataFrame([(int(c), int(r), k, int(b)) for k, (c, r, b) in enumerate(zip(table.value[0], table.value[1], table.value[2]))], "cell bigint, ring bigint, place bigint, blocks bigint")
+    members = homed.join(F.broadcast(listed), ["cell", "ring"]).select("id", "new", "place", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("bigint").alias("block"), "v")
+
+    return members, sent
 
-    def pair(left, right):
-        import pandas as pd
 
+def _edges_of_width(spark, rows: DataFrame, threshold: float, kind: str, cell_rows: int, block_rows: int) -> DataFrame:
+    members, sent = _met_in_blocks(spark, rows, threshold, kind, cell_rows, block_rows)
+
+    def pair(left, right):
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "weight": []})
-        other = np.stack(right["v"].to_numpy())
+        other, mine = np.stack(right["v"].to_numpy()), np.stack(left["v"].to_numpy())
         ids, far, out = left["id"].to_numpy(), right["id"].to_numpy(), []
-        mine = np.stack(left["v"].to_numpy())
+        new, far_new = left["new"].to_numpy(), right["new"].to_numpy()
         for lo in range(0, len(mine), 512):
             cosine = mine[lo : lo + 512] @ other.T
-            i, j = np.nonzero(cosine >= threshold - 1e-9)
-            keep = ids[lo + i] != far[j]
+            i, j = np.nonzero(cosine >= threshold - 1e-6)
+            keep = (ids[lo + i] != far[j]) & (new[lo + i] | far_new[j])
             i, j = i[keep], j[keep]
             out.append(pd.DataFrame({"a": np.minimum(ids[lo + i], far[j]), "b": np.maximum(ids[lo + i], far[j]), "weight": cosine[i, j]}))
         return pd.concat(out)
 
-    found = homes.groupBy("cell", "one", "two").cogroup(others.groupBy("cell", "one", "two")).applyInPandas(pair, f"a {kind}, b {kind}, weight double")
+    # the keys of both sides are of one type: a cogroup of unlike types deals equal keys to different tasks
+    found = members.groupBy("place", "block").cogroup(sent.groupBy("place", "block")).applyInPandas(pair, f"a {kind}, b {kind}, weight double")
+    # two vectors of one ring meet in either's block
     return found.groupBy("a", "b").agg(F.round(F.max("weight"), 6).alias("weight")).where(F.col("weight") >= threshold)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake import projection as P
 from memlake.functions import scoring, text, vector
-from memlake.operators import evaluate, filters, graph, ingest, jobs, paths, search, sequence, turns
+from memlake.operators import evaluate, filters, graph, ingest, jobs, paths, search, sequence, turns, upkeep
 from memlake.plans.scratch import cut
 from memlake.queries import query
 from memlake.queries.search_queries import COS, TOKENS, probe
@@ -68,14 +68,14 @@ def release_cascade(spark, sf_dir):
     return graph.release(owned, P.tagged(spark, sf_dir), P.memories(spark, sf_dir), gone)[1]
 
 
-@query(f"""WITH d AS (SELECT item_id AS id, list_distinct({TOKENS.format('text')}) AS toks FROM benchmark), n AS (SELECT count(*) AS n FROM d),
-    e AS (SELECT id, unnest(toks) AS token FROM d), f AS (SELECT token, ln((any_value(n.n) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM e, n GROUP BY token),
-    w AS (SELECT id, e.token, idf FROM e JOIN f ON f.token = e.token), m AS (SELECT id, sum(idf) AS mass FROM w GROUP BY id),
-    p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared, sum(x.idf) AS common FROM w x JOIN w y ON x.token = y.token AND x.id < y.id GROUP BY x.id, y.id)
-    SELECT a, b, shared, round(common / (ma.mass + mb.mass - common), 6) AS weight FROM p JOIN m ma ON ma.id = a JOIN m mb ON mb.id = b""")
+@query(f"""WITH d AS (SELECT doc_id AS id, list_distinct({TOKENS.format('text')}) AS toks FROM documents), n AS (SELECT count(*) AS n FROM d),
+    e AS (SELECT id, unnest(toks) AS token FROM d), f AS (SELECT token, row_number() OVER (ORDER BY token) AS t, ln((any_value(n.n) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM e, n GROUP BY token),
+    w AS (SELECT id, t, idf FROM e JOIN f ON f.token = e.token), m AS (SELECT id, sum(idf) AS mass FROM w GROUP BY id),
+    p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared, sum(x.idf) AS common FROM w x JOIN w y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id)
+    SELECT * FROM (SELECT a, b, shared, round(common / (ma.mass + mb.mass - common), 6) AS weight FROM p JOIN m ma ON ma.id = a JOIN m mb ON mb.id = b) WHERE weight >= 0.3""")
 def lexical_edges(spark, sf_dir):
-    rows = P.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
-    return graph.lexical_edges(rows)
+    rows = P.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
+    return graph.lexical_edges(rows, 0.3)
 
 
 @query(f"""SELECT a, b, weight FROM (SELECT x.vec_id AS a, y.vec_id AS b, {COS.format('x.embedding', 'y.embedding')} AS weight
@@ -92,6 +92,19 @@ def temporal_chain(spark, sf_dir):
     return graph.temporal_chain(rows, "user_id", "event_type", tau_ms=scoring.DAY_MS)
 
 
+@query(f"""SELECT 'semantic' AS edge_type, x.vec_id AS src, y.vec_id AS dst, {COS.format('x.embedding', 'y.embedding')} AS weight FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE weight >= 0.35
+    UNION ALL SELECT 'temporal', id, dst, 1.0 FROM (SELECT vec_id AS id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id % 97, vec_id) AS dst FROM embeddings) WHERE dst IS NOT NULL""")
+def claims_in_batches(spark, sf_dir):
+    """Edges kept up over three micro-batches that arrive in no order of time: those of one batch."""
+    claims = P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label", (F.col("vec_id") % 97).alias("valid_from"))
+    kept = None
+    for part in range(3):
+        new = claims.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part)
+        kept = upkeep.add_claims(new, kept, ["label"], 0.35)
+    edge = lambda rows, kind, a, b, w: rows.select(F.lit(kind).alias("edge_type"), F.col(a).alias("src"), F.col(b).alias("dst"), F.col(w).cast("double").alias("weight"))
+    return edge(kept.semantic, "semantic", "a", "b", "weight").unionByName(edge(kept.temporal.withColumn("weight", F.lit(1.0)), "temporal", "src", "dst", "weight"))
+
+
 @query(f"""WITH c AS (SELECT user_id AS key, count(*) AS n FROM events GROUP BY user_id), t AS (SELECT sum(n) AS total, count(*) AS kinds FROM c),
     b AS (SELECT sum(n) AS best FROM (SELECT n FROM c ORDER BY n DESC, key LIMIT 5))
     SELECT CAST(total AS BIGINT) AS total, kinds, round(best / total, 6) AS top_share, round(best / total / (5.0 / kinds), 6) AS concentration FROM t, b""")
