@@ -17,10 +17,10 @@ from memlake.llm import textkernels as K
 from memlake.plans.scratch import broadcast_if_small, cut
 
 FEATURE_BITS = 20
-TRAIN_ROWS = 20_000
-TRAIN_BYTES = 1 << 15
+TRAIN_ROWS = 10_000
+TRAIN_BYTES = 1 << 13
 EPOCHS = 8
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 UNTAUGHT = -35.0
 
 
@@ -118,7 +118,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int
     found = K.bounded(rows.select(F.col("label").cast("int").alias("label"), "text")).mapInArrow(_examples, "label int, features array<int>").toArrow()
     flat = found.column("features").combine_chunks()
     ends = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    every = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    every = flat.flatten().to_numpy(zero_copy_only=False)
     examples = [(y, every[a:b]) for y, a, b in zip(found.column("label").to_pylist(), ends[:-1], ends[1:])]
     # rows arrive in any order; this one depends on their contents alone
     examples.sort(key=lambda e: (int(K.mix(e[1].astype(K.U64)).sum()), e[0]))
