@@ -10,7 +10,7 @@ from memlake.functions import scoring, text, vector
 from memlake.operators import evaluate, filters, graph, ingest, jobs, paths, search, sequence, turns, upkeep
 from memlake.plans.scratch import cut
 from memlake.queries import query
-from memlake.queries.search_queries import COS, TOKENS, probe
+from memlake.queries.search_queries import COS, PROBE, TOKENS, probe
 
 WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: length(w) > 2))"
 
@@ -210,19 +210,39 @@ def change_points(spark, sf_dir):
     return sequence.change_points(_streams(spark, sf_dir), "stream", "step")
 
 
-@query()
+#: The least squared errors plus ln(n) a segment, end after end: f[i] is the best for the first i - 1 steps.
+_SEGMENTS = """x AS (SELECT label AS stream, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    d AS (SELECT stream, t, unnest(v) AS y, generate_subscripts(v, 1) AS j FROM x), s AS (SELECT stream, t, j, sum(y) OVER (PARTITION BY stream, j ORDER BY t) AS s, sum(y * y) OVER (PARTITION BY stream, j ORDER BY t) AS q FROM d),
+    z AS (SELECT stream, t, list(s ORDER BY j) AS s, sum(q) AS q FROM s GROUP BY stream, t), o AS (SELECT stream, t, s, q FROM z UNION ALL SELECT stream, 0, list_transform(s, lambda y: 0.0), 0.0 FROM z WHERE t = 1),
+    c AS (SELECT b.stream, b.t, list(greatest(0, b.q - a.q - list_sum(list_transform(list_zip(a.s, b.s), lambda p: (p[2] - p[1]) ** 2)) / (b.t - a.t)) ORDER BY a.t) AS costs FROM o a JOIN o b ON a.stream = b.stream AND a.t < b.t GROUP BY b.stream, b.t),
+    n AS (SELECT stream, max(t) AS n, ln(greatest(max(t), 2)) AS beta FROM x GROUP BY stream),
+    f(stream, t, f, back) AS (SELECT stream, 0, [CAST(0 AS DOUBLE)], CAST([] AS BIGINT[]) FROM n
+      UNION ALL SELECT stream, t, list_append(f, list_min(u) + beta), list_append(back, list_position(u, list_min(u)) - 1) FROM (
+        SELECT c.stream, c.t, f.f, f.back, beta, list_transform(list_zip(f.f, costs), lambda p: p[1] + p[2]) AS u FROM f JOIN n ON n.stream = f.stream JOIN c ON c.stream = f.stream AND c.t = f.t + 1)),
+    w AS (SELECT f.stream, f.f[n.n + 1] AS total, back, n.n AS n, beta FROM f JOIN n ON n.stream = f.stream AND n.n = f.t),
+    b(stream, step) AS (SELECT stream, back[n] FROM w UNION ALL SELECT b.stream, w.back[b.step] FROM b JOIN w ON w.stream = b.stream WHERE b.step > 0),
+    g AS (SELECT stream, list(CAST(step AS BIGINT) ORDER BY step) FILTER (step > 0) AS gold, count(*) AS k FROM b GROUP BY stream)"""
+
+
+@query(f"""WITH RECURSIVE {_SEGMENTS} SELECT g.stream, coalesce(array_to_string(gold, ','), '') AS boundaries, CAST(k AS INTEGER) AS k, round(total - k * beta, 6) AS cost FROM g JOIN w ON w.stream = g.stream""")
 def k_segmentation(spark, sf_dir):
     rows = sequence.segment_streams(_streams(spark, sf_dir), "stream", "step")
     return rows.select("stream", F.array_join(F.col("boundaries").cast("array<string>"), ",").alias("boundaries"), "k", "cost")
 
 
-@query()
+@query(f"""WITH RECURSIVE x AS (SELECT label AS stream, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, embedding,
+      list_transform(CAST(embedding AS DOUBLE[]), lambda y: y / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda z: z * z)))) AS v FROM embeddings),
+    r(stream, t, vec_id, c) AS (SELECT stream, t, vec_id, v FROM x WHERE t = 1
+      UNION ALL SELECT stream, t, vec_id, list_transform(u, lambda y: y / sqrt(list_sum(list_transform(u, lambda z: z * z)))) FROM (
+        SELECT x.stream, x.t, x.vec_id, list_transform(list_zip(r.c, x.v), lambda p: 0.7 * p[1] + sqrt(0.51) * p[2]) AS u FROM r JOIN x ON x.stream = r.stream AND x.t = r.t + 1)),
+    p AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = {PROBE}),
+    s AS (SELECT r.vec_id AS id, round(0.3 * list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), q) + 0.7 * list_cosine_similarity(r.c, q), 6) AS score FROM r JOIN x ON x.vec_id = r.vec_id, p)
+    SELECT id, score FROM s ORDER BY score DESC, id LIMIT 10""")
 def context_retrieval(spark, sf_dir):
     rows = _streams(spark, sf_dir)
     context = sequence.context_stream(rows, "stream", "step")
     stored = rows.join(context, ["stream", "step"]).withColumnRenamed("step", "id")
-    vec = probe(spark, sf_dir)
-    return sequence.context_search(stored, vec, vec, 0.3)
+    return sequence.context_search(stored, probe(spark, sf_dir), weight=0.3)
 
 
 @query()
