@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.scratch import cut, join_hot
+from memlake.plans.scratch import cut, join_hot, numbered
 
 MAX_DOCS = 50
 MIN_WORDS = 50
@@ -82,3 +82,29 @@ def judge_quality(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (lost * 2 <= F.col("n_words"))).alias("kept"), lost.alias("removed_words"),
     )
+
+
+def strip_common_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """``docs`` with the lines above the limit of their host taken out of ``text``, without depleted documents.
+
+    Lines are those of :func:`judge_quality`, in all their normalised forms; blank lines and the rest of the
+    text stay as they are, and so do texts without such a line.  A document that loses more than half of its
+    words goes.  All columns are kept; null texts, repeated rows and rows without doc_id are rows like any other.
+    """
+    rows, key = numbered(docs)
+    plain = rows.select(F.col(key).alias("doc_id"), "text", F.col(f"`{host}`").cast("string").alias("host"))
+    stats = cut(line_stats(plain, "host").select("doc_id", "host", "n_words", "lines"), "line-stats")
+    once = stats.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    above = cut(once.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs).select("host", "h"), "above")
+    every = stats.select("doc_id", "host", F.posexplode("lines").alias("at", "line")).select("doc_id", "host", "at", "line.h", "line.w")
+    gone = cut(join_hot(every, above, ["host", "h"]).groupBy("doc_id").agg(F.collect_list("at").alias("gone"), F.sum("w").alias("lost")), "gone")
+    lost = stats.select("doc_id", "n_words").join(gone, "doc_id")
+    lines = F.split(F.col("text"), "\n")
+    # a line's place makes it unlike any other, so one set difference takes out those that go
+    placed = F.transform(lines, lambda line, i: F.concat(i.cast("string"), F.lit(":"), line))
+    worded = F.filter(placed, lambda line: F.rlike(F.regexp_replace(line, "^[0-9]+:", ""), F.lit("[^\\x20\\x09-\\x0D]")))
+    out = F.transform(F.col("__gone"), lambda i: F.get(worded, i))
+    kept = F.array_join(F.transform(F.array_except(placed, out), lambda line: F.regexp_replace(line, "^[0-9]+:", "")), "\n")
+    columns = [F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    met = rows.join(lost.select(F.col("doc_id").alias(key), F.col("gone").alias("__gone"), (F.col("lost") * 2 > F.col("n_words")).alias("__depleted")), key, "left")
+    return met.where(~F.coalesce("__depleted", F.lit(False))).select(*columns)
