@@ -145,10 +145,10 @@ def _grams(batches, idf) -> Iterator[pa.RecordBatch]:
     gram, known = np.zeros((SKETCH, SKETCH)), np.zeros(1 << FEATURE_BITS, bool)
     for batch in batches:
         passages = [p for words in _item_words(batch.column("text")) if len(words) for p in _passages(words, _step(len(words)))]
-        for lo in range(0, len(passages), 4096):
-            row, feature, weight = _flat(passages[lo : lo + 4096], idf.value)
+        for lo in range(0, len(passages), 1024):
+            row, feature, weight = _flat(passages[lo : lo + 1024], idf.value)
             known[feature] = True
-            rows = _sketched(row, feature, weight, len(passages[lo : lo + 4096]))
+            rows = _sketched(row, feature, weight, len(passages[lo : lo + 1024]))
             gram += rows.T @ rows
     yield _packed(gram, known)
 
@@ -157,32 +157,37 @@ def _packed(gram: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary()), pa.array([np.packbits(known).tobytes()], pa.binary())], ["gram", "known"])
 
 
-def _summed(batches) -> Iterator[pa.RecordBatch]:
+def _total(batches) -> tuple[np.ndarray, np.ndarray]:
     gram, known = np.zeros((SKETCH, SKETCH)), np.zeros(1 << FEATURE_BITS, bool)
     for batch in batches:
         for g, k in zip(batch.column("gram"), batch.column("known")):
             gram += np.frombuffer(g.as_buffer(), float).reshape(SKETCH, SKETCH)
             known |= np.unpackbits(np.frombuffer(k.as_buffer(), np.uint8)).astype(bool)
-    yield _packed(gram, known)
+    return gram, known
+
+
+def _leading(batches, rank: int) -> Iterator[pa.RecordBatch]:
+    """The leading eigenvectors of the whole sum, in one task over ``SUMS_AT_ONCE`` matrices of fixed size."""
+    gram, known = _total(batches)
+    values, vectors = np.linalg.eigh(gram)
+    some = values > 1e-9 * max(values.max(initial=0), 1e-30)
+    yield _packed(vectors[:, some][:, -rank:].astype(np.float32), known)
 
 
 def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Space:
     """The latent space of all passages of ``items(text)``, by a distributed randomised SVD.
 
     The Gram matrix of the sketched rows has their right singular vectors; what tasks hand on is one
-    matrix of fixed size each, and the driver gets ``SUMS_AT_ONCE`` of them.
+    matrix of fixed size each, and the driver gets the basis alone.
     """
+    schema = "gram binary, known binary"
     shared = items.sparkSession.sparkContext.broadcast(idf)
-    parts = items.select("text").mapInArrow(lambda it: _grams(it, shared), "gram binary, known binary")
-    rows = parts.repartition(SUMS_AT_ONCE).mapInArrow(_summed, "gram binary, known binary").toArrow()
+    parts = items.select("text").mapInArrow(lambda it: _grams(it, shared), schema).repartition(SUMS_AT_ONCE)
+    whole = parts.mapInArrow(lambda it: [_packed(*_total(it))], schema).repartition(1).mapInArrow(lambda it: _leading(it, rank), schema)
+    row = whole.first()
     shared.destroy()
-    gram, known = np.zeros((SKETCH, SKETCH)), np.zeros(1 << FEATURE_BITS, bool)
-    for g, k in zip(rows.column("gram"), rows.column("known")):
-        gram += np.frombuffer(g.as_py(), float).reshape(SKETCH, SKETCH)
-        known |= np.unpackbits(np.frombuffer(k.as_py(), np.uint8)).astype(bool)
-    values, vectors = np.linalg.eigh(gram)
-    some = values > 1e-9 * max(values.max(initial=0), 1e-30)
-    return Space(idf, known, vectors[:, some][:, -rank:].astype(np.float32))
+    known = np.unpackbits(np.frombuffer(row["known"], np.uint8)).astype(bool)
+    return Space(idf, known, np.frombuffer(row["gram"], np.float32).reshape(SKETCH, -1))
 
 
 def place_items(space: Space, ids: np.ndarray, words: list[np.ndarray]) -> Block:
@@ -196,8 +201,8 @@ def place_items(space: Space, ids: np.ndarray, words: list[np.ndarray]) -> Block
         most = np.zeros(1 << FEATURE_BITS, np.float32)
         np.maximum.at(most, feature, weight.astype(np.float32))
         vectors = np.empty((len(own), space.basis.shape[1]), np.float32)
-        for lo in range(0, len(own), 4096):
-            hi = min(lo + 4096, len(own))
+        for lo in range(0, len(own), 256):
+            hi = min(lo + 256, len(own))
             a, b = np.searchsorted(row, [lo, hi])
             vectors[lo:hi] = _sketched(row[a:b] - lo, feature[a:b], weight[a:b], hi - lo) @ space.basis
         inside = np.linalg.norm(vectors, axis=1)

@@ -165,3 +165,31 @@ def test_toxic_share_is_learned_alike_at_every_size(spark):
     # labels without a document use up no part of the bound, and long texts teach nothing
     chosen = toxicity.train_toxicity(docs, labels, F.lit(True), 2000, 3)
     assert chosen.bias == toxicity.UNTAUGHT
+
+
+def test_lines_above_the_limit_are_taken_out(spark):
+    import re
+
+    from memlake.llm import quality_rules
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    norm = lambda line: re.sub("[0-9]+", "0", " ".join(word.findall(line))).lower()
+    rows = [(i, f"own line {chr(97 + i % 26)}{i // 26} here\n\n  Page 1{i}  of 20\nwhat is  left\nown line {chr(97 + i % 26)}{i // 26} here", "s1") for i in range(6)]
+    rows += [(i, "page 7 of 9\nPAGE 8 of 10\nx", "s1") for i in range(10, 12)] + [(20, "page 1 of 2", "s2"), (21, None, "s1"), (22, "", None), (None, "what is left\nand much more that is only here", "s1")]
+    rows += [rows[0]]
+    where = {}
+    for k, (_, t, host) in enumerate(rows):
+        for line in (t or "").split("\n"):
+            if norm(line):
+                where.setdefault((host or "", norm(line)), set()).add(k)
+    expected = []
+    for _, t, host in rows:
+        lines = (t or "").split("\n")
+        gone = [x for x in lines if norm(x) and len(where[host or "", norm(x)]) > 4]
+        if 2 * sum(len(word.findall(x)) for x in gone) <= len(word.findall(t or "")):
+            expected.append(None if t is None else "\n".join(x for x in lines if x not in gone))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("lines", F.lit(1)).withColumn("gone", F.lit(2)).withColumn("host", F.lit("h"))
+    out = quality_rules.strip_common_lines(docs, max_docs=4)
+    assert out.columns == ["doc_id", "text", "source", "lines", "gone", "host"]
+    assert sorted(str(r["text"]) for r in out.collect()) == sorted(map(str, expected)) and len(expected) < len(rows)
+    assert quality_rules.strip_common_lines(docs.limit(0)).collect() == []
