@@ -125,9 +125,11 @@ def lexical_edges(tokens: DataFrame, min_weight: float = 0.0, max_frequency: int
 
 def weigh_pairs(pairs: DataFrame, weighted: DataFrame, min_weight: float) -> DataFrame:
     """(a, b, shared, weight) of distinct ``pairs(a, b)`` over all tokens of both."""
-    own = cut(weighted.groupBy("id").agg(F.collect_list(F.struct("token", "idf")).alias("own"), F.sum("idf").alias("mass")), "lexical-own")
+    # a token and its weight in one string: intersections of strings go by hash, those of structs by comparing all with all
+    marked = F.concat(F.col("idf").cast("string"), F.lit(":"), F.col("token"))
+    own = cut(weighted.groupBy("id").agg(F.collect_list(marked).alias("own"), F.sum("idf").alias("mass")), "lexical-own")
     both = F.array_intersect("x.own", "y.own")
-    common = F.aggregate("both", F.lit(0.0), lambda s, e: s + e["idf"])
+    common = F.aggregate("both", F.lit(0.0), lambda s, e: s + F.substring_index(e, ":", 1).cast("double"))
     return (
         cut(pairs, "lexical-pairs").join(own.alias("x"), F.col("a") == F.col("x.id")).join(own.alias("y"), F.col("b") == F.col("y.id"))
         .select("a", "b", both.alias("both"), (F.col("x.mass") + F.col("y.mass")).alias("mass"))
