@@ -270,8 +270,8 @@ def _near(space: Space, group: Passages, features: np.ndarray, scale: np.ndarray
     # nor can a product be more than each word at the largest weight it has in any passage
     product = steps.windows(np.bincount(own, scale[held] * group.most[features[held]], len(steps.begins)))
     window = np.flatnonzero((joint >= COSINE * COSINE * steps.full) & (product >= 0.999 * COSINE * np.sqrt(steps.full)))
-    for a in range(0, len(window), 1024):
-        some = window[a : a + 1024]
+    for a in range(0, len(window), 256):
+        some = window[a : a + 256]
         nxt = steps.follows[some]
         need = np.unique(np.append(some, some[nxt] + 1))
         lo, hi = np.searchsorted(own, [need[0], need[-1] + 1])
