@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.scratch import cut, discard, join_hot, rows_of
+from memlake.plans.scratch import counted, cut, discard, join_hot, rows_of
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
         .distinct(),
         "cc-edges",
     )
-    labels = cut(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "cc-0")
+    labels = counted(both.groupBy("node").agg(F.least("node", F.min("near")).alias("label")), "cc-0")
     nodes = rows_of(labels)  # the same in every round
     while True:
         heard = (
@@ -34,17 +34,19 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
             "node", F.col("label").alias("old"), F.least("label", "heard").alias("met")
         )
         jump = labels.select(F.col("node").alias("met"), F.col("label").alias("further"))
-        after = cut(
+        after = counted(
             join_hot(met, jump, ["met"], "left", rows=nodes).select(
                 "node", "old", F.least("met", F.coalesce("further", "met")).alias("label")
             ),
-            "cc",
+            "cc", moved=F.count_if(F.col("label") != F.col("old")),
         )
         discard(labels)
         labels = after
-        if after.where("label <> old").isEmpty():
+        if not after.scratch_seen["moved"]:
             discard(both)
-            return labels.select("node", "label")
+            found = labels.select("node", "label")
+            found.scratch_rows = nodes
+            return found
 
 
 def extend_components(labels: DataFrame | None, edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
@@ -55,7 +57,7 @@ def extend_components(labels: DataFrame | None, edges: DataFrame, src: str = "a"
     if labels is None:
         return connected_components(edges, src, dst)
     ends = edges.select(F.col(src).alias("node")).union(edges.select(F.col(dst).alias("node"))).where("node is not null").distinct()
-    ends = cut(ends.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("label").isNull().alias("fresh")), "cc-ends")
+    ends = counted(ends.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.col("label").isNull().alias("fresh")), "cc-ends")
     known = rows_of(ends)
     joined = join_hot(edges.select(F.col(src).alias("node"), F.col(dst).alias("far")), ends.select("node", "label"), ["node"], rows=known)
     joined = joined.select(F.col("label").alias("a"), F.col("far").alias("node"))
@@ -63,4 +65,4 @@ def extend_components(labels: DataFrame | None, edges: DataFrame, src: str = "a"
     moved = connected_components(cut(joined, "cc-joined"))
     every = labels.select("node", "label").union(ends.where("fresh").select("node", "label"))
     renamed = moved.select(F.col("node").alias("label"), F.col("label").alias("least"))
-    return cut(join_hot(every, renamed, ["label"], "left").select("node", F.coalesce("least", "label").alias("label")), "cc-labels")
+    return cut(join_hot(every, renamed, ["label"], "left", rows=rows_of(moved)).select("node", F.coalesce("least", "label").alias("label")), "cc-labels")

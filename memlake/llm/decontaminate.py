@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
-from memlake.plans.scratch import broadcast_if_small, cut, numbered
+from memlake.plans.scratch import broadcast_if_small, counted, cut, numbered
 
 FEATURE_BITS = 18
 STEP = 16
@@ -92,10 +92,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """
     rows = (
         K.bounded(docs.select("text").where("text is not null")).mapInArrow(_doc_counts, "feature int, n bigint")
-        .groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
+        .groupBy("feature").agg(F.sum("n").alias("n"))
     )
-    out = np.zeros((1 << FEATURE_BITS) + 1, np.int64)
-    out[rows["feature"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out = K.gathered(rows, (1 << FEATURE_BITS) + 1, np.int64)
     return out[:-1], int(out[-1])
 
 
@@ -403,5 +402,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows are judged one by one, so a null or repeated doc_id neither saves nor condemns a row.
     """
     rows, key = numbered(docs)
-    leaks = cut(find_leaks(rows.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    leaks = counted(find_leaks(rows.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct(), "leaks")
     return rows.join(broadcast_if_small(leaks), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

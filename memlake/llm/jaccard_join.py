@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
 from memlake.llm.components import extend_components
-from memlake.plans.scratch import BROADCAST_ROWS, broadcast_if_small, cut, discard, join_hot, numbered, rows_of
+from memlake.plans.scratch import BROADCAST_ROWS, broadcast_if_small, counted, cut, discard, join_hot, numbered, rows_of
 
 SHINGLE = 5
 PERCENT = 80
@@ -63,11 +63,8 @@ def token_counts(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
         docs.select("text")
         .mapInArrow(lambda it: _count_buckets(it, size), "bucket int, n bigint")
         .groupBy("bucket").agg(F.sum("n").alias("n"))
-        .toPandas()
     )
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return counts
+    return K.gathered(rows, 1 << BUCKET_BITS, np.int64)
 
 
 def _rarest(tokens: np.ndarray, counts: np.ndarray, keep: int) -> np.ndarray:
@@ -152,12 +149,10 @@ def shared_token_bits(shared: DataFrame) -> np.ndarray:
 
     It keeps tokens that one text alone has out of the shuffle; the join after it is exact.
     """
-    place = F.shiftrightunsigned("token", 64 - FILTER_BITS)
+    place = F.shiftrightunsigned("token", 64 - FILTER_BITS).cast("int")
     bit = F.shiftrightunsigned("token", 58 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int")
-    rows = shared.groupBy(place.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits")).toPandas()
-    table = np.zeros(1 << FILTER_BITS, K.U64)
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(K.U64)
-    return table
+    rows = shared.groupBy(place.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    return K.gathered(rows, 1 << FILTER_BITS, K.U64)
 
 
 _FACTS_SCHEMA = "node bigint, n bigint, parity array<bigint>, fine array<bigint>, " + ", ".join(f"{o} array<int>" for o in _ORDERS)
@@ -196,10 +191,10 @@ def _passing(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
         )
 
     # each step carries more bytes of a text than the one before, for fewer pairs
-    near = cut(facing(pairs, "n", "parity").where(_may_match(percent)).select("p.a", "p.b").distinct(), "near")
+    near = counted(facing(pairs, "n", "parity").where(_may_match(percent)).select("p.a", "p.b").distinct(), "near")
     bits = F.zip_with("a.fine", "b.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
-    nearer = cut(facing(near, "n", "fine").where(_near(apart, percent)).select("p.a", "p.b").distinct(), "nearer")
+    nearer = counted(facing(near, "n", "fine").where(_near(apart, percent)).select("p.a", "p.b").distinct(), "nearer")
     discard(near)
     return facing(nearer, *_ORDERS).where(agree).select("p.a", "p.b").distinct()
 
@@ -226,7 +221,7 @@ def _distinct_buckets(members: DataFrame) -> DataFrame:
     h = F.xxhash64("node")
     sums = [F.coalesce(F.try_sum(part), "token") for part in (F.shiftrightunsigned(h, 24), h.bitwiseAND(F.lit((1 << 40) - 1)))]
     buckets = members.groupBy("token").agg(F.count(F.lit(1)).alias("n"), sums[0].alias("s1"), sums[1].alias("s2"))
-    kept = cut(buckets.where("n > 1").groupBy("n", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "buckets")
+    kept = counted(buckets.where("n > 1").groupBy("n", "s1", "s2").agg(F.min("token").alias("token")).select("token"), "buckets")
     out = cut(members.join(broadcast_if_small(kept), "token"), "members")
     discard(members, kept)
     return out
@@ -260,7 +255,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         "prefixes",
     )
     some = rows.where("n_shingles > 0")
-    copies = cut(
+    copies = counted(
         some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
         .where("rows > 1").select("h1", "h2", "rep"),
         "copies",
@@ -280,7 +275,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     bits = spark.sparkContext.broadcast(shared_token_bits(shared))
     met = heads.mapInArrow(lambda it: _possibly_shared(it, bits), "token bigint, node bigint, need int")
     every = cut(met.join(shared, "token"), "members")
-    nodes = cut(
+    nodes = counted(
         every.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).where("met >= need").select("node", "met"),
         "nodes",
     )
@@ -288,8 +283,8 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     def texts_of(wanted: DataFrame) -> DataFrame:
         return docs.join(broadcast_if_small(wanted.select(F.col("node").alias("doc_id")), rows=rows_of(wanted)), "doc_id", "left_semi")
 
-    facts = cut(texts_of(nodes).mapInArrow(lambda it: _facts(it, size, percent), _FACTS_SCHEMA), "facts")
-    repeated = not facts.groupBy("node").count().where("count > 1").isEmpty()
+    facts = counted(texts_of(nodes).mapInArrow(lambda it: _facts(it, size, percent), _FACTS_SCHEMA), "facts")
+    repeated = rows_of(facts) > rows_of(nodes)  # each node has a row at least
     if repeated:
         facts = cut(facts.dropDuplicates(), "facts")
     members = _distinct_buckets(cut(every.select("token", "node").join(broadcast_if_small(nodes), "node"), "members"))
@@ -301,7 +296,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         placed = _labelled(members, labels)
         # first the texts that meet others in most of their prefix, then any, by a fresh hash
         rank = F.struct("met", "node", "label") if not turn else F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
-        leaders = cut(
+        leaders = counted(
             placed.groupBy("token")
             .agg(F.max(rank).alias("top"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
             .where("lo < hi").select("token", "top.node", "top.label", "size"),
@@ -319,24 +314,24 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         met = met.distinct()
         if tried is not None:
             met = met.join(tried, ["a", "b"], "left_anti")
-        met = cut(met, "pairs")
+        met = counted(met, "pairs")
         if not rows_of(met):
             if turn < STAR_ROUNDS and not rows_of(leaders):
                 break
             continue
         scrap.append(met)
         tried = met if tried is None else tried.union(met)
-        passed = cut(_passing(met, facts, percent), "passed")
+        passed = counted(_passing(met, facts, percent), "passed")
         if not rows_of(passed):
             continue
         wanted = passed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        fresh = texts_of(cut(wanted, "wanted")).mapInArrow(lambda it: _sets(it, size), "node bigint, tokens array<bigint>")
+        fresh = texts_of(counted(wanted, "wanted")).mapInArrow(lambda it: _sets(it, size), "node bigint, tokens array<bigint>")
         fresh = cut(fresh.dropDuplicates() if repeated else fresh, "sets")
         scrap.append(fresh)
         sets = fresh if sets is None else sets.union(fresh)
-        found = cut(_linked(passed, sets, percent), "links")
+        found = counted(_linked(passed, sets, percent), "links")
         if not rows_of(found):
             continue
         labels = extend_components(labels, found)
@@ -352,7 +347,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         named = _labelled(named.unionByName(alone), labels)
     else:
         named = named.withColumn("label", F.col("node"))
-    named = cut(
+    named = counted(
         named.groupBy("h1", "h2").agg(F.min("label").alias("component_id"), F.lit(True).alias("named")), "classes"
     )
     discard(facts, members, nodes, *scrap)
@@ -397,11 +392,11 @@ def near_duplicate_keepers(docs: DataFrame, size: int = SHINGLE, percent: int =
     rows, key = numbered(docs)
     placed = jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"), size, percent)
     grouped = placed.where("n_shingles > 0").select(F.col("doc_id").alias(key), F.col("component_id").alias("group"))
-    several = cut(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group"), "groups")
+    several = counted(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group"), "groups")
     crowd = cut(join_hot(grouped, several, ["group"]), "crowd")
     ids = rows.select(F.col(key), F.col("doc_id").alias("own"))
     rank = F.struct(F.col("own").isNull().alias("last"), "own", key)
     best = crowd.join(ids, key).groupBy("group").agg(F.min(rank).alias("best")).select("group", F.col(f"best.{key}").alias("best"))
-    gone = cut(join_hot(crowd, cut(best, "best"), ["group"]).where(F.col(key) != F.col("best")).select(key), "gone")
+    gone = counted(join_hot(crowd, counted(best, "best"), ["group"]).where(F.col(key) != F.col("best")).select(key), "gone")
     discard(several, crowd)
     return rows.join(broadcast_if_small(gone), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import textkernels as K
-from memlake.plans.scratch import broadcast_if_small, cut
+from memlake.plans.scratch import broadcast_if_small, counted, cut
 
 FEATURE_BITS = 20
 TRAIN_ROWS = 10_000
@@ -109,17 +109,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, rows: int
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label")
     ).distinct()
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    present = ids.select("doc_id").join(broadcast_if_small(cut(known, "toxic-labels")), "doc_id").distinct()
+    present = ids.select("doc_id").join(broadcast_if_small(counted(known, "toxic-labels")), "doc_id").distinct()
     chosen = cut(present.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows), "toxic-sample")
     rows = (
         ids.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= size)
         .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     )
     found = K.bounded(rows.select(F.col("label").cast("int").alias("label"), "text")).mapInArrow(_examples, "label int, features array<int>").toArrow()
-    flat = found.column("features").combine_chunks()
-    ends = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    every = flat.flatten().to_numpy(zero_copy_only=False)
-    examples = [(y, every[a:b]) for y, a, b in zip(found.column("label").to_pylist(), ends[:-1], ends[1:])]
+    examples = []
+    for batch in found.to_batches():  # views of what came, no copy
+        flat = batch.column("features")
+        ends = np.concatenate([[0], np.cumsum(flat.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        every = flat.flatten().to_numpy(zero_copy_only=False)
+        examples += [(y, every[a:b]) for y, a, b in zip(batch.column("label").to_pylist(), ends[:-1], ends[1:])]
     # rows arrive in any order; this one depends on their contents alone
     examples.sort(key=lambda e: (int(K.mix(e[1].astype(K.U64)).sum()), e[0]))
     return ftrl(examples)

@@ -193,3 +193,35 @@ def test_lines_above_the_limit_are_taken_out(spark):
     assert out.columns == ["doc_id", "text", "source", "lines", "gone", "host"]
     assert sorted(str(r["text"]) for r in out.collect()) == sorted(map(str, expected)) and len(expected) < len(rows)
     assert quality_rules.strip_common_lines(docs.limit(0)).collect() == []
+
+
+def test_the_driver_runs_few_queries_and_makes_no_row_objects(spark, monkeypatch):
+    """What filled the driver: a query to count each table written, and a Row for each of 262,144 counters."""
+    from pyspark.sql import DataFrame
+
+    from memlake.llm import decontaminate, jaccard_join
+
+    def refused(self, *_):
+        raise AssertionError("rows are gathered as Arrow batches and counted as they are written")
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:50]), " ".join(words[:50] + ["more"]), " ".join(words[10:60]), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toPandas", refused)
+        m.setattr(DataFrame, "count", refused)
+        m.setattr(DataFrame, "isEmpty", refused)
+        kept = jaccard_join.near_duplicate_keepers(docs)
+        counts, n = decontaminate.document_frequencies(docs)
+    assert {r["doc_id"] for r in kept.collect()} == {0, 2, 3, 4}
+    assert (n, counts.sum()) == (4, 151)
+
+
+def test_rows_are_counted_as_they_are_written(spark):
+    from memlake.plans.scratch import counted, rows_of
+
+    for n in (0, 7):
+        rows = spark.range(50).where(F.col("id") < n).repartition(3)
+        table = counted(rows, even=F.count_if(F.col("id") % 2 == 0))
+        assert (rows_of(table), table.count(), table.scratch_seen["even"]) == (n, n, (n + 1) // 2)
+        assert table.columns == ["id"]
