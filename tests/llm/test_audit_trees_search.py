@@ -99,6 +99,20 @@ def test_audit_equals_all_orders(spark, docs):
     assert len(found) == len(expected) == 600 * len({k[0] for k in expected})
 
 
+def test_audit_with_tables_too_large_for_the_driver(spark, docs, monkeypatch):
+    """Copies and labels beyond the bound are not broadcast, and the counts stay."""
+    monkeypatch.setattr(filter_audit, "LOOKUP_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labels = spark.createDataFrame(LABELS, LABEL)
+        plan = filter_audit.failure_masks(docs, labels)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+        found = filter_audit.audit_filters(docs, labels).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r["part"], r["filter_order"], r["step"]): tuple(r[c] for c in COUNTS) for r in found} == brute_audit(rows_of(), LABELS)
+
+
 def test_audit_of_an_empty_table(spark, nothing):
     assert filter_audit.audit_filters(nothing, spark.createDataFrame([], LABEL)).collect() == []
 
