@@ -85,6 +85,33 @@ def test_batches_are_limited_and_the_rest_waits(spark):
     assert sorted(r.in_id for r in state.tags.where("out_id = 'tag:inbox:kb'").collect()) == [f"m:{i:03d}" for i in range(6, 10)]
 
 
+def test_all_batches_at_once_are_as_batch_by_batch(spark):
+    """More batches than the driver would be given one by one, errors as rows; then the attempts are counted alike."""
+    memory, tags = _waiting(spark, 90)
+    calls = []
+
+    def run(rows):
+        calls.append(1)
+        return rows.select("id")
+
+    bad = lambda r: r.where("substr(id, 3) % 20 = 7").select("batch_key", F.lit("TimeoutError").alias("name"), F.lit("timeout").alias("error"))
+    hook = {"kb": phases.Whole(run, bad)}
+    state = phases.process_phase(memory, tags, hook, size=3, batches=None)
+    held = {f"m:{i:03d}" for k in range(7, 90, 20) for i in range(k - k % 3, k - k % 3 + 3)}
+    waiting = lambda s, tag: {r.in_id for r in s.tags.where(F.col("out_id") == tag).collect()}
+    assert calls == [1] and waiting(state, "tag:inbox:kb") == held and state.failures.count() == 5
+    assert {r.id for r in state.outputs["kb"].collect()} == {r.id for r in memory.collect()} - held
+    again = phases.process_phase(memory, state.tags, hook, state.failures, size=3, batches=None)
+    assert waiting(again, "tag:inbox:failed:kb") == held and again.failures.count() == 0 and not waiting(again, "tag:inbox:kb")
+
+
+def test_a_whole_hook_that_raises_fails_every_batch(spark):
+    memory, tags = _waiting(spark, 7)
+    late = phases.Whole(lambda r: r.select(F.raise_error(F.lit("bad input")).cast("string").alias("id")))
+    state = phases.process_phase(memory, tags, {"kb": late}, size=3, batches=None)
+    assert {(r.in_id, r.out_id) for r in state.tags.collect()} == {(f"m:{i:03d}", "tag:inbox:failed:kb") for i in range(7)}
+
+
 def test_entries_that_nobody_wants_are_deleted(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"))
     engine.register(Domain("kb", claim=lambda rows, e: rows.where("content like 'fact%'").select("id"), handler=lambda rows, e: None))
