@@ -46,6 +46,38 @@ def test_what_is_sent_follows_the_clusters(spark):
     assert sent[1] < 1.5 * sent[0]
 
 
+def test_what_is_sent_is_bounded_where_nothing_can_be_left_out(spark):
+    """Vectors in all directions: a vector goes to half of the (sixteen) blocks, however many cells there are."""
+    rng = np.random.default_rng(3)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 24)))], "id bigint, embedding array<float>")
+    assert graph.sent_rows(frame, 0.3, cell_rows=16) <= 9 * 2000
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_edges_of_fresh_vectors_and_within_classes(spark, monkeypatch, few):
+    """Once dealt in blocks, once sent to all tasks."""
+    monkeypatch.setattr(graph, "FEW", few)
+    rows = clustered(9, 240, 6)
+    frame = spark.createDataFrame([(i, v, i % 4 if i % 9 else None) for i, v in rows] + [(10_000, None, 1), (10_001, [0.0] * 16, 1), (10_002, [1.0, 2.0], 1)], "id bigint, embedding array<double>, class int").repartition(3)
+    fresh = frame.where("id % 5 = 0 or id > 9999").select("id")
+    found = lambda **how: {(r["a"], r["b"]): r["weight"] for r in graph.semantic_edges(frame, 0.5, cell_rows=16, block_rows=20, **how).collect()}
+    every = brute_cosines(rows, 0.5)
+    touching = {k: w for k, w in every.items() if not k[0] % 5 or not k[1] % 5}
+    alike = lambda edges: {k: w for k, w in edges.items() if k[0] % 9 and k[1] % 9 and k[0] % 4 == k[1] % 4}
+    for mine, wanted in ((found(fresh=fresh), touching), (found(within="class"), alike(every)), (found(fresh=fresh, within="class"), alike(touching))):
+        assert set(mine) == set(wanted) and wanted and all(abs(mine[k] - w) < 2e-6 for k, w in wanted.items())
+    assert found(fresh=fresh.limit(0)) == {}
+
+
+def test_edges_that_are_there_are_not_written_again(spark):
+    rows = [(i, v, "u", i) for i, v in clustered(4, 60, 3, 8)]
+    frame = spark.createDataFrame(rows, "id bigint, embedding array<double>, user string, valid_from bigint")
+    once = upkeep.add_claims(frame.where("id < 30"), None, ["user"], 0.6)
+    twice = upkeep.add_claims(frame.where("id >= 30"), once, ["user"], 0.6)
+    assert set(once.semantic.inputFiles()) < set(twice.semantic.inputFiles())
+    assert {(r["a"], r["b"]) for r in twice.semantic.collect()} == set(brute_cosines([r[:2] for r in rows], 0.6))
+
+
 def brute_lexical(docs):
     df = {}
     for _, ts in docs:
