@@ -14,16 +14,20 @@ from pyspark.sql import functions as F
 from memlake.operators import graph
 from memlake.plans.scratch import broadcast_if_small, cut
 
+MOST_PARTS = 16
+
 
 @dataclass(frozen=True)
 class Kept:
     """All claims so far, their vectors' edges (a, b, weight), their chains (src, dst, delta_t, weight and the
-    chain's columns), and the pairs (a, b) that share a token, where claims have tokens."""
+    chain's columns), and the pairs (a, b) that share a token, where claims have tokens.  The vectors' edges
+    lie in ``parts`` tables, one for each batch since they were last written together."""
 
     claims: DataFrame
     semantic: DataFrame
     temporal: DataFrame
     sharing: DataFrame | None
+    parts: int = 1
 
 
 def add_claims(new: DataFrame, kept: Kept | None, by: Sequence[str], threshold: float = 0.65, tau_ms: float | None = None) -> Kept:
@@ -39,7 +43,7 @@ def add_claims(new: DataFrame, kept: Kept | None, by: Sequence[str], threshold:
     new = cut(new.dropDuplicates(["id"]), "new-claims")
     claims = new if kept is None else cut(kept.claims.unionByName(new), "claims")
     fresh = new.select("id")
-    semantic = graph.semantic_edges(claims.select("id", "embedding"), threshold, fresh)
+    semantic, parts = cut(graph.semantic_edges(claims.select("id", "embedding"), threshold, fresh), "semantic"), 1
     touched = cut(new.select(*by).distinct(), "touched")
     same = lambda rows: [rows[c].eqNullSafe(touched[c]) for c in by]
     near = broadcast_if_small(touched)
@@ -47,10 +51,13 @@ def add_claims(new: DataFrame, kept: Kept | None, by: Sequence[str], threshold:
     temporal = graph.temporal_chain(chains, *by, tau_ms=tau_ms)
     sharing = graph.sharing_pairs(claims, fresh) if "tokens" in claims.columns else None
     if kept is not None:
-        semantic = kept.semantic.unionByName(semantic)
+        # edges that are there already stay where they are
+        semantic, parts = kept.semantic.unionByName(semantic), kept.parts + 1
+        if parts > MOST_PARTS:
+            semantic, parts = cut(semantic, "semantic"), 1
         temporal = kept.temporal.join(near, same(kept.temporal), "left_anti").unionByName(temporal)
         sharing = sharing if kept.sharing is None else kept.sharing.unionByName(sharing)
-    return Kept(claims, cut(semantic, "semantic"), cut(temporal, "temporal"), None if sharing is None else cut(sharing, "sharing"))
+    return Kept(claims, semantic, cut(temporal, "temporal"), None if sharing is None else cut(sharing, "sharing"), parts)
 
 
 def lexical_weights(kept: Kept, min_weight: float = 0.0) -> DataFrame:
