@@ -19,21 +19,30 @@ LIST = 10
 FINISH = 200_000
 
 
-def nearest_lists(pairs: DataFrame, nodes: DataFrame | None = None, most: int = LIST) -> DataFrame:
+def nearest_lists(pairs: DataFrame, nodes: DataFrame | None = None, most: int = LIST, unique: bool = False) -> DataFrame:
     """(a, b, place): each node's list, itself first, then its partners of ``pairs(a, b, weight)`` by falling
-    weight and id; at most ``most`` entries, as a search returns.  ``nodes(id)`` adds those without a pair."""
-    both = pairs.select("a", "b", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    weight and id; at most ``most`` entries, as a search returns.  ``nodes(id)`` adds those without a pair.
+
+    ``pairs`` are computed once.  Where they are known to be ``unique``, what is shuffled are a task's nearest
+    of each node, and not all pairs.
+    """
+    ends = F.array(F.struct("a", "b", "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    both = pairs.select(F.inline(ends))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.col("weight").desc(), "b"))
-    near = both.distinct().withColumn("place", place).where(F.col("place") < most)
-    ids = near.select("a").distinct() if nodes is None else nodes.select(F.col("id").alias("a")).distinct()
-    return near.select("a", "b", "place").unionByName(ids.select("a", F.col("a").alias("b"), F.lit(0).alias("place")))
+    near = (both if unique else both.distinct()).withColumn("place", place).where(F.col("place") < most)
+    entry, own = F.struct("a", "b", "place"), F.struct("a", F.col("a").alias("b"), F.lit(0).alias("place"))
+    if nodes is None:  # the first entry brings the node itself
+        return near.select(F.inline(F.when(F.col("place") == 1, F.array(own, entry)).otherwise(F.array(entry))))
+    return near.select("a", "b", "place").unionByName(nodes.select(F.col("id").alias("a")).distinct().select(F.inline(F.array(own))))
 
 
 def ready(waiting: DataFrame) -> DataFrame:
     """The entries (a, b, ...) of the nodes whose turn it is: each entry of theirs is met by no lesser node."""
     least = cut(waiting.groupBy("b").agg(F.min("a").alias("least")), "least")
     blocked = cut(join_hot(waiting.select("a", "b"), least, ["b"]).where("a > least").select("a").distinct(), "blocked")
-    return join_hot(waiting, blocked, ["a"], "left_anti")
+    turn = cut(join_hot(waiting, blocked, ["a"], "left_anti"), "turn")
+    discard(least, blocked)
+    return turn
 
 
 def greedy_clusters(lists: DataFrame, least: int = 3, finish: int = FINISH) -> DataFrame:
@@ -45,9 +54,9 @@ def greedy_clusters(lists: DataFrame, least: int = 3, finish: int = FINISH) -> D
     waiting, found = cut(lists.select("a", "b"), "waiting"), []
     while True:
         # lists only get shorter: one that is too short already is never taken
-        alive = waiting.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
-        waiting, old = cut(join_hot(waiting, cut(alive, "alive"), ["a"]), "waiting"), waiting
-        discard(old)
+        alive = cut(waiting.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a"), "alive")
+        waiting, old = cut(join_hot(waiting, alive, ["a"]), "waiting"), waiting
+        discard(old, alive)
         n = waiting.count()
         if not n:
             break
@@ -55,12 +64,13 @@ def greedy_clusters(lists: DataFrame, least: int = 3, finish: int = FINISH) -> D
             found.append(cut(_sequential(waiting, least), "clusters"))
             break
         # of those that are ready each list is long enough, and no two of them meet
-        taken = cut(ready(waiting).select(F.col("a").alias("cluster"), F.col("b").alias("id")), "clusters")
+        taken = ready(waiting).select(F.col("a").alias("cluster"), F.col("b").alias("id"))
         found.append(taken)
         gone = cut(taken.select("id").distinct(), "gone")
         left = join_hot(waiting.withColumnRenamed("a", "id"), gone, ["id"], "left_anti").withColumnRenamed("id", "a")
         left = join_hot(left.withColumnRenamed("b", "id"), gone, ["id"], "left_anti").withColumnRenamed("id", "b")
-        waiting = cut(left.select("a", "b"), "waiting")
+        waiting, old = cut(left.select("a", "b"), "waiting"), waiting
+        discard(old, gone)
     kind = dict(lists.dtypes)["a"]
     out = lists.sparkSession.createDataFrame([], f"cluster {kind}, id {kind}")
     for part in found:
@@ -99,7 +109,7 @@ def merge_topics(topics: DataFrame, lists: DataFrame, finish: int = FINISH) -> D
         # a list of the topic alone has nothing to merge
         alive = cut(waiting.where("a <> b").select("a").distinct(), "alive")
         waiting, old = cut(join_hot(waiting, alive, ["a"]), "waiting"), waiting
-        discard(old)
+        discard(old, alive)
         n = waiting.count()
         if not n:
             break
@@ -107,7 +117,7 @@ def merge_topics(topics: DataFrame, lists: DataFrame, finish: int = FINISH) -> D
             changed = _merge_sequentially(waiting, state)
             state = cut(_update(state, cut(changed, "changed")), "topics")
             break
-        turn = cut(ready(waiting), "turn")
+        turn = ready(waiting)
         changed = cut(_merge_turn(turn, state), "changed")
         state, old = cut(_update(state, changed), "topics"), state
         discard(old)
@@ -116,7 +126,8 @@ def merge_topics(topics: DataFrame, lists: DataFrame, finish: int = FINISH) -> D
         left = join_hot(waiting, done, ["a"], "left_anti")
         left = join_hot(left.withColumnRenamed("a", "id"), gone, ["id"], "left_anti").withColumnRenamed("id", "a")
         left = join_hot(left.withColumnRenamed("b", "id"), gone, ["id"], "left_anti").withColumnRenamed("id", "b")
-        waiting = cut(left.select("a", "b", "place"), "waiting")
+        waiting, old = cut(left.select("a", "b", "place"), "waiting"), waiting
+        discard(old, turn, changed, done, gone)
     return state.join(standing(state.where("first_into is not null").select("id", F.col("first_into").alias("into"))), "id", "left").select(
         "id", F.col("root").alias("merged_into"), "first_into", "mention_count"
     )

@@ -88,6 +88,14 @@ def test_lists_are_short_and_nearest_first(spark):
     assert turns.greedy_clusters(spark.createDataFrame([], "a bigint, b bigint"), 3).collect() == []
 
 
+def test_lists_of_unique_pairs_are_not_shuffled_whole(spark):
+    pairs = spark.createDataFrame([(a, a + k, 1 - k / 100) for a in range(40) for k in range(1, 15)], "a bigint, b bigint, weight double")
+    lists = lambda **how: sorted(tuple(r) for r in turns.nearest_lists(pairs, **how).collect())
+    assert lists(unique=True) == lists() and len({r[0] for r in lists()}) == 54
+    plan = turns.nearest_lists(pairs, unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and plan.count("Exchange") == 1 and "WindowGroupLimit" in plan
+
+
 def test_roots_of_a_deep_forest(spark):
     links = [(i, i + 1) for i in range(70)] + [(100, 50), (200, 201)]
     rows = {r["id"]: r["root"] for r in turns.standing(spark.createDataFrame(links, "id bigint, into bigint")).collect()}
