@@ -6,14 +6,14 @@ claims graph as frontier joins; the walk of one query is bounded by its anchors
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import vector
 from memlake.operators import filters
-from memlake.plans.scratch import cut
+from memlake.plans.scratch import broadcast_if_small, cut
 
 TAU, TOP = 0.2, 5
 # The cost of a hop in time, and the weights of a path's parts.
@@ -21,6 +21,35 @@ TEMPORAL_COST = 0.5
 PATH_WEIGHTS = {"coverage": 1.0, "diversity": 0.3, "recency": 0.1, "quality": 0.0, "length": 0.1}
 
 
+#: All edges (src, dst, kind, weight), or a function of nodes (id) that gives those that touch one of them, or,
+#: if its second argument is true, those with both ends among them.
+Edges = DataFrame | Callable[[DataFrame, bool], DataFrame]
+
+
+def edges_at(edges: Edges, nodes: DataFrame, inside: bool) -> DataFrame:
+    if callable(edges):
+        return edges(nodes, inside)
+    few = broadcast_if_small(nodes)
+    src, dst = (edges.join(few.withColumnRenamed("id", end), end, "left_semi").select(*edges.columns) for end in ("src", "dst"))
+    if inside:
+        return src.join(few.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+    return src.unionByName(dst.join(few.withColumnRenamed("id", "src"), "src", "left_anti").select(*edges.columns))
+
+
+def edges_between(edges: Edges, anchors: DataFrame, valid: DataFrame, depth: int) -> DataFrame:
+    """The edges that a walk of at most ``depth`` edges between two of ``anchors(id)`` can take, through ``valid(id)`` nodes.
+
+    A node of such a walk is no more than half of its edges away from one of its ends, so what lies
+    further from all anchors is not read.
+    """
+    ball = cut(anchors.select("id").distinct(), "ball")
+    for _ in range(depth // 2):
+        touching = edges_at(edges, ball, False)
+        ends = touching.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(valid.select("id"), "id", "left_semi")
+        ball = cut(ends.unionByName(ball).distinct(), "ball")
+    return cut(edges_at(edges, ball, True), "between")
+
+
 def probe_scores(claims: DataFrame, probes: DataFrame, similarity=None) -> DataFrame:
     """(probe, weight, id, sim) of each claim with a vector for each of the (few, broadcast) probes.
 
@@ -230,23 +259,20 @@ def cluster_affinity(scored: DataFrame, claim_clusters: DataFrame, probe_cluster
 
 
 def retrieve(
-    claims: DataFrame, edges: DataFrame, probes: DataFrame, at_ms: int | None = None, anchors: int = TOP, depth: int = 3, top: int = 10,
+    claims: DataFrame, edges: Edges, probes: DataFrame, at_ms: int | None = None, anchors: int = TOP, depth: int = 3, top: int = 10,
     by_weight: bool = False, tau: float = TAU, session_tau: float | None = None, temporal: float = TEMPORAL_COST, decay: bool = False,
     hot: DataFrame | None = None, cold: float = 1.0, weights: dict[str, float] | None = None, similarity=None,
 ) -> DataFrame:
     """Probes to scored paths: the claims valid at ``at_ms`` (None: open ones), probe weights, anchors,
     the best walk between each two anchors and each anchor alone, and the ``top`` of them by score.
 
-    ``claims``: id, embedding, valid_from, valid_to; ``edges``: src, dst, kind, weight; ``probes``: probe,
-    embedding, and turn and session where ``session_tau`` is set.  With several probes the anchors are
+    ``claims``: id, embedding, valid_from, valid_to; ``edges``: src, dst, kind, weight, or a function that
+    gives them (``Edges``), as only those near the anchors are read; ``probes``: probe, embedding, and turn and session where ``session_tau`` is set.  With several probes the anchors are
     the densest claims over ``tau``, each reached by the probes over it, and where none is over it those
     that a single probe would take; a single probe takes the nearest claims.  Without probes or claims
     there is no path.
     """
     valid = filters.as_of(claims, at_ms).select("id", "embedding", "valid_from")
-    ends = valid.select("id")
-    for end in ("src", "dst"):
-        edges = edges.join(ends.withColumnRenamed("id", end), end, "left_semi")
     weighted = session_weights(probes, session_tau)
     scored = cut(probe_scores(valid, weighted, similarity), "scored")
     nearest = compose_union(per_probe_top(scored, anchors))
@@ -256,7 +282,8 @@ def retrieve(
     fused = cut(fused.crossJoin(several).where("probes_n > 1").select("id", "probes"), "anchors")
     reached = nearest if fused.isEmpty() else fused
     reached = cut(reached, "anchors")
-    walks = shortest_paths(walk_costs(edges, by_weight, temporal, decay, hot, cold), reached.select("id"), depth)
+    near = edges_between(edges, reached, valid, depth)
+    walks = shortest_paths(walk_costs(near, by_weight, temporal, decay, hot, cold), reached.select("id"), depth)
     return score_paths(pair_paths(walks, reached), reached, valid, weighted.select("probe", "weight"), depth, top, weights)
 
 

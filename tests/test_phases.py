@@ -220,6 +220,37 @@ def test_path_costs_and_scores(spark):
     assert {r.id for r in paths.best_by_claim(paths.retrieve(claims, edges, probes, anchors=3)).collect()} == {1, 2, 3}
 
 
+def test_only_edges_near_the_anchors_are_read(spark):
+    """Edges as a function: it is asked for those at anchors and their neighbours, and the paths are those of the whole graph."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(a, a + 1, "temporal", 1.0) for a in range(199)] + [(a, rnd.randrange(200), "semantic", rnd.random()) for a in range(200)]
+    edges = spark.createDataFrame([r for r in rows if r[0] != r[1]], "src bigint, dst bigint, kind string, weight double")
+    claims = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)], i, 300 if i % 11 == 0 else None) for i in range(200)], "id bigint, embedding array<double>, valid_from bigint, valid_to bigint")
+    probes = claims.where("id in (7, 42, 99)").select(F.col("id").alias("probe"), "embedding")
+    asked = []
+
+    def some(nodes, inside):
+        asked.append(nodes.count())
+        return paths.edges_at(edges, nodes, inside)
+
+    for by_weight in (False, True):
+        asked.clear()
+        found = [tuple(r) for r in paths.retrieve(claims, some, probes, by_weight=by_weight).collect()]
+        valid = claims.where("valid_to is null").select("id")
+        whole = edges.join(valid.withColumnRenamed("id", "src"), "src", "left_semi").join(valid.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        assert asked[0] == 5 and 5 < max(asked) < 60
+        assert {r[:3] for r in found if r[0] != r[1]} and sorted(found) == sorted(tuple(r) for r in paths.retrieve(claims, whole, probes, by_weight=by_weight).collect())
+        walks = paths.shortest_paths(paths.walk_costs(whole, by_weight), spark.createDataFrame([(i,) for i in {r[0] for r in found}], "id bigint"), 3)
+        best = {(r["anchor"], r["id"]): (r["hops"], list(r["nodes"])) for r in walks.collect()}
+        assert all(best[r[0], r[1]] == (r[2], list(r[3])) for r in found)
+    asked.clear()
+    seeds = spark.createDataFrame([(7, 1.0), (42, 1.0)], "id bigint, activation double")
+    assert sorted(map(tuple, paths.spread_activation(some, seeds).collect())) == sorted(map(tuple, paths.spread_activation(edges, seeds).collect()))
+    assert len(asked) == 2 and max(asked) < 60
+
+
 def test_cluster_affinity(spark):
     scored = spark.createDataFrame([(0, 1.0, 1, 0.7), (0, 1.0, 2, 0.7), (0, 1.0, 3, 0.1)], "probe bigint, weight double, id bigint, sim double")
     shares = [(1, 0, 1.0), (2, 1, 1.0), (3, 0, 1.0)]
