@@ -287,14 +287,20 @@ def retrieve(
     return score_paths(pair_paths(walks, reached), reached, valid, weighted.select("probe", "weight"), depth, top, weights)
 
 
-def spread_activation(edges: DataFrame, seeds: DataFrame, hops: int = 2, retention: float = 0.5, inhibit: int | None = None) -> DataFrame:
+def spread_activation(edges: Edges, seeds: DataFrame, hops: int = 2, retention: float = 0.5, inhibit: int | None = None) -> DataFrame:
     """(id, activation): each round a node keeps a share and spreads the rest over its edges, diluted by
-    its fan-out and by weight; then only the ``inhibit`` strongest stay active (None: all)."""
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    fan = both.groupBy("src").agg(F.sum("weight").alias("fan"))
-    flow = both.join(fan, "src").select("src", "dst", (F.col("weight") / F.col("fan")).alias("share"))
-    active = seeds.select("id", F.col("activation").cast("double"))
+    its fan-out and by weight; then only the ``inhibit`` strongest stay active (None: all).
+
+    A round reads the edges that touch an active node (``Edges``), and no others.
+    """
+    active = cut(seeds.select("id", F.col("activation").cast("double")), "activation")
     for _ in range(hops):
+        ids = cut(active.select("id").distinct(), "active")
+        touching = cut(edges_at(edges, ids, False).select("src", "dst", "weight"), "touching")
+        both = touching.unionByName(touching.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+        both = both.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+        fan = both.groupBy("src").agg(F.sum("weight").alias("fan"))
+        flow = both.join(fan, "src").select("src", "dst", (F.col("weight") / F.col("fan")).alias("share"))
         sent = active.join(flow, active.id == flow.src).select(F.col("dst").alias("id"), (F.col("activation") * F.col("share") * (1 - retention)).alias("activation"))
         kept = active.select("id", (F.col("activation") * retention).alias("activation"))
         active = kept.unionByName(sent).groupBy("id").agg(F.round(F.sum("activation"), 9).alias("activation"))
