@@ -365,3 +365,21 @@ def test_streamed_windows_and_ledger(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r.batch_key: (r.attempts, r.state) for r in spark.table("ledger").collect()} == {"k": (3, "quarantine"), "j": (1, "quarantine")}
+
+
+def test_nearest_of_many_by_blocks(spark, monkeypatch):
+    """Each row's best against the plain expression, with ties, unlike lengths, zero vectors and rows of both tables; no join of all with all."""
+    import random
+
+    from memlake.functions import vector
+
+    rnd = random.Random(2)
+    some = lambda: rnd.choice([None, [0.0, 0.0, 0.0], [1.0, 2.0], [float(rnd.randrange(-2, 3)) for _ in range(3)], [rnd.gauss(0, 1) for _ in range(3)]])
+    batch = spark.createDataFrame([(i, some()) for i in range(60)], "id bigint, embedding array<float>")
+    corpus = spark.createDataFrame([(i, some()) for i in range(50, 250)], "id bigint, embedding array<float>").repartition(3)
+    monkeypatch.setattr(ingest, "BATCH_ROWS", 25)
+    near = ingest.nearest(batch, corpus)
+    assert "NestedLoopJoin" not in near._jdf.queryExecution().executedPlan().toString()
+    sims = corpus.where("embedding is not null").select(F.col("id").alias("other"), "embedding").join(batch.where("embedding is not null").select("id", F.col("embedding").alias("q")), F.col("other") != F.col("id"))
+    best = sims.select("id", F.struct(F.round(vector.cosine(F.col("embedding"), F.col("q")), 6).alias("sim"), F.negate(F.xxhash64("other")).alias("tie"), "other").alias("m")).groupBy("id").agg(F.max("m").alias("m"))
+    assert {r["id"]: (r["nearest"], r["sim"]) for r in near.collect()} == {r["id"]: (r["m"]["other"], r["m"]["sim"]) for r in best.collect()}
