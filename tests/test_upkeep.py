@@ -104,6 +104,25 @@ def test_lexical_edges_are_exact(spark, least):
     assert all(found[k][0] == v[0] and abs(found[k][1] - v[1]) < 2e-6 for k, v in expected.items())
 
 
+@pytest.mark.parametrize("least, often", [(0.3, 1024), (0.5, 2)])
+def test_lexical_edges_by_blocks(spark, monkeypatch, least, often):
+    """Many small blocks, frequent tokens in the matrix or not: exact, and no candidates are shuffled."""
+    monkeypatch.setattr(graph, "LEXICAL_ROWS", 20)
+    monkeypatch.setattr(graph, "SENT_ROWS", 7)
+    monkeypatch.setattr(graph, "MOST_DENSE", often)
+    rnd = random.Random(8)
+    docs = [(i, [f"t{int(rnd.paretovariate(0.5)) % 60}" for _ in range(rnd.choice([0, 1, 3, 8, 20]))]) for i in range(150)]
+    docs += [(200 + i, docs[i % 7][1] + [f"x{i}"] * (i % 2)) for i in range(90)] + [(900, None)]
+    rows = graph.lexical_edges(spark.createDataFrame(docs, "id bigint, tokens array<string>").repartition(3), least)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Join" not in plan
+    found = {(r["a"], r["b"]): (r["shared"], r["weight"]) for r in rows.collect()}
+    # a document of no tokens counts among all
+    expected = {k: v for k, v in brute_lexical([(i, ts or []) for i, ts in docs]).items() if v[1] >= least}
+    assert set(found) == set(expected) and expected
+    assert all(found[k][0] == v[0] and abs(found[k][1] - v[1]) < 2e-6 for k, v in expected.items())
+
+
 @pytest.mark.parametrize("seed, batches", [(1, 2), (2, 5)])
 def test_edges_do_not_depend_on_the_batches(spark, seed, batches):
     rnd = random.Random(seed)
